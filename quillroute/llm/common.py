@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,7 +11,9 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if it only reads files, projects and filters, so that each run deals its rows alike; else a written copy."""
+    nodes = [re.sub(r"^[\s:+\-|]*", "", line).split(" ")[0].split("[")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()]
+    return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else cut(df)
+
+
 def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are skipped."""
     ship_package(df.sparkSession)
@@ -138,3 +147,79 @@ def run_starts(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+
+
+# -- columns as bytes -------------------------------------------------------------------
+
+
+def pack_arrays(**arrays: np.ndarray) -> bytes:
+    """Several numpy arrays as one compressed value; equal bytes of neighbours lie together."""
+    head, body = [], []
+    for name, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        head.append(f"{name}:{a.dtype.name}:{len(a)}")
+        body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress("|".join(head).encode() + b"\n" + b"".join(body))
+
+
+def unpack_arrays(raw: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    at = raw.index(b"\n")
+    out = {}
+    pos = at + 1
+    for spec in raw[:at].decode().split("|"):
+        name, dtype, n = spec.split(":")
+        width = np.dtype(dtype).itemsize
+        flat = np.frombuffer(raw, np.uint8, int(n) * width, pos)
+        out[name] = np.ascontiguousarray(flat.reshape(width, int(n)).T).reshape(-1).view(dtype)
+        pos += int(n) * width
+    return out
+
+
+class Bits:
+    """A fixed-size set of 64-bit keys that may answer yes wrongly, never no."""
+
+    def __init__(self, bits: int = 26, words: np.ndarray | None = None):
+        self.bits = bits
+        self.words = np.zeros(1 << (bits - 3), np.uint8) if words is None else words
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def add(self, keys: np.ndarray) -> None:
+        at = self._at(keys)
+        np.bitwise_or.at(self.words, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        return (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bits_of(df: DataFrame, key: str, bits: int = 26) -> Bits:
+    """The keys of a column as Bits, put together in pieces of fixed size on the executors."""
+    pieces = 64
+
+    def local(batches):
+        found = Bits(bits)
+        for batch in batches:
+            if batch.num_rows:
+                found.add(batch.column(0).to_numpy(zero_copy_only=False))
+        if found.words.any():
+            for i, part in enumerate(np.split(found.words, pieces)):
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "words": pa.array([pack_arrays(w=part)], pa.binary())})
+
+    def merge(key_, pdf):
+        total = np.zeros((1 << (bits - 3)) // pieces, np.uint8)
+        for raw in pdf["words"]:
+            total |= unpack_arrays(raw)["w"]
+        return pd.DataFrame({"piece": [key_[0]], "words": [pack_arrays(w=total)]})
+
+    ship_package(df.sparkSession)
+    schema = "piece int, words binary"
+    rows = df.select(F.col(key).cast("long").alias("key")).mapInArrow(local, schema).groupBy("piece").applyInPandas(merge, schema).collect()
+    out = Bits(bits)
+    step = len(out.words) // pieces
+    for r in rows:
+        out.words[r["piece"] * step : (r["piece"] + 1) * step] = unpack_arrays(bytes(r["words"]))["w"]
+    return out
