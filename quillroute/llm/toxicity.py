@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -74,13 +73,12 @@ def _llr(a: int, b: int, na: int, nb: int) -> float:
     return g if a * nb >= b * na else -g
 
 
-def distinct_rows(rows: list[set[str]], bands: int = 6, width: int = 6, seed: int = 1) -> list[int]:
-    """Positions of training documents, near copies counted once (bands of word MinHashes)."""
+def distinct_rows(rows: list[np.ndarray], bands: int = 6, width: int = 6, seed: int = 1) -> list[int]:
+    """Positions of documents (word hashes), near copies counted once (bands of word MinHashes)."""
     mults = (np.random.default_rng(seed).integers(1, 1 << 62, (bands, width)) * 2 + 1).astype(np.uint64)
     taken: set[tuple] = set()
     kept = []
-    for i, r in enumerate(rows):
-        h = np.array([hash_word(w) for w in r if w[0] == "="], np.uint64)
+    for i, h in enumerate(rows):
         if not len(h):
             kept.append(i)
             continue
@@ -200,29 +198,57 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     # bounded as well: at most about max_train ids, and then as many texts
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"))
 
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([" ".join(sorted(document_features(t, p))) for t in texts(batch.column(1))])], names=["doc_id", "features"])
-
-    found = map_batches(sample.filter("toxic = 1").select("doc_id", "text"), "doc_id long, features string", features).toPandas().sort_values("doc_id", kind="stable")
-    toxic = [{sys.intern(w) for w in f.split(" ") if w} for f in found["features"]]
-    toxic = [toxic[i] for i in distinct_rows(toxic)]
-    names = candidates(toxic, p)
-    number = {f: i for i, f in enumerate(names)}
+    toxic_rows = sample.filter("toxic = 1").select("doc_id", "text")
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, all_ = [], []
+        for t in texts(batch.column(1)):
+            found = document_features(t, p)
+            words.append(np.sort(np.fromiter((hash_word(f) for f in found if f[0] == "="), np.uint64)).tobytes())
+            all_.append(np.fromiter(map(hash_word, found), np.uint64, len(found)).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words, pa.binary()), pa.array(all_, pa.binary())], names=["doc_id", "words", "features"])
+
+    # Toxic documents come as hashes; of their features only those that enough of them have
+    # and that tell them from clean documents are asked for by name.
+    table = map_batches(toxic_rows, "doc_id long, words binary, features binary", hashed).toPandas().sort_values("doc_id", kind="stable")
+    kept = distinct_rows([np.frombuffer(w, np.uint64) for w in table["words"]])
+    arrays = [np.frombuffer(f, np.uint64) for f in table["features"]]
+    arrays = [arrays[i] for i in kept]
+    del table
+    seen, times = np.unique(np.concatenate(arrays) if arrays else np.zeros(0, np.uint64), return_counts=True)
+    seen, times = seen[times >= p.min_support], times[times >= p.min_support]
 
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [sorted(number[f] for f in document_features(t, p) if f in number) for t in texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "features"])
-
-    clean = map_batches(sample.filter("toxic = 0").select("doc_id", "text"), "doc_id long, features array<int>", known).toPandas().sort_values("doc_id", kind="stable")
-    return fit_rows(toxic, [{names[i] for i in f} for f in clean["features"]], p)
-
-
-def candidates(toxic: list[set[str]], p: ToxicityParams) -> list[str]:
-    """Features that enough toxic documents have; the others cannot be chosen."""
-    hit = Counter()
-    for r in toxic:
-        hit.update(r)
-    return sorted(f for f, n in hit.items() if n >= p.min_support)
+        total, n = np.zeros(len(seen), np.int64), 0
+        for t in texts(batch.column(1)):
+            total[members(document_features(t, p), seen)] += 1
+            n += 1
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<u4").tobytes()], pa.binary())], names=["n", "counts"])
+
+    clean_rows = sample.filter("toxic = 0").select("doc_id", "text")
+    parts = map_batches(clean_rows.repartition(4), "n long, counts binary", known).collect()
+    n_clean = sum(r["n"] for r in parts)
+    clean_counts = sum((np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in parts), np.zeros(len(seen), np.int64))
+    telling = [i for i in range(len(seen)) if n_clean and _llr(int(times[i]), int(clean_counts[i]), len(arrays), n_clean) >= p.min_llr]
+    telling_hashes = seen[telling]
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [sorted(f for f in found if hash_word(f) in wanted) for found in (document_features(t, p) for t in texts(batch.column(1)))]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "features"])
+
+    wanted = set(telling_hashes.tolist())
+    toxic = map_batches(toxic_rows, "doc_id long, features array<string>", named).toPandas().sort_values("doc_id", kind="stable")["features"].tolist()
+    clean = map_batches(clean_rows, "doc_id long, features array<string>", named).toPandas()["features"].tolist()
+    return fit_rows([set(toxic[i]) for i in kept], [set(f) for f in clean], p)
+
+
+def members(found: set[str], among: np.ndarray) -> np.ndarray:
+    """Positions in a sorted array of hashes of the features that are there."""
+    if not found or not len(among):
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(hash_word, found), np.uint64, len(found))
+    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+    return at[among[at] == h]
 
 
 def fit_rows(toxic: list[set[str]], clean: list[set[str]], p: ToxicityParams) -> ToxicityModel:
