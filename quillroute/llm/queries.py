@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, licenses, linededup, packing, quality, topk, toxicity
+from . import bpe, html, language, licenses, linededup, neardup, packing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_html_extraction, op4_quality_rules, op5_bpe_round_trip, op6_exact_top_k, op7_toxicity, op8_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_html_extraction, op4_quality_rules, op5_bpe_round_trip, op6_exact_top_k, op7_toxicity, op8_license_scan, op9_near_duplicates, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
