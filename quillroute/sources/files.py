@@ -64,7 +64,7 @@ def write_turtle(edges: DataFrame, path: str, prefix: str = "ex", namespace: str
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, title, text, source, sections of all text, markup and JSON files below a folder."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     raw = raw.withColumn("suffix", suffix).filter(F.col("suffix").isin(*SUFFIXES))
     stem = F.initcap(F.trim(F.translate(F.regexp_replace("name", r"\.[^.]+$", ""), "_-", "  ")))
@@ -82,7 +82,7 @@ def json_lines(raw: Column) -> Column:
 
 def read_headed_text(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """Text files whose first line may be ``prefix`` + JSON: file, meta (map), body."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     first = F.substring_index("value", "\n", 1)
     headed = F.startswith(F.col("value"), F.lit(prefix))
     meta = F.when(headed, F.from_json(F.substr(first, F.lit(len(prefix) + 1)), "map<string,string>"))
