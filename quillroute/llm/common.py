@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -83,6 +84,15 @@ def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without a round trip through Python's str."""
     return column.cast(pa.binary()).to_pylist()

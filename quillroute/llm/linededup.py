@@ -11,8 +11,9 @@ removed itself, so the result does not depend on the order of work.
 3. Each distinct line is listed under the rarest words of its prefix: two lines of the
    needed similarity share one of them. Lists travel as packed arrays.
 4. In a list, the length filter, the positional filter and a bound from 128-bit parity maps
-   rule pairs out. A line stops looking once ``enough`` earlier candidates were found; if
-   none of all its candidates turns out similar, it is looked up again without that limit.
+   rule pairs out. A line stops looking once ``enough`` earlier candidates were found that
+   are likely to be similar; if none of all its candidates is, it is looked up again
+   without that limit.
 5. The sets of candidate lines are compared exactly.
 """
 
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Ids, bits_of, cut, map_batches, pack_arrays, run_starts, settled, ship_package, text_bytes, unpack_arrays
+from .common import Bits, Ids, bits_of, cut, map_batches, pack_arrays, release_memory, run_starts, settled, ship_package, text_bytes, unpack_arrays
 
 
 @dataclass(frozen=True)
@@ -35,9 +37,10 @@ class LineParams:
     threshold: float = 0.75
     min_tokens: int = 5
     rarity_bits: int = 22
-    enough: int = 3
-    block_bytes: int = 24_000_000
-    list_rows: int = 600_000
+    enough: int = 2
+    likely: float = 0.85
+    block_bytes: int = 6_000_000
+    list_rows: int = 300_000
 
 
 _NO_ID = np.iinfo(np.int64).max
@@ -110,16 +113,19 @@ def blocks(numbered: DataFrame, p: LineParams) -> DataFrame:
     """block, tokens and distinct lines of it, packed arrays; one row per part of a task."""
 
     def run(batch: pa.RecordBatch):
-        rows, ids, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))
-        begin = size = 0
-        for i in range(len(column) + 1):
-            if i == len(column) or (size and size + len(column[i] or b"") > p.block_bytes):
-                if i > begin:
-                    a = block_of(rows[begin:i], [_NO_ID if x is None else x for x in ids[begin:i]], [c or b"" for c in column[begin:i]])
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[begin]], pa.int64()), pa.array([len(a["tok"])], pa.int64()), pa.array([pack_arrays(**a)], pa.binary())], names=["block", "tokens", "data"])
-                begin, size = i, 0
-            if i < len(column):
-                size += len(column[i] or b"")
+        sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        begin = 0
+        while begin < batch.num_rows:  # about block_bytes of text at a time; a longer text is a block of its own
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + p.block_bytes, side="right")))
+            part = batch.slice(begin, end - begin)
+            rows, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
+            a = block_of(rows, [_NO_ID if x is None else x for x in ids], [b or b"" for b in text_bytes(part.column(2))])
+            out = pa.RecordBatch.from_arrays([pa.array([rows[0]], pa.int64()), pa.array([len(a["tok"])], pa.int64()), pa.array([pack_arrays(**a)], pa.binary())], names=["block", "tokens", "data"])
+            del a, part, rows, ids
+            release_memory()
+            yield out
+            begin = end
 
     return cut(map_batches(numbered.select("row", "doc_id", "text"), "block long, tokens long, data binary", run))
 
@@ -181,17 +187,33 @@ def postings_of(a: dict[str, np.ndarray], counts: np.ndarray, p: LineParams) ->
     maps = [np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), starts) if len(starts) else np.zeros(0, np.uint64) for half in (bit < 64, bit >= 64)]
     pos = np.arange(len(line)) - starts[line]
     n = a["size"].astype(np.int64)
-    keep = long_enough[line] & (pos < prefix_length(n, p.threshold)[line])
+    # a word counted once in the whole corpus leads to no other line
+    shared = counts[(h >> np.uint64(64 - p.rarity_bits)).astype(np.int64)] > 1
+    keep = long_enough[line] & shared & (pos < prefix_length(n, p.threshold)[line])
     line, pos, h = line[keep], pos[keep], h[keep]
     return {"token": h, "line_key": a["h1"][line], "doc": a["doc"][line], "row": a["row"][line], "line": a["line"][line], "n": a["size"][line], "pos": pos.astype(np.uint32), "b0": maps[0][line], "b1": maps[1][line]}
 
 
-def lists(table: DataFrame, counts, parts: int, p: LineParams) -> DataFrame:
-    """part, data: the prefix words of all lines, dealt by word."""
+def prefix_words(table: DataFrame, counts, wanted: Bits, p: LineParams) -> DataFrame:
+    """key: the prefix words of the lines that ``wanted`` may hold."""
 
     def run(batch: pa.RecordBatch):
         for raw in batch.column(0).to_pylist():
             a = postings_of(unpack_arrays(raw), counts.value, p)
+            hit = a["token"][wanted.has(line_id(a["row"], a["line"]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hit).view(np.int64))], names=["key"])
+
+    return map_batches(table.select("data"), "key long", run)
+
+
+def lists(table: DataFrame, counts, parts: int, p: LineParams, only: Bits | None = None) -> DataFrame:
+    """part, data: the prefix words of all lines, dealt by word; of ``only`` some words if given."""
+
+    def run(batch: pa.RecordBatch):
+        for raw in batch.column(0).to_pylist():
+            a = postings_of(unpack_arrays(raw), counts.value, p)
+            if only is not None:
+                a = {k: v[only.has(a["token"])] for k, v in a.items()} if len(a["token"]) else a
             part = (mix(a["token"], 3) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -209,14 +231,21 @@ def lists(table: DataFrame, counts, parts: int, p: LineParams) -> DataFrame:
 
 def candidates_in(a: dict[str, np.ndarray], p: LineParams, enough: int | None, wanted: Bits | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Pairs (later, earlier) of one part that no filter rules out, and which later lines stopped early."""
-    order = np.lexsort((a["line"], a["row"], a["doc"], a["line_key"], a["token"]))
+    order = np.lexsort((a["line"], a["row"], a["doc"]))
+    order = order[np.argsort(a["token"][order], kind="stable")]
     a = {k: v[order] for k, v in a.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (a["token"][1:] != a["token"][:-1]) | (a["line_key"][1:] != a["line_key"][:-1])
-    a = {k: v[new] for k, v in a.items()}  # of equal lines the first one stands for all
-    order = np.lexsort((a["line"], a["row"], a["doc"], a["token"]))
-    a = {k: v[order] for k, v in a.items()}
-    m = len(order)
+    # of equal lines in a list, the first one stands for all
+    both = mix(a["line_key"] ^ mix(a["token"].astype(np.uint64), 7), 8)
+    first = np.zeros(len(order), bool)
+    first[np.unique(both, return_index=True)[1]] = True
+    again = np.flatnonzero(~first)
+    if len(again):  # a clash of two different lines keeps both
+        lead = np.flatnonzero(first)
+        lead = lead[np.argsort(both[lead])]
+        own = lead[np.searchsorted(both[lead], both[again])]
+        first[again] = (a["line_key"][again] != a["line_key"][own]) | (a["token"][again] != a["token"][own])
+    a = {k: v[first] for k, v in a.items()}
+    m = len(a["token"])
     token, n, pos, b0, b1 = a["token"], a["n"].astype(np.float32), a["pos"].astype(np.float32), a["b0"], a["b1"]
     starts = run_starts(token)
     begin = np.repeat(starts, np.diff(np.append(starts, m)))
@@ -231,7 +260,7 @@ def candidates_in(a: dict[str, np.ndarray], p: LineParams, enough: int | None, w
     while True:
         d += 1
         y = y[y - d >= begin[y]]
-        if enough is not None and d % 8 == 1:
+        if enough is not None and d > 1:
             done = found[y] >= enough
             stopped[y[done]] = True
             y = y[~done]
@@ -252,7 +281,12 @@ def candidates_in(a: dict[str, np.ndarray], p: LineParams, enough: int | None, w
         if ok.any():
             out_y.append(yy[ok])
             out_x.append(xx[ok])
-            found[yy[ok]] += 1
+            # the maps' difference, corrected for clashes, estimates that of the sets
+            apart = -64 * np.log1p(np.minimum(differ[ok].astype(np.float32), 60) / -64)
+            # the more words, the less 128 bits tell
+            bar = np.where(total[ok] <= 200, p.likely, np.where(total[ok] <= 1000, 0.95, 2.0))
+            likely = (total[ok] - apart) >= bar * (total[ok] + apart)
+            found[yy[ok][likely]] += 1
     cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
     return cat(out_y), cat(out_x), np.flatnonzero(stopped), a
 
@@ -266,19 +300,21 @@ _PAIRS = "y_row long, y_line int, x_row long, x_line int"
 
 
 def candidate_pairs(posted: DataFrame, p: LineParams, enough: int | None, wanted: Bits | None = None) -> DataFrame:
-    """Candidate pairs; a row with a null x says that the line stopped looking."""
+    """Candidate pairs with the number of lists that have them; a null x says that the line stopped looking."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         some = [unpack_arrays(raw) for raw in pdf["data"]]
         y, x, stopped, a = candidates_in({k: np.concatenate([s[k] for s in some]) for k in some[0]}, p, enough, wanted)
         found = pd.DataFrame({"y_row": a["row"][y], "y_line": a["line"][y], "x_row": a["row"][x], "x_line": a["line"][x]}).drop_duplicates()
+        del some
+        release_memory()
         found = found.astype({"x_row": "Int64", "x_line": "Int32"})
         more = pd.DataFrame({"y_row": a["row"][stopped], "y_line": a["line"][stopped]}).drop_duplicates()
         more["x_row"] = pd.array([pd.NA] * len(more), "Int64")
         more["x_line"] = pd.array([pd.NA] * len(more), "Int32")
         return pd.concat([found, more], ignore_index=True) if len(more) else found
 
-    return posted.groupBy("part").applyInPandas(run, _PAIRS).distinct()
+    return posted.groupBy("part").applyInPandas(run, _PAIRS).groupBy("y_row", "y_line", "x_row", "x_line").agg(F.count("*").alias("lists"))
 
 
 # -- 5. verification ------------------------------------------------------------------
@@ -320,7 +356,7 @@ def verified(pairs: DataFrame, table: DataFrame, p: LineParams) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], names=["key"])
 
     wanted = spark.sparkContext.broadcast(bits_of(map_batches(ends, "key long", keys), "key"))
-    sets = line_sets(table, wanted)
+    sets = cut(line_sets(table, wanted))
     x = sets.select(F.col("row").alias("x_row"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("row").alias("y_row"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_row", "x_line"]).join(y, ["y_row", "y_line"]).select("y_row", "y_line", "x_words", "y_words")
@@ -360,23 +396,34 @@ def removed_lines(numbered: DataFrame, p: LineParams = LineParams()) -> DataFram
     posted = lists(table, counts, parts, p)
     found = cut(candidate_pairs(posted, p, p.enough))
     pairs = found.filter(F.col("x_row").isNotNull())
-    near = cut(verified(pairs, table, p))
-    stopped = found.filter(F.col("x_row").isNull()).select("y_row", "y_line").distinct()
+    # most lines are settled by the candidate that shares most lists with them
+    y = ["y_row", "y_line"]
+    likely = cut(pairs.groupBy(*y).agg(F.max(F.struct("lists", F.negate("x_row").alias("r"), F.negate("x_line").alias("l"))).alias("b")).select(*y, F.negate("b.r").alias("x_row"), F.negate("b.l").cast("int").alias("x_line")))
+    near = cut(verified(likely, table, p))
+    others = cut(pairs.join(near, y, "left_anti").join(likely, [*y, "x_row", "x_line"], "left_anti").drop("lists"))
+    near = cut(near.union(verified(others, table, p)).distinct())
+    stopped = found.filter(F.col("x_row").isNull()).select(*y).distinct()
     again = cut(stopped.join(near, ["y_row", "y_line"], "left_anti"))
     if not again.isEmpty():
-        rest = candidate_pairs(posted, p, None, bits_of(_keys_of(again), "key")).filter(F.col("x_row").isNotNull())
+        # few lines as a rule: only the lists of their words are built again
+        wanted = bits_of(_keys_of(again), "key")
+        some = lists(table, counts, parts, p, bits_of(prefix_words(table, counts, wanted, p), "key"))
+        rest = candidate_pairs(some, p, None, wanted).filter(F.col("x_row").isNotNull()).drop("lists")
         near = cut(near.union(verified(cut(rest.join(pairs, ["y_row", "y_line", "x_row", "x_line"], "left_anti")), table, p)).distinct())
     # of equal sets only the first place stays, unless an earlier line is similar to it
-    best = distinct_lines(table).groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "line")).alias("at")).select("at.row", "at.line")
+    best = distinct_lines(table, p).groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "line")).alias("at")).select("at.row", "at.line")
     keepers = best.join(near.select(F.col("y_row").alias("row"), F.col("y_line").alias("line")), ["row", "line"], "left_anti")
     gone = long_lines(table, p).join(keepers, ["row", "line"], "left_anti")
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("removed"))
 
 
-def distinct_lines(table: DataFrame) -> DataFrame:
+def distinct_lines(table: DataFrame, p: LineParams) -> DataFrame:
+    """The distinct lines of each block that are long enough to count."""
+
     def run(batch: pa.RecordBatch):
         for raw in batch.column(0).to_pylist():
             a = unpack_arrays(raw)
+            a = {k: a[k][a["size"] >= p.min_tokens] for k in ("h1", "h2", "doc", "row", "line")}
             yield pa.RecordBatch.from_arrays([pa.array(a["h1"].view(np.int64)), pa.array(a["h2"].view(np.int64)), pa.array(a["doc"]), pa.array(a["row"]), pa.array(a["line"])], names=["h1", "h2", "doc", "row", "line"])
 
     return map_batches(table.select("data"), "h1 long, h2 long, doc long, row long, line int", run)
