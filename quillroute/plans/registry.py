@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import text as X
-from ..operators import answering, dense, fusion, graph, lexical, metrics, routing
+from ..operators import answering, asking, dense, diagnostics, fusion, graph, learning, lexical, metrics, routing
 from ..streaming.router import route_counts
 from .views import SQL, corpus, edges, questions, table, user_turns
 
@@ -797,6 +797,105 @@ def support_scores(spark, d):
     return e.select("qid", metrics.support_score(F.col("best")).alias("support"))
 
 
+# -- learned routers, diagnostics, graph questions ----------------------------------------
+
+
+@query(None)
+def fit_text_router(spark, d):
+    qs = questions(spark, d)
+    return learning.predict_routes(learning.fit_text_router(qs), qs).select("qid", "gold", "predicted")
+
+
+@query(None)
+def router_out_of_fold(spark, d):
+    return learning.out_of_fold(questions(spark, d))
+
+
+@query(None)
+def fit_linear_router(spark, d):
+    f = diagnostics.route_features(routing.keyword_routes(routing.penalty_routes(questions(spark, d))))
+    names = tuple(c for c in f.columns if c not in ("qid", "bias"))
+    return learning.top_weights(learning.fit_linear(f.join(questions(spark, d).select("qid", "gold"), "qid"), "gold", names, 0.85), 10)
+
+
+def _f(c: str) -> str:
+    return f"({c})::INTEGER::DOUBLE"
+
+
+@query(_with(SQL["questions"], _BENCH, _FEATURES, _PENALTY, _KEYWORD) + "SELECT qid, 1.0::DOUBLE AS bias, round(ln(1 + length(question)) / 6.0, 6) AS query_length_log, round(ln(1 + len(regexp_extract_all(lower(question), '[a-z0-9._:/§-]+'))) / 3.0, 6) AS token_count_log, "
+    + f"{_f(_match(_LOW, S.IDENTIFIER))} AS identifier_heavy, {_f('lexical OR ' + _any(_LOW, diagnostics.EXACT))} AS lexical_exactness, {_f('semantic OR ' + _any(_LOW, diagnostics.ABSTRACT))} AS semantic_abstraction, {_f('deductive OR ' + _any(_LOW, diagnostics.DEDUCTIVE))} AS deductive_cue, {_f('relational OR ' + _any(_LOW, diagnostics.RELATIONAL))} AS relational_bridge, "
+    + f"{_f(_any(_LOW, diagnostics.MULTI_HOP))} AS multi_hop_cue, {_f(_any(_LOW, diagnostics.CONTRAST))} AS negation_or_contrast, round(greatest(0.0, (lexical::INTEGER + semantic::INTEGER + deductive::INTEGER + relational::INTEGER - 1) / 3.0), 6)::DOUBLE AS route_ambiguity, {_f('margin < 0.25')} AS low_ras_margin, {_f(_any(_LOW, diagnostics.NOISE))} AS public_document_noise, "
+    + ", ".join(f"(route = '{b}')::INTEGER::DOUBLE AS computed_route_{b}" for b in routing.BACKENDS) + ", " + ", ".join(f"(keyword_route = '{b}')::INTEGER::DOUBLE AS keyword_route_{b}" for b in routing.BACKENDS) + " FROM kw")
+def route_features(spark, d):
+    return diagnostics.route_features(routing.keyword_routes(routing.penalty_routes(questions(spark, d))))
+
+
+_DW = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9._§:/-]+'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(q(x) for x in diagnostics.STOP) + ")))"
+
+
+@query(_EVIDENCE + ", dg AS (SELECT qid, " + _DW.format("question") + " AS q, " + _DW.format("content") + " AS w, rank, CASE WHEN score <= 0 THEN 0.0 ELSE score / (1.0 + score) END AS s, item_id FROM ev), pr AS (SELECT a.qid, avg(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END) AS red FROM dg a JOIN dg b ON a.qid = b.qid AND a.rank < b.rank GROUP BY a.qid)"
+    + " SELECT qid, round(max(s) FILTER (rank = 1), 6) AS top1_score, round(avg(s), 6) AS topk_score_mean, round(ln(1 + count(*)) / 2.0, 6) AS evidence_count_log, round(max(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, w)) / len(q) END) FILTER (rank = 1), 6)::DOUBLE AS query_overlap_top1, round(coalesce(max(red), 0), 6) AS redundancy FROM dg LEFT JOIN pr USING (qid) GROUP BY qid")
+def evidence_diagnostics(spark, d):
+    return diagnostics.evidence_diagnostics(_evidence(spark, d)).select("qid", "top1_score", "topk_score_mean", "evidence_count_log", "query_overlap_top1", "redundancy")
+
+
+_GQ = "gq AS (SELECT n_nationkey AS qid, CASE n_nationkey % 4 WHEN 0 THEN 'Is c' || n_nationkey || ' a n3?' WHEN 1 THEN 'What path connects c' || n_nationkey || ' and r1?' WHEN 2 THEN 'What property has p' || n_nationkey || '?' ELSE 'Tell about n' || n_nationkey END AS question FROM nation)"
+
+
+def _graph_questions(spark, d):
+    n = F.col("n_nationkey")
+    k = n.cast("string")
+    text = F.when(n % 4 == 0, F.concat(F.lit("Is c"), k, F.lit(" a n3?"))).when(n % 4 == 1, F.concat(F.lit("What path connects c"), k, F.lit(" and r1?"))).when(n % 4 == 2, F.concat(F.lit("What property has p"), k, F.lit("?"))).otherwise(F.concat(F.lit("Tell about n"), k))
+    return table(spark, d, "nation").select(n.alias("qid"), text.alias("question"))
+
+
+@query(_with(SQL["edges"], _GQ) + ", nm AS (SELECT DISTINCT name FROM (SELECT subject AS name FROM edges UNION ALL SELECT object FROM edges)), tk AS (SELECT qid, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM (SELECT qid, regexp_extract_all(lower(question), '[a-z0-9]+') AS t FROM gq)) ".lstrip() + "SELECT qid, name AS entity, min(place)::INTEGER AS place FROM tk JOIN nm ON lower(name) = token GROUP BY ALL")
+def entity_mentions(spark, d):
+    e = edges(spark, d)
+    return asking.mentions(_graph_questions(spark, d), e.select(F.col("subject").alias("name")).union(e.select("object")).distinct())
+
+
+@query(_with(SQL["edges"], _GQ) + ", qt AS (SELECT qid, unnest(t) AS token, len(t) AS n FROM (SELECT qid, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS t FROM gq)), ft AS (SELECT triple_id AS item_id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', subject, predicate, object)), '[a-z0-9]+'))) AS token FROM edges) ".lstrip() + "SELECT qid, item_id, round(count(*) / n, 6) AS score FROM qt JOIN ft USING (token) GROUP BY qid, item_id, n")
+def lexical_facts(spark, d):
+    return asking.lexical_facts(_graph_questions(spark, d), edges(spark, d))
+
+
+@query(None)
+def graph_retrieve(spark, d):
+    return asking.graph_retrieve(_graph_questions(spark, d), edges(spark, d))
+
+
+@query("WITH g AS (SELECT item_id AS qid, [item_id, item_id + 100000] AS gold FROM benchmark), x AS (SELECT qid, unnest(gold) AS id, len(gold) AS n FROM g) SELECT qid, count(doc_id) = max(n) AS covered, count(doc_id) AS found FROM x LEFT JOIN documents ON id = doc_id GROUP BY qid")
+def gold_coverage(spark, d):
+    g = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array("item_id", F.col("item_id") + 100000)).alias("doc_id"))
+    ids = table(spark, d, "documents").select("doc_id", F.lit(1).alias("there"))
+    return g.join(ids, "doc_id", "left").groupBy("qid").agg((F.count("there") == F.count("*")).alias("covered"), F.count("there").alias("found"))
+
+
+@query(_SYS + ", m AS (SELECT system, avg((gold = predicted)::INTEGER) AS a FROM sys GROUP BY system), x AS (SELECT (SELECT a FROM m WHERE system = 'rules_v2') AS candidate, (SELECT a FROM m WHERE system = 'computed') AS base, (SELECT max(a) FROM m WHERE starts_with(system, 'always_')) AS fixed) ".lstrip() + "SELECT round(candidate - base, 6) AS delta, candidate >= fixed AS beats_fixed, CASE WHEN candidate - base >= 0.03 AND candidate >= fixed THEN 'promote' ELSE 'keep' END AS decision FROM x")
+def promotion_gate(spark, d):
+    m = _systems(spark, d).groupBy("system").agg(F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("a"))
+    x = m.agg(F.max(F.when(F.col("system") == "rules_v2", F.col("a"))).alias("candidate"), F.max(F.when(F.col("system") == "computed", F.col("a"))).alias("base"), F.max(F.when(F.col("system").startswith("always_"), F.col("a"))).alias("fixed"))
+    delta, fixed = F.col("candidate") - F.col("base"), F.col("candidate") >= F.col("fixed")
+    return x.select(F.round(delta, 6).alias("delta"), fixed.alias("beats_fixed"), F.when((delta >= 0.03) & fixed, "promote").otherwise("keep").alias("decision"))
+
+
+@query(_SYS + "SELECT c.family, c.qid, k.predicted AS rescued_by FROM sys c JOIN sys k ON c.qid = k.qid AND c.system = 'computed' AND k.system = 'keyword' WHERE c.predicted <> c.gold AND k.predicted = k.gold")
+def failure_rescues(spark, d):
+    s = _systems(spark, d)
+    c = s.filter("system = 'computed' and predicted <> gold").select("qid", "family")
+    return c.join(s.filter("system = 'keyword' and predicted = gold").select("qid", F.col("predicted").alias("rescued_by")), "qid").select("family", "qid", "rescued_by")
+
+
+@query(_SYS + ", a AS (SELECT system, family, avg((gold = predicted)::INTEGER) AS a FROM sys GROUP BY ALL), b AS (SELECT family, max(a) FILTER (system = 'computed') AS base FROM a GROUP BY family) ".lstrip() + "SELECT system, family, round(a - base, 6) AS gain FROM a JOIN b USING (family) WHERE a > base")
+def baseline_wins(spark, d):
+    from pyspark.sql import Window
+
+    a = _systems(spark, d).groupBy("system", "family").agg(F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("a"))
+    base = F.max(F.when(F.col("system") == "computed", F.col("a"))).over(Window.partitionBy("family"))
+    return a.withColumn("base", base).filter("a > base").select("system", "family", F.round(F.col("a") - F.col("base"), 6).alias("gain"))
+
+
 @query(None)
 def stream_route_counts(spark, d):
     return route_counts(table(spark, d, "events"))
