@@ -91,3 +91,36 @@ def negated_words(question: Column, per_span: int = 6) -> Column:
     spans = F.flatten(F.array(*(F.regexp_extract_all(q, F.lit(rf"{m}\s+([^,?.;:]+)"), F.lit(1)) for m in NEGATIONS)))
     picked = F.flatten(F.transform(spans, lambda s: F.slice(F.array_sort(content_words(s)), 1, per_span)))
     return F.array_sort(F.array_distinct(picked))
+
+
+def first_listed(text: Column, terms: dict[str, str]) -> Column:
+    """The value of the first listed term that occurs as a word (optionally with a plural s); null if none does."""
+    from .text import AFTER, BEFORE
+
+    out = F.lit(None).cast("string")
+    for term, value in reversed(terms.items()):
+        out = F.when(F.lower(text).rlike(BEFORE + term + "s?" + AFTER), value).otherwise(out)
+    return out
+
+
+def choice(raw: Column) -> Column:
+    """An A/B/Tie choice however written; null for anything else."""
+    x = F.lower(F.trim(raw))
+    return F.when(x == "a", "A").when(x == "b", "B").when(x == "tie", "Tie")
+
+
+def rating(raw: Column, low: int = 1, high: int = 3) -> Column:
+    """A rating on a scale, 0 where it is missing or off the scale."""
+    x = raw.try_cast("int")
+    return F.when(x.between(low, high), x).otherwise(0)
+
+
+def unknown_tags(tags: Column, allowed: tuple[str, ...]) -> Column:
+    return F.array_sort(F.array_except(tags, F.array(*(F.lit(a) for a in allowed))))
+
+
+def source_flags(source: Column) -> dict[str, Column]:
+    """Which kinds of corpus a source string names."""
+    s = F.lower(source)
+    kinds = {"curated": ("curated",), "external": ("external",), "generalization": ("generalization",), "public_raw": ("public",), "adversarial": ("adversarial",), "open_corpus": ("open", "source_pack", "runtime"), "formal_spec": ("rfc", "spec", "formal")}
+    return {f"source_{k}": has_any(s, v) for k, v in kinds.items()}

@@ -166,3 +166,33 @@ def lead_summary(text: Column, sentences_: int = 3, limit: int = 420) -> Column:
 def node_name(x: Column) -> Column:
     """A name in the text form of a graph."""
     return F.translate(x, " -", "__")
+
+
+def public_text(markup: Column, cap: int = 5000) -> Column:
+    """plain_text() without URLs, cut at ``cap`` characters (the cap is the feature: a fetched page's lead)."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(plain_text(markup), r"https?://\S+", " "), r"\s+", " ")), 1, cap)
+
+
+def entity_form(name: Column, aliases: dict[str, str], endings: tuple[str, ...] = ()) -> Column:
+    """A name in normal form: cleaned, without class words at its end, alias resolved, singular by a dropped s."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"^(?:an?|the)\s+", ""), r"[^a-z0-9_ -]+", " "))
+    clean = F.regexp_replace(clean, r"\s+", " ")
+    if endings:
+        clean = F.regexp_replace(clean, "(" + "|".join(endings) + ")$", "")
+    table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)) if aliases else F.create_map().cast("map<string,string>")
+    singular = F.when(F.endswith(clean, F.lit("s")), F.try_element_at(table, F.regexp_replace(clean, "s$", "")))
+    return F.coalesce(F.try_element_at(table, clean), singular, F.replace(clean, F.lit(" "), F.lit("_")))
+
+
+def resource_name(namespace: str, name: Column) -> Column:
+    return F.concat(F.lit(namespace), F.url_encode(F.replace(name, F.lit(" "), F.lit("_"))))
+
+
+def provenance(triple_id: Column) -> Column:
+    return F.when(F.startswith(triple_id, F.lit("xkg_")), "extracted").when(F.startswith(triple_id, F.lit("mixed_")), "mixed").otherwise("curated")
+
+
+def evidence_ids(item_id: Column, metadata: Column, keys: tuple[str, ...] = ("component_ids", "triple_id", "path_id", "parent_doc_id", "chunk_id")) -> Column:
+    """All ids an evidence item stands for: its own and the comma-separated ones of some metadata."""
+    parts = F.flatten(F.array(F.array(item_id), *(F.split(F.coalesce(F.try_element_at(metadata, F.lit(k)), F.lit("")), ",") for k in keys)))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))

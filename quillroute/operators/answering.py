@@ -56,7 +56,7 @@ def answers(routed: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def rationale() -> Column:
     score = by_backend({b: F.col(f"score_{b}") for b in BACKENDS}, F.lit(None).cast("double"))
-    return F.concat(F.lit("Selected "), F.col("route"), F.lit(" for "), by_backend(FAMILY, F.col("route")), F.lit(" signals with minimum RAS="), F.format_string("%.3f", score), F.lit("."))
+    return F.concat(F.lit("Selected "), F.col("route"), F.lit(" for "), by_backend(FAMILY, F.col("route")), F.lit(" signals with minimum penalty="), F.format_string("%.3f", score), F.lit("."))
 
 
 def traces(routed: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -99,3 +99,8 @@ def failure_buckets(rows: DataFrame) -> DataFrame:
         F.when((F.col("family") == "relational") & ~F.col("hit"), "hybrid_fusion_miss"),
     )))
     return rows.select("qid", F.explode(buckets).alias("bucket"))
+
+
+def prompt(question: Column, evidence: Column) -> Column:
+    """The text that a language model would be asked with."""
+    return F.concat_ws("\n", F.concat(F.lit("Question: "), question), F.lit("Evidence:"), F.array_join(F.transform(evidence, lambda e: F.concat(F.lit("- "), e)), "\n"))

@@ -39,7 +39,7 @@ def route_features(routed: DataFrame) -> DataFrame:
         "multi_hop_cue": num(S.has_any(q, MULTI_HOP)),
         "negation_or_contrast": num(S.has_any(q, CONTRAST)),
         "route_ambiguity": F.greatest(F.lit(0.0), (flags - 1) / 3.0),
-        "low_ras_margin": num(F.col("margin") < 0.25),
+        "low_margin": num(F.col("margin") < 0.25),
         "public_document_noise": num(S.has_any(q, NOISE)),
         **{f"computed_route_{b}": num(F.col("route") == b) for b in BACKENDS},
         **{f"keyword_route_{b}": num(F.col("keyword_route") == b) for b in BACKENDS},

@@ -142,3 +142,25 @@ def turtle_line(prefix: str = "ex") -> Column:
     """An edge as a line of the graph's text form."""
     name = lambda c: F.translate(F.col(c), " -", "__")
     return F.concat(F.lit(f"{prefix}:"), name("subject"), F.lit(f" {prefix}:"), name("predicate"), F.lit(f" {prefix}:"), name("object"), F.lit(" ."))
+
+
+def local_graph(found: DataFrame, most: int = 80) -> DataFrame:
+    """The first ``most`` different facts of extracted rows (doc_id, sentence_no, pattern_no, match_no, ...), numbered.
+
+    A fact counts at its first place; facts about themselves are left out; a dot at the end
+    of a name is dropped. The limit is the feature: a small graph for one question.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\.+$", "")
+    d = found.withColumns({"subject": bare("subject"), "object": bare("object")}).filter("subject <> object and subject <> '' and object <> ''")
+    first = d.groupBy("subject", "predicate", "object").agg(F.min(F.struct("doc_id", "pattern_no", "sentence_no", "match_no")).alias("at"))
+    kept = numbered_first(first.select("subject", "predicate", "object", F.col("at.doc_id").alias("doc_id"), F.col("at.pattern_no").alias("pattern_no"), F.col("at.sentence_no").alias("sentence_no"), F.col("at.match_no").alias("match_no")), ["doc_id", "pattern_no", "sentence_no", "match_no", "subject", "object"], most)
+    return kept.select(F.concat_ws("_", F.lit("qlg"), F.lpad(F.col("number").cast("string"), 4, "0"), F.col("doc_id").cast("string")).alias("triple_id"), "subject", "predicate", "object", "doc_id")
+
+
+def by_mode(mode: str, curated: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The graph of a mode: curated, extracted, or both merged."""
+    if mode == "curated":
+        return curated
+    if mode == "extracted":
+        return extracted
+    return merge_graphs(curated, extracted, "extracted").drop("origin")

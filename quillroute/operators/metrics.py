@@ -135,3 +135,21 @@ def first_per_family(rows: DataFrame, family: str, order: str, k: int, interleav
     d = rows.withColumn("rn", F.row_number().over(Window.partitionBy(family).orderBy(order))).filter(F.col("rn") <= k)
     by = ("rn", family) if interleave else (family, "rn")
     return d.withColumn("place", F.row_number().over(Window.orderBy(*by)))
+
+
+def token_hit(query_tokens: Column, text_tokens: Column, ids: Column, gold: Column, least: float = 0.45) -> Column:
+    """Whether evidence is right: a gold id is among its ids, or enough of the gold tokens are in its text."""
+    share = F.when(F.size(query_tokens) == 0, 0.0).otherwise(F.size(F.array_intersect(query_tokens, text_tokens)) / F.size(query_tokens))
+    return F.arrays_overlap(ids, gold) | (share >= least)
+
+
+def all_gold(ids: Column, gold: Column) -> Column:
+    return F.size(F.array_except(gold, ids)) == 0
+
+
+def claims(scores: DataFrame, stated: DataFrame) -> DataFrame:
+    """claim, supported: whether a primary system's value beats a baseline's (or ties, where that is allowed)."""
+    a = scores.select(F.col("system").alias("primary"), F.col("value").alias("p"))
+    b = scores.select(F.col("system").alias("baseline"), F.col("value").alias("b"))
+    d = stated.join(a, "primary").join(b, "baseline")
+    return d.select("claim", F.when(F.col("ties"), F.col("p") >= F.col("b")).otherwise(F.col("p") > F.col("b")).alias("supported"))

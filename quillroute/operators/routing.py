@@ -160,3 +160,29 @@ def best_label(scores: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("score"), order)
     d = scores.withColumns({"rn": F.row_number().over(w), "next": F.lead("score").over(w)})
     return d.filter("rn = 1").select(key, F.col("label").alias("route"), F.round(F.col("score") - F.col("next"), 6).alias("margin"))
+
+
+def tune(decisions: DataFrame, config: str, route: str, gold: str, changed: str) -> DataFrame:
+    """The best configuration: most right routes, then fewest overrides, then name. One row per config is compared."""
+    per = decisions.groupBy(config).agg(F.round(F.avg((F.col(route) == F.col(gold)).cast("double")), 6).alias("accuracy"), F.count_if(changed).alias("overrides"))
+    return per.orderBy(F.desc("accuracy"), "overrides", config).limit(1)
+
+
+def feature_effects(questions: DataFrame, key: str) -> DataFrame:
+    """key, feature, backend, delta: what each active feature adds to each penalty."""
+    # The penalty table's deltas.
+    deltas = (("lexical", "bm25", -0.6), ("lexical", "dense", 0.2), ("semantic", "dense", -0.5), ("deductive", "kg", -0.6), ("relational", "hybrid", -0.7), ("relational", "kg", -0.2))
+    rows = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(b).alias("backend"), F.lit(x).alias("delta"), F.col(f).alias("active")) for f, b, x in deltas))
+    d = with_features(questions).select(key, F.explode(rows).alias("e")).select(key, "e.*")
+    return d.filter("active").select(key, "feature", "backend", "delta")
+
+
+def parse_reply(reply: Column, fallback: Column) -> Column:
+    """The route named in a model's JSON reply, the fallback if there is none that is known."""
+    named = F.lower(F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "route string")["route"])
+    return F.when(named.isin(*BACKENDS), named).otherwise(fallback)
+
+
+def seeded_route(key: Column, seed: int) -> Column:
+    """A random but repeatable route."""
+    return F.element_at(F.array(*(F.lit(b) for b in BACKENDS)), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(4)) + 1).cast("int"))

@@ -575,7 +575,7 @@ _BEST = "CASE route WHEN 'bm25' THEN score_bm25 WHEN 'dense' THEN score_dense WH
 @query(_ANSWERED + f""" SELECT qid, unnest([1, 2, 3, 4, 5]) AS step_no, unnest(['parse_query_features', 'score_ras', 'select_backend', 'retrieve_evidence', 'synthesize_answer']) AS step,
  unnest([array_to_string(list_filter([CASE WHEN lexical THEN 'lexical' END, CASE WHEN semantic THEN 'semantic' END, CASE WHEN deductive THEN 'deductive' END, CASE WHEN relational THEN 'relational' END], lambda x: x IS NOT NULL), ','),
  'bm25=' || printf('%.3f', score_bm25) || ',dense=' || printf('%.3f', score_dense) || ',kg=' || printf('%.3f', score_kg) || ',hybrid=' || printf('%.3f', score_hybrid),
- 'Selected ' || route || ' for ' || {_FAM} || ' signals with minimum RAS=' || printf('%.3f', {_BEST}) || '.', evidence_ids, evidence_ids]) AS detail FROM ans""")
+ 'Selected ' || route || ' for ' || {_FAM} || ' signals with minimum penalty=' || printf('%.3f', {_BEST}) || '.', evidence_ids, evidence_ids]) AS detail FROM ans""")
 def reasoning_traces(spark, d):
     return answering.traces(routing.penalty_routes(questions(spark, d)), _evidence(spark, d))
 
@@ -824,7 +824,7 @@ def _f(c: str) -> str:
 
 @query(_with(SQL["questions"], _BENCH, _FEATURES, _PENALTY, _KEYWORD) + "SELECT qid, 1.0::DOUBLE AS bias, round(ln(1 + length(question)) / 6.0, 6) AS query_length_log, round(ln(1 + len(regexp_extract_all(lower(question), '[a-z0-9._:/§-]+'))) / 3.0, 6) AS token_count_log, "
     + f"{_f(_match(_LOW, S.IDENTIFIER))} AS identifier_heavy, {_f('lexical OR ' + _any(_LOW, diagnostics.EXACT))} AS lexical_exactness, {_f('semantic OR ' + _any(_LOW, diagnostics.ABSTRACT))} AS semantic_abstraction, {_f('deductive OR ' + _any(_LOW, diagnostics.DEDUCTIVE))} AS deductive_cue, {_f('relational OR ' + _any(_LOW, diagnostics.RELATIONAL))} AS relational_bridge, "
-    + f"{_f(_any(_LOW, diagnostics.MULTI_HOP))} AS multi_hop_cue, {_f(_any(_LOW, diagnostics.CONTRAST))} AS negation_or_contrast, round(greatest(0.0, (lexical::INTEGER + semantic::INTEGER + deductive::INTEGER + relational::INTEGER - 1) / 3.0), 6)::DOUBLE AS route_ambiguity, {_f('margin < 0.25')} AS low_ras_margin, {_f(_any(_LOW, diagnostics.NOISE))} AS public_document_noise, "
+    + f"{_f(_any(_LOW, diagnostics.MULTI_HOP))} AS multi_hop_cue, {_f(_any(_LOW, diagnostics.CONTRAST))} AS negation_or_contrast, round(greatest(0.0, (lexical::INTEGER + semantic::INTEGER + deductive::INTEGER + relational::INTEGER - 1) / 3.0), 6)::DOUBLE AS route_ambiguity, {_f('margin < 0.25')} AS low_margin, {_f(_any(_LOW, diagnostics.NOISE))} AS public_document_noise, "
     + ", ".join(f"(route = '{b}')::INTEGER::DOUBLE AS computed_route_{b}" for b in routing.BACKENDS) + ", " + ", ".join(f"(keyword_route = '{b}')::INTEGER::DOUBLE AS keyword_route_{b}" for b in routing.BACKENDS) + " FROM kw")
 def route_features(spark, d):
     return diagnostics.route_features(routing.keyword_routes(routing.penalty_routes(questions(spark, d))))
@@ -896,6 +896,69 @@ def baseline_wins(spark, d):
     return a.withColumn("base", base).filter("a > base").select("system", "family", F.round(F.col("a") - F.col("base"), 6).alias("gain"))
 
 
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g'))[1:5000] AS text FROM (SELECT page_id, {_PLAIN} AS text FROM pages)")
+def public_text(spark, d):
+    return table(spark, d, "pages").select("page_id", X.public_text(F.col("html")).alias("text"))
+
+
+_ALIASES = {"region": "area", "nations": "nation", "building": "construction"}
+
+
+@query("SELECT c_custkey, c_mktsegment, CASE WHEN lower(c_mktsegment) = 'building' THEN 'construction' ELSE replace(lower(c_mktsegment), ' ', '_') END AS form FROM customer")
+def entity_forms(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment", X.entity_form(F.col("c_mktsegment"), _ALIASES).alias("form"))
+
+
+@query("SELECT source, CASE WHEN starts_with(triple_id, 'xkg_') THEN 'extracted' ELSE 'curated' END AS provenance, count(*) AS n FROM (" + _with(SQL["edges"]) + "SELECT CASE WHEN source = 'part' THEN 'xkg_' || triple_id ELSE triple_id END AS triple_id, source FROM edges) GROUP BY ALL")
+def graph_provenance(spark, d):
+    e = edges(spark, d).withColumn("triple_id", F.when(F.col("source") == "part", F.concat(F.lit("xkg_"), "triple_id")).otherwise(F.col("triple_id")))
+    return e.groupBy("source", X.provenance(F.col("triple_id")).alias("provenance")).agg(F.count("*").alias("n"))
+
+
+@query(_with(SQL["questions"], SQL["user_turns"], _ALL, _FEATURES) + ", e(feature, backend, delta) AS (VALUES ('lexical', 'bm25', -0.6::DOUBLE), ('lexical', 'dense', 0.2), ('semantic', 'dense', -0.5), ('deductive', 'kg', -0.6), ('relational', 'hybrid', -0.7), ('relational', 'kg', -0.2)) ".lstrip() + "SELECT qid, feature, backend, delta FROM feat, e WHERE CASE feature WHEN 'lexical' THEN lexical WHEN 'semantic' THEN semantic WHEN 'deductive' THEN deductive ELSE relational END")
+def route_feature_effects(spark, d):
+    return routing.feature_effects(_all_questions(spark, d), "qid")
+
+
+@query(_SYS + "SELECT system AS config, round(avg((gold = predicted)::INTEGER), 6) AS accuracy, count_if(predicted <> base) AS overrides FROM (SELECT s.*, c.predicted AS base FROM sys s JOIN sys c USING (qid) WHERE c.system = 'computed' AND s.system IN ('computed', 'keyword', 'rules_v2')) GROUP BY system ORDER BY accuracy DESC, overrides, config LIMIT 1")
+def tuned_config(spark, d):
+    s = _systems(spark, d).filter(F.col("system").isin("computed", "keyword", "rules_v2"))
+    base = s.filter("system = 'computed'").select("qid", F.col("predicted").alias("base"))
+    rows = s.join(base, "qid").withColumn("changed", F.col("predicted") != F.col("base")).withColumnRenamed("system", "config")
+    return routing.tune(rows, "config", "predicted", "gold", "changed")
+
+
+@query(_SYS + ", m AS (SELECT system, avg((gold = predicted)::INTEGER) AS value FROM sys GROUP BY system) ".lstrip() + "SELECT claim, CASE WHEN ties THEN p.value >= b.value ELSE p.value > b.value END AS supported FROM (VALUES ('routing beats bm25', 'computed', 'always_bm25', false), ('routing beats graph', 'computed', 'always_kg', false), ('rules do not hurt', 'rules_v2', 'computed', true)) c(claim, prim, baseline, ties) JOIN m p ON p.system = prim JOIN m b ON b.system = baseline")
+def claim_validation(spark, d):
+    m = _systems(spark, d).groupBy("system").agg(F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("value"))
+    stated = spark.createDataFrame([("routing beats bm25", "computed", "always_bm25", False), ("routing beats graph", "computed", "always_kg", False), ("rules do not hurt", "rules_v2", "computed", True)], "claim string, primary string, baseline string, ties boolean")
+    return metrics.claims(m, stated)
+
+
+@query(_with(_SENT, _FOUND) + "SELECT 'qlg_' || lpad((row_number() OVER (ORDER BY doc_id, pattern_no, sentence_no, match_no, subject, object) - 1)::VARCHAR, 4, '0') || '_' || doc_id AS triple_id, subject, predicate, object, doc_id FROM (SELECT subject, predicate, object, x.doc_id AS doc_id, x.pattern_no AS pattern_no, x.sentence_no AS sentence_no, x.match_no AS match_no FROM (SELECT subject, predicate, object, min({'doc_id': doc_id, 'pattern_no': pattern_no, 'sentence_no': sentence_no, 'match_no': match_no}) AS x FROM found WHERE subject <> object GROUP BY ALL)) ORDER BY doc_id, pattern_no, sentence_no, match_no, subject, object LIMIT 80")
+def query_local_graph(spark, d):
+    return graph.local_graph(_extracted(spark, d))
+
+
+@query(_EVIDENCE + " SELECT qid, 'Question: ' || question || chr(10) || 'Evidence:' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY rank) AS prompt FROM ev GROUP BY qid, question")
+def prompts(spark, d):
+    e = _evidence(spark, d).groupBy("qid", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("e"))
+    return e.select("qid", answering.prompt(F.col("question"), F.transform("e", lambda x: x["content"])).alias("prompt"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'A' WHEN event_type = 'view' THEN 'B' END AS choice, CASE WHEN event_id % 5 BETWEEN 1 AND 3 THEN (event_id % 5)::INTEGER ELSE 0 END AS score FROM events")
+def coerced_annotations(spark, d):
+    e = table(spark, d, "events")
+    raw = F.when(F.col("event_type") == "click", " a").when(F.col("event_type") == "view", "B ").otherwise("?")
+    return e.select("event_id", S.choice(raw).alias("choice"), S.rating((F.col("event_id") % 5).cast("string")).alias("score"))
+
+
+@query(None)
+def hybrid_topk(spark, d):
+    relational = routing.with_features(questions(spark, d)).filter("relational")
+    return fusion.hybrid_retrieve(_ranked(spark, d), relational_bundles(spark, d), relational, 5)
+
+
 @query(None)
 def stream_route_counts(spark, d):
     return route_counts(table(spark, d, "events"))
