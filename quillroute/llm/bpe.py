@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import map_batches, texts, worker_cache
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A blank before white space, or at the end: such texts are split by the full pattern.
@@ -210,6 +210,15 @@ class ByteBpe:
 _loaded: dict[str, ByteBpe] = {}
 
 
+def _clear() -> bool:
+    held = any(b.pieces for b in _loaded.values())
+    _loaded.clear()
+    return held
+
+
+worker_cache("bpe", _clear)
+
+
 def load(path: str) -> ByteBpe:
     if path not in _loaded:
         _loaded[path] = ByteBpe(path)
@@ -232,7 +241,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") ->
         bpe = load(resolve(vocabulary))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(t or "") for t in texts(batch.column(1))], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, ids array<int>", run)
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, ids array<int>", run, keep="bpe")
 
 
 def decode_documents(ids: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -242,7 +251,7 @@ def decode_documents(ids: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> D
         bpe = load(resolve(vocabulary))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else bpe.decode(np.array(x)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return map_batches(ids.select("doc_id", "ids"), "doc_id long, text string", run)
+    return map_batches(ids.select("doc_id", "ids"), "doc_id long, text string", run, keep="bpe")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -268,4 +277,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -
             text_sha.append(hashlib.sha256(decoded).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run, keep="bpe")

@@ -23,11 +23,15 @@ from pyspark.sql import types as T
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 _PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: dict[str, bool] = {}
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per Spark application."""
     sc = spark.sparkContext
+    # whole texts are long rows: Spark's usual batch of them would be tens of megabytes
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "2000")
     if _shipped.get(sc.applicationId):
         return
     target = Path(tempfile.mkdtemp()) / f"{_PACKAGE.name}_{sc.applicationId}.zip"
@@ -65,11 +69,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else cut(df)
 
 
-def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are skipped."""
+_caches: dict[str, Callable[[], bool]] = {}
+
+
+def worker_cache(name: str, clear: Callable[[], bool]) -> None:
+    """Registers what a worker keeps between tasks; ``clear`` empties it and says whether it held anything."""
+    _caches[name] = clear
+
+
+def drop_caches(keep: str | None = None) -> None:
+    """Empties what other operators keep in this worker: workers outlive stages."""
+    if any([clear() for name, clear in _caches.items() if name != keep]):
+        release_memory()
+
+
+def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], keep: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; empty batches are skipped. ``keep`` names its own worker cache."""
     ship_package(df.sparkSession)
 
     def run(batches):
+        drop_caches(keep)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -205,15 +224,20 @@ class Bits:
         return (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bits_of(df: DataFrame, key: str, bits: int = 26) -> Bits:
-    """The keys of a column as Bits, put together in pieces of fixed size on the executors."""
+def bits_of(df: DataFrame, columns: list[str], key: Callable[..., np.ndarray] | None = None, bits: int = 26) -> Bits:
+    """Keys as Bits, put together in pieces of fixed size on the executors.
+
+    A key is the one column, or what ``key`` makes of the columns' arrays.
+    """
     pieces = 64
 
     def local(batches):
+        drop_caches()
         found = Bits(bits)
         for batch in batches:
             if batch.num_rows:
-                found.add(batch.column(0).to_numpy(zero_copy_only=False))
+                arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                found.add(key(*arrays) if key else arrays[0])
         if found.words.any():
             for i, part in enumerate(np.split(found.words, pieces)):
                 if part.any():
@@ -227,7 +251,7 @@ def bits_of(df: DataFrame, key: str, bits: int = 26) -> Bits:
 
     ship_package(df.sparkSession)
     schema = "piece int, words binary"
-    rows = df.select(F.col(key).cast("long").alias("key")).mapInArrow(local, schema).groupBy("piece").applyInPandas(merge, schema).collect()
+    rows = df.select(*(F.col(c).cast("long").alias(c) for c in columns)).mapInArrow(local, schema).groupBy("piece").applyInPandas(merge, schema).collect()
     out = Bits(bits)
     step = len(out.words) // pieces
     for r in rows:

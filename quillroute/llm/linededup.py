@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Ids, bits_of, cut, map_batches, pack_arrays, release_memory, run_starts, settled, ship_package, text_bytes, unpack_arrays
+from .common import Bits, Ids, bits_of, cut, drop_caches, map_batches, pack_arrays, release_memory, run_starts, settled, ship_package, text_bytes, unpack_arrays
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class LineParams:
     rarity_bits: int = 22
     enough: int = 2
     likely: float = 0.85
-    block_bytes: int = 6_000_000
+    block_bytes: int = 3_000_000
     list_rows: int = 300_000
 
 
@@ -222,6 +222,8 @@ def lists(table: DataFrame, counts, parts: int, p: LineParams, only: Bits | None
                 if ends[i + 1] > ends[i]:
                     at = order[ends[i] : ends[i + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack_arrays(**{k: v[at] for k, v in a.items()})], pa.binary())], names=["part", "data"])
+            del a, part, order
+            release_memory()
 
     return map_batches(table.select("data"), "part int, data binary", run)
 
@@ -229,22 +231,41 @@ def lists(table: DataFrame, counts, parts: int, p: LineParams, only: Bits | None
 # -- 4. candidates --------------------------------------------------------------------
 
 
+_LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def by_key(key: np.ndarray) -> np.ndarray:
+    """Positions in the order of 32-bit keys, equal ones in the order they are in."""
+    both = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & _LOW32).astype(np.int64)
+
+
+def in_list_order(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Lists one after the other, each by (doc, row, line); of equal lines in a list only the first."""
+    doc, line = a["doc"], a["line"].astype(np.int64)
+    order = None
+    if len(doc) and doc.min() >= 0 and doc.max() < 1 << 42 and line.max() < 1 << 20:
+        place = (doc << 20) | line
+        order = np.argsort(place)
+        place, row = place[order], a["row"][order]
+        if ((place[1:] == place[:-1]) & (row[1:] != row[:-1])).any():  # an id in several rows
+            order = None
+    if order is None:
+        order = np.lexsort((a["line"], a["row"], a["doc"]))
+    order = order[by_key(a["token"][order])]
+    token, line_key = a["token"][order], a["line_key"][order]
+    at = by_key((mix(line_key ^ mix(token.astype(np.uint64), 7), 8) >> np.uint64(32)).astype(np.uint32))
+    same = (line_key[at[1:]] == line_key[at[:-1]]) & (token[at[1:]] == token[at[:-1]])
+    first = np.ones(len(order), bool)
+    first[at[1:][same]] = False
+    order = order[first]
+    return {k: v[order] for k, v in a.items()}
+
+
 def candidates_in(a: dict[str, np.ndarray], p: LineParams, enough: int | None, wanted: Bits | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Pairs (later, earlier) of one part that no filter rules out, and which later lines stopped early."""
-    order = np.lexsort((a["line"], a["row"], a["doc"]))
-    order = order[np.argsort(a["token"][order], kind="stable")]
-    a = {k: v[order] for k, v in a.items()}
-    # of equal lines in a list, the first one stands for all
-    both = mix(a["line_key"] ^ mix(a["token"].astype(np.uint64), 7), 8)
-    first = np.zeros(len(order), bool)
-    first[np.unique(both, return_index=True)[1]] = True
-    again = np.flatnonzero(~first)
-    if len(again):  # a clash of two different lines keeps both
-        lead = np.flatnonzero(first)
-        lead = lead[np.argsort(both[lead])]
-        own = lead[np.searchsorted(both[lead], both[again])]
-        first[again] = (a["line_key"][again] != a["line_key"][own]) | (a["token"][again] != a["token"][own])
-    a = {k: v[first] for k, v in a.items()}
+    a = in_list_order(a)
     m = len(a["token"])
     token, n, pos, b0, b1 = a["token"], a["n"].astype(np.float32), a["pos"].astype(np.float32), a["b0"], a["b1"]
     starts = run_starts(token)
@@ -303,6 +324,7 @@ def candidate_pairs(posted: DataFrame, p: LineParams, enough: int | None, wanted
     """Candidate pairs with the number of lists that have them; a null x says that the line stopped looking."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_caches()
         some = [unpack_arrays(raw) for raw in pdf["data"]]
         y, x, stopped, a = candidates_in({k: np.concatenate([s[k] for s in some]) for k in some[0]}, p, enough, wanted)
         found = pd.DataFrame({"y_row": a["row"][y], "y_line": a["line"][y], "x_row": a["row"][x], "x_line": a["line"][x]}).drop_duplicates()
@@ -321,7 +343,7 @@ def candidate_pairs(posted: DataFrame, p: LineParams, enough: int | None, wanted
 
 
 def line_sets(table: DataFrame, wanted) -> DataFrame:
-    """row, line, words (sorted 64-bit hashes) of the distinct lines that ``wanted`` may hold."""
+    """row, line, words (64-bit hashes) of the distinct lines that ``wanted`` may hold."""
 
     def run(batch: pa.RecordBatch):
         for raw in batch.column(0).to_pylist():
@@ -329,8 +351,11 @@ def line_sets(table: DataFrame, wanted) -> DataFrame:
             hit = np.flatnonzero(wanted.value.has(line_id(a["row"], a["line"])))
             if not len(hit):
                 continue
-            ends = np.cumsum(a["size"].astype(np.int64))
-            sets = [np.sort(a["hash"][a["tok"][ends[i] - a["size"][i] : ends[i]]]).tobytes() for i in hit.tolist()]
+            n = a["size"][hit].astype(np.int64)
+            begin = np.cumsum(a["size"].astype(np.int64))[hit] - n
+            ends = np.cumsum(n)
+            raw = a["hash"][a["tok"][np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)]].tobytes()
+            sets = [raw[8 * i : 8 * j] for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
             for lo in range(0, len(hit), 5000):
                 at = hit[lo : lo + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array(a["row"][at]), pa.array(a["line"][at]), pa.array(sets[lo : lo + 5000], pa.binary())], names=["row", "line", "words"])
@@ -351,11 +376,7 @@ def verified(pairs: DataFrame, table: DataFrame, p: LineParams) -> DataFrame:
     spark = pairs.sparkSession
     ends = pairs.select(F.explode(F.array(F.struct(F.col("y_row").alias("r"), F.col("y_line").alias("l")), F.struct(F.col("x_row").alias("r"), F.col("x_line").alias("l")))).alias("e")).select("e.r", "e.l").distinct()
 
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = line_id(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], names=["key"])
-
-    wanted = spark.sparkContext.broadcast(bits_of(map_batches(ends, "key long", keys), "key"))
+    wanted = spark.sparkContext.broadcast(bits_of(ends, ["r", "l"], line_id))
     sets = cut(line_sets(table, wanted))
     x = sets.select(F.col("row").alias("x_row"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("row").alias("y_row"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
@@ -371,14 +392,6 @@ def verified(pairs: DataFrame, table: DataFrame, p: LineParams) -> DataFrame:
 # -- whole ----------------------------------------------------------------------------
 
 
-def _keys_of(ends: DataFrame) -> DataFrame:
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = line_id(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], names=["key"])
-
-    return map_batches(ends, "key long", keys)
-
-
 def removed_lines(numbered: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """row, removed (line numbers from 0, ascending) for the rows that lose lines.
 
@@ -406,8 +419,8 @@ def removed_lines(numbered: DataFrame, p: LineParams = LineParams()) -> DataFram
     again = cut(stopped.join(near, ["y_row", "y_line"], "left_anti"))
     if not again.isEmpty():
         # few lines as a rule: only the lists of their words are built again
-        wanted = bits_of(_keys_of(again), "key")
-        some = lists(table, counts, parts, p, bits_of(prefix_words(table, counts, wanted, p), "key"))
+        wanted = bits_of(again, y, line_id)
+        some = lists(table, counts, parts, p, bits_of(prefix_words(table, counts, wanted, p), ["key"]))
         rest = candidate_pairs(some, p, None, wanted).filter(F.col("x_row").isNotNull()).drop("lists")
         near = cut(near.union(verified(cut(rest.join(pairs, ["y_row", "y_line", "x_row", "x_line"], "left_anti")), table, p)).distinct())
     # of equal sets only the first place stays, unless an earlier line is similar to it

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, connected_components, cut, map_batches, pack_arrays, run_starts, settled, ship_package, text_bytes, unpack_arrays
+from .common import bits_of, connected_components, cut, drop_caches, map_batches, pack_arrays, run_starts, settled, ship_package, text_bytes, unpack_arrays, worker_cache
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 300_000:
             self[word] = h
         return h
 
@@ -60,6 +60,15 @@ class _Words(dict):
 _words = _Words()
 
 
+def _clear() -> bool:
+    held = bool(_words)
+    _words.clear()
+    return held
+
+
+worker_cache("neardup", _clear)
+
+
 def shingles(b: bytes | None, p: NearDupParams) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; with too few words, of all of them."""
     words = (b or b"").lower().split()
@@ -102,7 +111,7 @@ def signatures(numbered: DataFrame, p: NearDupParams) -> DataFrame:
             sig = [signature(s, p).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sig, pa.binary())], names=["row", "doc_id", "n", "h1", "h2", "signature"])
 
-    return map_batches(numbered.select("row", "doc_id", "text"), "row long, doc_id long, n long, h1 long, h2 long, signature binary", run)
+    return map_batches(numbered.select("row", "doc_id", "text"), "row long, doc_id long, n long, h1 long, h2 long, signature binary", run, keep="neardup")
 
 
 # -- candidates -----------------------------------------------------------------------
@@ -295,6 +304,7 @@ def links(sets: DataFrame, clusters: DataFrame, p: NearDupParams) -> DataFrame:
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(256))).otherwise(F.xxhash64("component", "i", "j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_caches()
         out = []
         for (_, i, j), g in pdf.groupby(["component", "i", "j"], sort=False):
             x, y = g[g["b"] == i], g[g["b"] == j]
@@ -323,7 +333,7 @@ def shingle_sets(numbered: DataFrame, wanted, p: NearDupParams) -> DataFrame:
             part = some.slice(lo, 500)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(b, p).tobytes() for b in text_bytes(part.column(1))], pa.binary())], names=["row", "words"])
 
-    return map_batches(numbered.select("row", "text"), "row long, words binary", run)
+    return map_batches(numbered.select("row", "text"), "row long, words binary", run, keep="neardup")
 
 
 # -- whole ----------------------------------------------------------------------------
@@ -344,7 +354,7 @@ def components(numbered: DataFrame, p: NearDupParams = NearDupParams()) -> DataF
     nodes = sigs.join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
     total = reps.count()
     clusters = cut(connected_components(cut(candidate_edges(nodes, total, p))))
-    wanted = spark.sparkContext.broadcast(bits_of(clusters, "node"))
+    wanted = spark.sparkContext.broadcast(bits_of(clusters, ["node"]))
     found = connected_components(cut(links(shingle_sets(numbered, wanted, p), clusters, p)))
     of_rep = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     ends = of_rep.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("best"))

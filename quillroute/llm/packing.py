@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import resolve
-from .common import cut, map_batches, texts
+from .common import cut, map_batches, release_memory, texts, worker_cache
 
-_CACHE_LIMIT = 1_000_000
 #: White space in Python's sense that the vocabulary's pattern does not take for white space.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
@@ -35,6 +34,8 @@ class PackingParams:
     capacity: int = 4096
     end_id: int = 1
     salts: int = 64
+    #: words whose ids each worker keeps; fewer save memory and cost time
+    known_words: int = 500_000
 
 
 # -- tokens ---------------------------------------------------------------------------
@@ -63,9 +64,11 @@ class WordEncoder:
     marked as a word end, so many of them are encoded in one call and told apart again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = 500_000):
         from tokenizers import Tokenizer
 
+        self.known_words = known_words
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -115,9 +118,10 @@ class WordEncoder:
     def encode_all(self, column: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         for table in (self.known, self.parts):
-            if len(table) > _CACHE_LIMIT:
+            if len(table) > self.known_words:
                 for key in list(islice(table, len(table) // 2)):
                     del table[key]
+                release_memory()
         known = self.known
         split = [[t] if t and any(c in t for c in _NOT_SPACE) else (t or "").split() for t in column]
         new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
@@ -129,9 +133,19 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def _clear() -> bool:
+    held = any(e.known for e in _encoders.values())
+    _encoders.clear()
+    return held
+
+
+worker_cache("packing", _clear)
+
+
+def encoder(path: str, known_words: int = 500_000) -> WordEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, known_words)
+    _encoders[path].known_words = known_words
     return _encoders[path]
 
 
@@ -143,12 +157,12 @@ def tokenize(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
     width = 4 * p.capacity
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(resolve(p.vocabulary))
+        enc = encoder(resolve(p.vocabulary), p.known_words)
         ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
         end = np.array([p.end_id], "<u4").tobytes()
         column = texts(batch.column(1))
-        for lo in range(0, len(column), 500):
-            for doc, raw in zip(ids[lo : lo + 500], enc.encode_all(column[lo : lo + 500]), strict=True):
+        for lo in range(0, len(column), 250):
+            for doc, raw in zip(ids[lo : lo + 250], enc.encode_all(column[lo : lo + 250]), strict=True):
                 raw += end
                 for i, at in enumerate(range(0, len(raw), width)):
                     part = raw[at : at + width]
@@ -157,7 +171,7 @@ def tokenize(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long", run)
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long", run, keep="packing")
 
 
 # -- plan -----------------------------------------------------------------------------
