@@ -35,7 +35,7 @@ class PackingParams:
     end_id: int = 1
     salts: int = 64
     #: words whose ids each worker keeps; fewer save memory and cost time
-    known_words: int = 500_000
+    known_words: int = 1_000_000
 
 
 # -- tokens ---------------------------------------------------------------------------
@@ -64,7 +64,7 @@ class WordEncoder:
     marked as a word end, so many of them are encoded in one call and told apart again.
     """
 
-    def __init__(self, path: str, known_words: int = 500_000):
+    def __init__(self, path: str, known_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.known_words = known_words
@@ -142,7 +142,7 @@ def _clear() -> bool:
 worker_cache("packing", _clear)
 
 
-def encoder(path: str, known_words: int = 500_000) -> WordEncoder:
+def encoder(path: str, known_words: int = 1_000_000) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path, known_words)
     _encoders[path].known_words = known_words
@@ -161,8 +161,8 @@ def tokenize(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
         ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
         end = np.array([p.end_id], "<u4").tobytes()
         column = texts(batch.column(1))
-        for lo in range(0, len(column), 250):
-            for doc, raw in zip(ids[lo : lo + 250], enc.encode_all(column[lo : lo + 250]), strict=True):
+        for lo in range(0, len(column), 500):
+            for doc, raw in zip(ids[lo : lo + 500], enc.encode_all(column[lo : lo + 500]), strict=True):
                 raw += end
                 for i, at in enumerate(range(0, len(raw), width)):
                     part = raw[at : at + width]
