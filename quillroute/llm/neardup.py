@@ -3,8 +3,8 @@
 1. Each text becomes its set of five-word shingles (64-bit hashes) and a signature of
    ``trees * depth`` MinHashes. Equal sets are one node from here on.
 2. Each tree orders the signatures by columns of its own. Nodes whose longest common prefix
-   reaches ``depth`` form a region; in a region that holds more than ``region_limit`` nodes
-   the depth grows until its parts are smaller. Neighbours in a region are candidates.
+   reaches ``depth`` form a region. Neighbours in a region, by set size, are candidates; a
+   region of more than ``region_limit`` nodes is dealt over tasks with overlapping borders.
    A pair at similarity 0.75 shares a region of depth 4 in one of 32 trees with
    probability 1 - (1 - 0.75**4)**32 = 0.999995.
 3. Candidates connect nodes to clusters. In each cluster the whole sets are compared
@@ -117,21 +117,12 @@ def signatures(numbered: DataFrame, p: NearDupParams) -> DataFrame:
 # -- candidates -----------------------------------------------------------------------
 
 
-def tree_columns(tree: int, p: NearDupParams) -> np.ndarray:
-    """The order in which a tree reads the signature: its own columns first, then the others."""
-    return (np.arange(p.trees * p.depth) + tree * p.depth) % (p.trees * p.depth)
-
-
-def prefix_keys(sig: np.ndarray, tree: int, depths: int, p: NearDupParams) -> list[np.ndarray]:
-    """Hashes of the first depth, 2 depth, ... columns of a tree's order."""
-    columns = tree_columns(tree, p)
+def region_keys(sig: np.ndarray, tree: int, p: NearDupParams) -> np.ndarray:
+    """Hashes of a tree's own columns: nodes of equal hashes form a region."""
     h = np.full(len(sig), tree + 1, np.uint64)
-    out = []
-    for i in range(depths * p.depth):
-        h = mix(h ^ (sig[:, columns[i]].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-        if (i + 1) % p.depth == 0:
-            out.append(h)
-    return out
+    for i in range(tree * p.depth, (tree + 1) * p.depth):
+        h = mix(h ^ (sig[:, i].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return h
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -139,11 +130,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1)
 
 
-_DEPTHS = 4
-
-
-def heavy_regions(nodes: DataFrame, p: NearDupParams) -> list[set[int]]:
-    """Per level, keys of regions so large that they are dealt out by their next level.
+def heavy_regions(nodes: DataFrame, p: NearDupParams) -> dict[int, int]:
+    """Keys and sizes of regions so large that they are dealt over several tasks.
 
     Only regions that hold a fixed share of some batch are counted, so there are at most
     some thousands of them however large the corpus is.
@@ -152,39 +140,76 @@ def heavy_regions(nodes: DataFrame, p: NearDupParams) -> list[set[int]]:
     def run(batch: pa.RecordBatch):
         sig = _matrix(batch.column(1))
         for t in range(p.trees):
-            for level, key in enumerate(prefix_keys(sig, t, _DEPTHS - 1, p)):
-                k, n = np.unique(key, return_counts=True)
-                big = n >= p.heavy_share
-                if big.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([level] * int(big.sum()), pa.int32()), pa.array(k[big].view(np.int64)), pa.array(n[big])], names=["level", "key", "n"])
+            k, n = np.unique(region_keys(sig, t, p), return_counts=True)
+            big = n >= p.heavy_share
+            if big.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[big].view(np.int64)), pa.array(n[big])], names=["key", "n"])
 
-    found = map_batches(nodes.select("row", "signature"), "level int, key long, n long", run).groupBy("level", "key").agg(F.sum("n").alias("n")).filter(F.col("n") > p.region_limit).collect()
-    return [{r["key"] for r in found if r["level"] == level} for level in range(_DEPTHS - 1)]
+    found = map_batches(nodes.select("row", "signature"), "key long, n long", run).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > p.region_limit).collect()
+    return {r["key"]: r["n"] for r in found}
 
 
-def regions(nodes: DataFrame, parts: int, p: NearDupParams) -> DataFrame:
-    """part, data: the nodes of all trees, dealt by region as packed arrays."""
-    heavy = [np.array(sorted(h), np.int64).view(np.uint64) for h in heavy_regions(nodes, p)]
+def size_class(n: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """Sets of one class differ in size by less than sets of the needed similarity may."""
+    return np.floor(np.log(n) / max(np.log(100 / p.numerator), 1e-9)).astype(np.int64)
+
+
+def hubs(nodes: DataFrame, heavy: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """Hashes of (key, row) of the least node, by (n, row), of each size class of each heavy region."""
 
     def run(batch: pa.RecordBatch):
         rows, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        sig = _matrix(batch.column(2))
-        all_ = {"deal": [], "key": [], "row": [], "n": [], "next": [], "last": []}
+        sig, size = _matrix(batch.column(2)), size_class(n, p)
+        for t in range(p.trees):
+            key = region_keys(sig, t, p)
+            at = np.flatnonzero(np.isin(key, heavy))
+            at = at[np.lexsort((rows[at], n[at], size[at], key[at]))]
+            new = np.ones(len(at), bool)
+            new[1:] = (key[at][1:] != key[at][:-1]) | (size[at][1:] != size[at][:-1])
+            at = at[new]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(size[at]), pa.array(n[at]), pa.array(rows[at])], names=["key", "size", "n", "row"])
+
+    found = map_batches(nodes.select("row", "n", "signature"), "key long, size long, n long, row long", run).groupBy("key", "size").agg(F.min(F.struct("n", "row")).alias("hub")).select("key", "hub.row").collect()
+    key, row = (np.array([r[name] for r in found], np.int64).view(np.uint64) for name in ("key", "row"))
+    return np.sort(mix(key ^ mix(row)))
+
+
+def regions(nodes: DataFrame, parts: int, p: NearDupParams) -> DataFrame:
+    """part, data: the nodes of all trees, dealt by region as packed arrays.
+
+    A heavy region is dealt into parts of about region_limit nodes by a hash of the row, and
+    its hubs go to all of them. That loses no pair: take sets a, b of the needed similarity,
+    a the smaller. The hub of b's class, no longer than b, is of a's class too or lies
+    between a and b. Either way the neighbours in a's part connect a with it, and those in
+    b's part connect b with it.
+    """
+    sizes = heavy_regions(nodes, p)
+    heavy = np.sort(np.array(list(sizes), np.int64).view(np.uint64))
+    pieces = np.array([-(-sizes[k] // p.region_limit) for k in heavy.view(np.int64).tolist()], np.uint64)
+    shared = hubs(nodes, heavy, p) if len(heavy) else heavy
+
+    def run(batch: pa.RecordBatch):
+        rows, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
+        sig, salt = _matrix(batch.column(2)), mix(rows.astype(np.uint64))
+        all_ = {"key": [], "row": [], "n": []}
         for t in range(p.trees):
-            keys = prefix_keys(sig, t, _DEPTHS, p)
-            deal = keys[0].copy()
-            for level in range(_DEPTHS - 1):
-                if len(heavy[level]):
-                    hot = np.isin(keys[level], heavy[level]) & (deal == keys[level])
-                    deal[hot] = keys[level + 1][hot]
-            for name, v in zip(all_, (deal, deal, rows, n.astype(np.uint32), keys[1], keys[2]), strict=True):
+            key, at = region_keys(sig, t, p), np.arange(len(rows))
+            hot = np.flatnonzero(np.isin(key, heavy))
+            if len(hot):
+                whole = key[hot]
+                of = pieces[np.searchsorted(heavy, whole)]
+                key[hot] = mix(whole ^ (salt[hot] % of + np.uint64(1)))
+                hub = np.flatnonzero(np.isin(mix(whole ^ salt[hot]), shared))
+                for i in hub.tolist():
+                    key = np.concatenate((key, mix(whole[i] ^ np.arange(1, int(of[i]) + 1, dtype=np.uint64))))
+                    at = np.concatenate((at, np.full(int(of[i]), hot[i])))
+            for name, v in zip(all_, (key, rows[at], n[at]), strict=True):
                 all_[name].append(v)
         a = {k: np.concatenate(v) for k, v in all_.items()}
-        part = (a.pop("deal") % np.uint64(parts)).astype(np.int64)
+        part = (a["key"] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        a["next"] = (a["next"] >> np.uint64(40)).astype(np.uint32)
-        a["last"] = (a["last"] >> np.uint64(40)).astype(np.uint32)
         for i in np.flatnonzero(np.diff(ends)).tolist():
             at = order[ends[i] : ends[i + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack_arrays(**{k: v[at] for k, v in a.items()})], pa.binary())], names=["part", "data"])
@@ -215,10 +240,11 @@ def neighbours(a: dict[str, np.ndarray], p: NearDupParams) -> tuple[np.ndarray,
     """Candidate edges of the regions of one part.
 
     A region's nodes are ordered by set size: two sets of the needed similarity differ in
-    size by a factor of 0.75 at most, and so do the neighbours between them.
+    size by a factor of 0.75 at most, and so do the neighbours between them. Regions are
+    split only if keys to split them by are given; regions() gives none, as that loses pairs.
     """
     key = a["key"]
-    for deeper in ("next", "last"):  # split regions that are still too large
+    for deeper in [k for k in ("next", "last") if k in a]:
         k, at, n = np.unique(key, return_inverse=True, return_counts=True)
         big = n[at] > p.region_limit
         if not big.any():

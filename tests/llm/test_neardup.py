@@ -76,3 +76,39 @@ def test_large_regions_are_split():
     a = {"key": np.zeros(n, np.uint64), "row": np.arange(n), "n": np.full(n, 10, np.uint32), "next": (np.arange(n) // 8).astype(np.uint32), "last": (np.arange(n) // 4).astype(np.uint32)}
     u, v = D.neighbours(a, p)
     assert len(u) == 30 and all(i // 4 == j // 4 for i, j in zip(u, v))
+
+
+def test_no_link_is_lost_in_large_regions(spark, docs_of):
+    """Pairs just above 0.75, in regions that are all above the limit."""
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        base = [f"g{i}w{j}" for j in range(90)]
+        for k in range(2):
+            t = list(base)
+            for j in r.sample(range(2), 1):
+                t[20 + 50 * j] = f"x{i}.{k}"
+            rows.append((len(rows), " ".join(t)))
+    out = D.near_duplicates(docs_of(rows).coalesce(2), D.NearDupParams(region_limit=1, heavy_share=1)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in out) == brute(rows)
+    rows = near_copies(7)
+    out = D.near_duplicates(docs_of(rows).coalesce(3), D.NearDupParams(region_limit=2, heavy_share=1)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in out) == brute(rows)
+
+
+def test_parts_of_a_large_region_overlap(spark):
+    """Every two sets of one region whose sizes allow a link are connected, over all parts."""
+    r = random.Random(2)
+    p = D.NearDupParams(region_limit=3, heavy_share=1, trees=1)
+    size = [int(2 ** (r.random() * 9)) + 1 for _ in range(90)]
+    nodes = spark.createDataFrame([(i, n, b"\1" * 16) for i, n in enumerate(size)], "row long, n long, signature binary").repartition(3)
+    edges = D.candidate_edges(nodes, len(size), p).collect()
+    parent = list(range(len(size)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for e in edges:
+        parent[find(e["src"])] = find(e["dst"])
+    assert all(find(i) == find(j) for i in range(len(size)) for j in range(i) if 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j]))
+    assert len(edges) < 4 * len(size)
