@@ -5,7 +5,8 @@ lies in. Spark counts, per host, on how many different pages a subtree occurs (e
 of a page count once); subtrees that recur on many pages are the site's template and are
 deleted. Elements whose name, class, id or role says that they are no article text (menus,
 adverts, comments, forms and the like) go as well, recurring or not. If a page marks its
-article, that is the main text and templates are looked for around it only.
+article, that is the main text; inside it only containers that recur are deleted, so that
+repeated sentences stay.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article main section div body html".split())
+#: Inside a marked article these stay though they recur.
+_PIECES = frozenset("article blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li main p pre summary td th tr".split())
 #: Never article text.
 _CHROME = frozenset("nav footer aside form button select datalist dialog menu svg canvas object audio video map head".split())
 _CHROME_OUTSIDE = frozenset(["header"])
@@ -44,6 +47,8 @@ class HtmlParams:
     min_share: float = 0.02
     #: a subtree with more of its page's text than this is content, not template
     max_page_share: float = 0.5
+    #: the same for a subtree inside a marked article
+    max_article_share: float = 0.25
 
 
 @dataclass
@@ -183,19 +188,25 @@ def parse_page(page: str | None, p: HtmlParams) -> tuple[list[tuple[str, list[in
     blocks, elements = parse(page or "")
     total = sum(len(b.text) for b in blocks)
     marked = any(b.element.article and not b.element.chrome for b in blocks)
-    outside = sorted({e.hash for e in elements if not e.article and e.size and e.size <= p.max_page_share * total})
+
+    def may_go(e: _Element) -> bool:
+        if marked and e.article:
+            return e.tag not in _PIECES and e.tag not in _INLINE and e.size <= p.max_article_share * total
+        return e.size <= p.max_page_share * total
+
+    subtrees = sorted({e.hash for e in elements if e.size and may_go(e)})
     out = []
     for b in blocks:
         e: _Element | None = b.element
         if e.chrome or (marked and not e.article):
             continue
         around = []
-        while not marked and e is not None and e.parent is not None:
-            if e.size <= p.max_page_share * total:
+        while e is not None and e.parent is not None:
+            if may_go(e):
                 around.append(e.hash)
             e = e.parent
         out.append((b.text, around))
-    return out, outside, xxhash.xxh3_64_intdigest("\n".join(b.text for b in blocks)) >> 1
+    return out, subtrees, xxhash.xxh3_64_intdigest("\n".join(b.text for b in blocks)) >> 1
 
 
 _PARSED = "page_id long, url string, host string, row long, content long, subtrees array<long>, text string, blocks array<struct<text:string,around:array<long>>>"

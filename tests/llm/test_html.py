@@ -49,3 +49,15 @@ def test_broken_markup_and_empty_table(spark):
     out = run(spark, [(i, "http://x.y", c, None, None) for i, c in enumerate(cases)])
     assert [out[i]["text"] for i in range(len(cases))] == want
     assert run(spark, []) == {}
+
+
+def test_templates_inside_a_marked_article(spark):
+    def page(i):
+        own = f"<p>Story {i} begins here and has words of its own, number {i}.</p>"
+        return f"<body><{tag}><h1>Title {i}</h1>{own}<p>He said no.</p><div class='x1'><p>Sign up for our list</p></div>{own}</{tag}></body>"
+
+    for tag in ("article", "main"):
+        out = run(spark, [(i, "http://site.org/p", page(i), None, None) for i in range(8)])
+        for i in range(8):
+            own = f"Story {i} begins here and has words of its own, number {i}."
+            assert out[i]["text"] == f"Title {i}\n{own}\nHe said no.\n{own}"
