@@ -33,11 +33,15 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article main section div body html".split())
 #: Inside a marked article these stay though they recur.
-_PIECES = frozenset("article blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li main p pre summary td th tr".split())
+_PIECES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th tr".split())
 #: Never article text.
 _CHROME = frozenset("nav footer aside form button select datalist dialog menu svg canvas object audio video map head".split())
 _CHROME_OUTSIDE = frozenset(["header"])
-_CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertisements banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Whole class names and ids, "_" read as "-".
+_CHROME_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets "
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle comment-form comment-list comment-section comments-area comments-list comments-section cookie-banner cookie-bar cookie-consent cookie-notice footer-links footer-menu footer-nav left-sidebar main-menu main-nav main-navigation nav-bar nav-links nav-menu newsletter-form newsletter-signup page-footer page-navigation post-comments post-navigation related-articles related-content related-links related-posts related-stories right-sidebar share-bar share-buttons share-links sharing-buttons side-bar sidebar-left sidebar-right site-footer site-menu site-nav site-navigation social-buttons social-icons social-links social-media social-share sponsored-content sponsored-links top-nav widget-area".split()
+)
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form toolbar".split())
 
 
@@ -49,14 +53,19 @@ class HtmlParams:
     max_page_share: float = 0.5
     #: the same for a subtree inside a marked article
     max_article_share: float = 0.25
+    #: marked articles with less than this of the text that may be main are taken for teasers
+    min_article_share: float = 1 / 3
 
 
 @dataclass
 class _Element:
     tag: str
     parent: _Element | None
-    chrome: bool
-    article: bool
+    barred: bool  # chrome by its tag, role or a hidden attribute
+    named: bool  # chrome by its class or id, unless it holds most of the page's text
+    mark: bool  # marks an article
+    chrome: bool = False  # or in an element that is
+    article: bool = False
     parts: list[str] = field(default_factory=list)  # what its hash is made of
     size: int = 0
     hash: int = 0
@@ -68,17 +77,14 @@ class _Block:
     element: _Element
 
 
-def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _CHROME or (tag in _CHROME_OUTSIDE and not in_article):
+def _is_barred(tag: str, attributes: str) -> bool:
+    if tag in _CHROME:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
-        if name in ("class", "id") and m[2]:
-            if not _CHROME_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", m[2].lower())):
-                return True
-        elif name == "role" and m[2]:
+        if name == "role" and m[2]:
             if m[2].strip("\"'").lower() in _CHROME_ROLES:
                 return True
         elif name in ("hidden",) or (name == "aria-hidden" and m[2] and "true" in m[2].lower()):
@@ -86,13 +92,19 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _is_named(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body"):
+        return False
+    return any(m[1].lower() in ("class", "id") and m[2] and not _CHROME_NAMES.isdisjoint(m[2].strip("\"'").lower().replace("_", "-").split()) for m in _ATTRIBUTE.finditer(attributes))
+
+
 def _is_article(tag: str, attributes: str) -> bool:
     return tag in ("article", "main") or bool(attributes and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I))
 
 
-def parse(page: str) -> tuple[list[_Block], list[_Element]]:
+def parse(page: str, p: HtmlParams) -> tuple[list[_Block], list[_Element]]:
     """Text blocks in page order and all elements, from markup however broken."""
-    root = _Element("#root", None, False, False)
+    root = _Element("#root", None, False, False, False)
     stack = [root]
     done: list[_Element] = []
     blocks: list[_Block] = []
@@ -170,11 +182,17 @@ def parse(page: str) -> tuple[list[_Block], list[_Element]]:
             if tag == "br":
                 run.append(" ")
             continue
-        up = stack[-1]
-        article = up.article or (not up.chrome and _is_article(tag, attributes))
-        stack.append(_Element(tag, up, up.chrome or _is_chrome(tag, attributes, up.article), article))
+        mark = _is_article(tag, attributes)
+        stack.append(_Element(tag, stack[-1], _is_barred(tag, attributes), not mark and _is_named(tag, attributes), mark))
     flush()
     close(len(stack) - 1)
+    for e in reversed(done):  # parents come first
+        up = e.parent
+        e.article = up.article or (e.mark and not up.chrome)
+        e.chrome = up.chrome or e.barred or (e.named and e.size <= p.max_page_share * root.size) or (e.tag in _CHROME_OUTSIDE and not up.article)
+    for b in blocks:  # an inline element at the start of a block does not stand for all of it
+        while b.element.tag in _INLINE and b.element.size < 0.9 * len(b.text):
+            b.element = b.element.parent
     return blocks, done
 
 
@@ -185,20 +203,22 @@ def host_of(url: str | None) -> str:
 
 def parse_page(page: str | None, p: HtmlParams) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     """Blocks that may be main text with the subtrees they lie in; subtrees that may be template; a hash of the page."""
-    blocks, elements = parse(page or "")
+    blocks, elements = parse(page or "", p)
     total = sum(len(b.text) for b in blocks)
-    marked = any(b.element.article and not b.element.chrome for b in blocks)
+    main = [b for b in blocks if not b.element.chrome]
+    inside = sum(len(b.text) for b in main if b.element.article)
+    marked = inside > 0 and inside >= p.min_article_share * sum(len(b.text) for b in main)
 
     def may_go(e: _Element) -> bool:
         if marked and e.article:
-            return e.tag not in _PIECES and e.tag not in _INLINE and e.size <= p.max_article_share * total
+            return not e.mark and e.tag not in _PIECES and e.tag not in _INLINE and e.size <= p.max_article_share * total
         return e.size <= p.max_page_share * total
 
     subtrees = sorted({e.hash for e in elements if e.size and may_go(e)})
     out = []
-    for b in blocks:
+    for b in main:
         e: _Element | None = b.element
-        if e.chrome or (marked and not e.article):
+        if marked and not e.article:
             continue
         around = []
         while e is not None and e.parent is not None:

@@ -61,3 +61,22 @@ def test_templates_inside_a_marked_article(spark):
         for i in range(8):
             own = f"Story {i} begins here and has words of its own, number {i}."
             assert out[i]["text"] == f"Title {i}\n{own}\nHe said no.\n{own}"
+
+
+def test_names_and_teasers_do_not_drop_the_text(spark):
+    body = "<p>The whole story is told here in many words.</p><p>It goes on for a while.</p>"
+    want = "The whole story is told here in many words.\nIt goes on for a while."
+    pages = [
+        f"<article class='post has-comments'>{body}</article>",
+        f"<div class='content has-sidebar'>{body}</div>",
+        f"<div class='no-sidebar'><div id='related-work'>{body}</div></div>",
+        f"<article class='social-story social'>{body}</article>",
+        f"<body><div class='widget'>{body}</div></body>",  # most of the page's text
+        f"<div>{body}</div><div class='Sidebar x'>side</div><div id='related_posts'>more</div>",
+        f"<article>{body}</article><div>unlabelled clutter</div>",
+        f"<p><span class='notice'>The whole</span> story is told here in many words.</p><p>It goes on for a while.</p><p class='share'>Share</p>",
+    ]
+    out = run(spark, [(i, f"http://h{i}.org", x, None, None) for i, x in enumerate(pages)])
+    assert [out[i]["text"] for i in range(len(pages))] == [want] * len(pages)
+    cards = "".join(f"<article><p>Card {i}</p></article>" for i in range(3))
+    assert run(spark, [(1, "http://a.b", f"<div>{body}</div>{cards}", None, None)])[1]["text"] == f"{want}\nCard 0\nCard 1\nCard 2"
