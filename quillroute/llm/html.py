@@ -48,7 +48,11 @@ _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search di
 @dataclass(frozen=True)
 class HtmlParams:
     min_pages: int = 5
+    #: hosts with fewer pages than min_pages, but as many as these: subtrees on all of them
+    few_pages: int = 3
+    #: short pieces, say a number in a cell, recur by chance: they must be on this share of the host's pages too
     min_share: float = 0.02
+    short: int = 25
     #: a subtree with more of its page's text than this is content, not template
     max_page_share: float = 0.5
     #: the same for a subtree inside a marked article
@@ -214,7 +218,10 @@ def parse_page(page: str | None, p: HtmlParams) -> tuple[list[tuple[str, list[in
             return not e.mark and e.tag not in _PIECES and e.tag not in _INLINE and e.size <= p.max_article_share * total
         return e.size <= p.max_page_share * total
 
-    subtrees = sorted({e.hash for e in elements if e.size and may_go(e)})
+    def name(e: _Element) -> int:  # odd for short pieces
+        return e.hash & ~1 | (e.size < p.short and (e.tag in _PIECES or e.tag in _INLINE))
+
+    subtrees = sorted({name(e) for e in elements if e.size and may_go(e)})
     out = []
     for b in main:
         e: _Element | None = b.element
@@ -223,7 +230,7 @@ def parse_page(page: str | None, p: HtmlParams) -> tuple[list[tuple[str, list[in
         around = []
         while e is not None and e.parent is not None:
             if may_go(e):
-                around.append(e.hash)
+                around.append(name(e))
             e = e.parent
         out.append((b.text, around))
     return out, subtrees, xxhash.xxh3_64_intdigest("\n".join(b.text for b in blocks)) >> 1
@@ -255,11 +262,14 @@ def parsed_pages(pages: DataFrame, p: HtmlParams) -> DataFrame:
 
 
 def host_templates(parsed: DataFrame, p: HtmlParams) -> DataFrame:
-    """host, subtree: those on at least min_pages different pages and min_share of the host's."""
+    """host, subtree: those on at least min_pages different pages, however many the host has."""
     each = parsed.select("host", "content", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "subtrees")).alias("subtree")).distinct()
     counts = each.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     hosts = counts.filter("subtree = -1").select("host", F.col("pages").alias("host_pages"))
-    return counts.filter((F.col("subtree") != -1) & (F.col("pages") >= p.min_pages)).join(hosts, "host").filter(F.col("pages") >= p.min_share * F.col("host_pages")).select("host", "subtree")
+    often = F.col("pages") >= F.least(F.lit(p.min_pages), F.greatest(F.lit(p.few_pages), "host_pages"))
+    by_chance = (F.col("subtree") % 2 != 0) & (F.col("pages") < p.min_share * F.col("host_pages"))
+    some = counts.filter((F.col("subtree") != -1) & (F.col("pages") >= min(p.few_pages, p.min_pages)))
+    return some.join(hosts, "host").filter(often & ~by_chance).select("host", "subtree")
 
 
 def extract(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:

@@ -80,3 +80,26 @@ def test_names_and_teasers_do_not_drop_the_text(spark):
     assert [out[i]["text"] for i in range(len(pages))] == [want] * len(pages)
     cards = "".join(f"<article><p>Card {i}</p></article>" for i in range(3))
     assert run(spark, [(1, "http://a.b", f"<div>{body}</div>{cards}", None, None)])[1]["text"] == f"{want}\nCard 0\nCard 1\nCard 2"
+
+
+def test_templates_are_found_alike_on_hosts_of_every_size(spark):
+    def page(i, notice):
+        return f"<body>{notice}<div><p>Text {i} of this page is its own, number {i}.</p><table><tr><td>cell {i}</td><td>7</td></tr></table></div></body>"
+
+    notice = "<div class='x1'><p>Closed on Sunday</p></div>"
+    rows = [(i, "http://big.org/p", page(i, notice if i < 20 else ""), None, None) for i in range(3000)]
+    rows += [(5000 + i, "http://mid.org/p", page(i, notice if i < 20 else ""), None, None) for i in range(200)]
+    rows += [(6000 + i, "http://small.org/p", page(i, notice), None, None) for i in range(3)]
+    rows += [(7000 + i, "http://two.org/p", page(i, notice), None, None) for i in range(2)]
+    out = run(spark, rows)
+    own = "Text {0} of this page is its own, number {0}.\ncell {0}".format
+    assert all(out[i]["text"].startswith(own(i)) for i in range(3000))
+    assert all(out[5000 + i]["text"].startswith(own(i)) for i in range(200))
+    assert all(out[6000 + i]["text"].startswith(own(i)) for i in range(3))
+    assert out[7000]["text"].startswith("Closed on Sunday")  # two pages are no evidence
+
+
+def test_short_pieces_need_a_share_of_a_large_host(spark):
+    rows = [(i, "http://big.org/p", f"<div><p>Text {i} of this page is its own.</p><table><tr><td>cell {i}</td><td>{i % 100}</td></tr></table></div>", None, None) for i in range(1000)]
+    out = run(spark, rows)
+    assert all(out[i]["text"] == f"Text {i} of this page is its own.\ncell {i}\n{i % 100}" for i in range(1000))
