@@ -20,7 +20,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines that an earlier line is similar to."""
-    return linededup.drop_repeated_lines(docs)
+    return linededup.drop_repeated_lines(docs, linededup.EVERY_LINE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Line de-duplication by an exact set-similarity join.
 
 A line is the set of its words (ASCII letters lower-cased). A line of at least ``min_tokens``
-distinct words is removed if an earlier line, by (doc_id, place in the text), has a Jaccard
+distinct words (queries: one) is removed if an earlier line, by (doc_id, place in the text), has a Jaccard
 similarity of ``threshold`` or more with it. The earlier line counts whether or not it is
 removed itself, so the result does not depend on the order of work.
 
@@ -43,6 +43,9 @@ class LineParams:
     list_rows: int = 300_000
 
 
+#: What the query and the pipeline run with: no line is too short.
+EVERY_LINE = LineParams(min_tokens=1)
+
 _NO_ID = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -178,7 +181,8 @@ def sorted_lines(a: dict[str, np.ndarray], counts: np.ndarray, bits: int) -> tup
 
 
 def postings_of(a: dict[str, np.ndarray], counts: np.ndarray, p: LineParams) -> dict[str, np.ndarray]:
-    long_enough = a["size"] >= p.min_tokens
+    # a set too small to be similar to any other but an equal one is settled by its hash alone
+    long_enough = (a["size"] >= p.min_tokens) & (a["size"] * (1 - p.threshold) >= p.threshold - 1e-9)
     line, word = sorted_lines(a, counts, p.rarity_bits)
     h = a["hash"][word]
     starts = np.concatenate(([0], np.cumsum(a["size"].astype(np.int64))[:-1])) if len(a["size"]) else np.zeros(0, np.int64)

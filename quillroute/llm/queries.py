@@ -50,7 +50,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(_table(spark, sf_dir, "documents"))
+    return linededup.line_report(_table(spark, sf_dir, "documents"), linededup.EVERY_LINE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

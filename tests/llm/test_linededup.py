@@ -71,3 +71,19 @@ def test_filters_never_lose_a_pair():
     got = {(kept["line"][i], kept["line"][j]) for i, j in zip(y, x)}
     want = {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
     assert want <= got
+
+
+def test_the_query_knows_no_line_that_is_too_short(spark, docs_of, monkeypatch):
+    from quillroute.llm import queries
+
+    import corpus_pipeline
+
+    rows = corpus(4) + [(100, "a b\nA  b\nc"), (101, "c\nb a b\nx y z"), (102, "x y z w\nx y\n\n"), (103, "漢字仮名交じり文"), (104, "漢字仮名交じり文\nx y z v"), (105, "p q r s\nb a b c d"), (106, "r q p\nd c b a e")]
+    docs = docs_of(rows).coalesce(1).cache()
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: docs)
+    out = queries.op10_line_dedup(spark, "").collect()
+    want = brute(rows, least=1)
+    assert sorted((str(r["doc_id"]), list(r["removed"])) for r in out) == want
+    gone = dict(want)
+    kept = {str(r["doc_id"]): r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert kept == {str(d): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[str(d)]) for d, t in rows}
