@@ -221,39 +221,37 @@ def _exact_sums(count: dict[int, int], capacity: int, consume, terms: int) -> No
         for x in lengths:
             live[x] = count.get(x, 0) > 0
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """Live (b, c), b >= c, with b + c = total and b as long as it can be."""
+    def enough(lengths: tuple[int, ...]) -> bool:
+        return all(lengths.count(x) <= count.get(x, 0) for x in lengths)
+
+    def pair(total: int, most: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        """(b, c), b >= c, that are left besides ``taken``, with b + c = total and b as long as it can be."""
         high, low = min(most, total - 1), (total + 1) // 2
-        if high < low:
+        if high < low or not enough(taken):
             return None
         b = np.arange(high, low - 1, -1)
         hit = np.flatnonzero(live[b] & live[total - b])
-        return (int(b[hit[0]]), int(total - b[hit[0]])) if len(hit) else None
+        # only pairs with equal lengths, or with one of those taken, can be short of copies
+        return next((x for x in ((int(i), int(total - i)) for i in b[hit]) if enough((*taken, *x))), None)
 
     for first in sorted((k for k, n in count.items() if n > 0), reverse=True):
         gap = capacity - first
-        blocked: set[tuple[int, ...]] = set()
         while count[first] > 0 and gap >= terms:
+            found = None
             if terms == 2:
-                found = pair(gap, min(first, gap))
-                if found is None or not consume((first, *found)):
-                    break
-                refresh((first, *found))
-                continue
-            done = False
-            for b in np.flatnonzero(live[: min(first, gap - 2) + 1])[::-1]:
-                b = int(b)
-                if 3 * b < gap:
-                    break
-                rest = pair(gap - b, b)
-                if rest and (first, b, *rest) not in blocked:
-                    if consume((first, b, *rest)):
-                        refresh((first, b, *rest))
-                        done = True
+                found = pair(gap, min(first, gap), (first,))
+            else:
+                for b in np.flatnonzero(live[: min(first, gap - 2) + 1])[::-1].tolist():
+                    if 3 * b < gap:
+                        break
+                    rest = pair(gap - b, b, (first, b))
+                    if rest:
+                        found = (b, *rest)
                         break
-                    blocked.add((first, b, *rest))
-            if not done:
+            if found is None:
                 break
+            consume((first, *found))
+            refresh((first, *found))
 
 
 def _best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

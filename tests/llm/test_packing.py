@@ -74,3 +74,10 @@ def test_encoder_equals_the_library():
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(1500)]
     for t, raw in zip(texts, enc.encode_all(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_exact_sums_go_on_after_a_pair_that_is_short_of_copies():
+    """1500 + 1500 + 1096 is short of a copy; 1450 would mislead best fit."""
+    plan = P.plan_patterns({1500: 1, 1450: 1, 1400: 1, 1196: 1, 1096: 1}, 4096)
+    assert ((1500, 1400, 1196), 1) in plan
+    assert sorted(x for lengths, n in plan for x in lengths * n) == [1096, 1196, 1400, 1450, 1500]
