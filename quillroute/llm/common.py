@@ -23,15 +23,17 @@ from pyspark.sql import types as T
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 _PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: dict[str, bool] = {}
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Arrow batches that the operators can afford, and what Spark would take: rows and bytes
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("8m", "67108864b")}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per Spark application."""
     sc = spark.sparkContext
-    # whole texts are long rows: Spark's usual batch of them would be tens of megabytes
-    if spark.conf.get(_BATCH_ROWS) == "10000":
-        spark.conf.set(_BATCH_ROWS, "2000")
+    # whole texts and packed arrays are long rows: Spark's usual batch of them would be tens of megabytes
+    for key, (value, usual) in _BATCH.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
     if _shipped.get(sc.applicationId):
         return
     target = Path(tempfile.mkdtemp()) / f"{_PACKAGE.name}_{sc.applicationId}.zip"
@@ -69,6 +71,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else cut(df)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _caches: dict[str, Callable[[], bool]] = {}
 
 
@@ -99,6 +109,7 @@ def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.Reco
                 yield out
             else:
                 yield from out
+        release_memory()  # once a task: workers outlive stages
 
     return df.mapInArrow(run, schema)
 
@@ -191,7 +202,8 @@ def pack_arrays(**arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress("|".join(head).encode() + b"\n" + b"".join(body))
 
 
-def unpack_arrays(raw: bytes) -> dict[str, np.ndarray]:
+def unpack_arrays(raw: bytes, names: tuple[str, ...] | None = None) -> dict[str, np.ndarray]:
+    """The arrays of pack_arrays(), or some of them."""
     raw = zstandard.ZstdDecompressor().decompress(raw)
     at = raw.index(b"\n")
     out = {}
@@ -199,8 +211,9 @@ def unpack_arrays(raw: bytes) -> dict[str, np.ndarray]:
     for spec in raw[:at].decode().split("|"):
         name, dtype, n = spec.split(":")
         width = np.dtype(dtype).itemsize
-        flat = np.frombuffer(raw, np.uint8, int(n) * width, pos)
-        out[name] = np.ascontiguousarray(flat.reshape(width, int(n)).T).reshape(-1).view(dtype)
+        if names is None or name in names:
+            flat = np.frombuffer(raw, np.uint8, int(n) * width, pos)
+            out[name] = np.ascontiguousarray(flat.reshape(width, int(n)).T).reshape(-1).view(dtype)
         pos += int(n) * width
     return out
 

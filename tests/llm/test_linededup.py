@@ -37,7 +37,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,params", [(0, {}), (1, {"enough": 1, "block_bytes": 800, "list_rows": 50}), (2, {"block_bytes": 1}), (3, {"likely": 0.0, "enough": 1})])
+@pytest.mark.parametrize("seed,params", [(0, {}), (1, {"enough": 1, "block_bytes": 800, "list_rows": 50}), (2, {"block_bytes": 1}), (3, {"likely": 0.0, "enough": 1}), (5, {"heavy": 1, "likely": 0.0, "enough": 1, "named": 1})])
 def test_against_brute_force(spark, docs_of, seed, params):
     rows = corpus(seed)
     out = L.line_report(docs_of(rows, extra=True).coalesce(1), L.LineParams(**params)).collect()
@@ -87,3 +87,41 @@ def test_the_query_knows_no_line_that_is_too_short(spark, docs_of, monkeypatch):
     gone = dict(want)
     kept = {str(r["doc_id"]): r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert kept == {str(d): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[str(d)]) for d, t in rows}
+
+
+def test_words_are_told_apart_as_split_does():
+    texts = [b"", b" ", b"A b\tA\x0bb c\r\nA", "Äb äb \u00a0x".encode(), b"x" * 70 + b" " + b"X" * 70 + b" " + b"x" * 71, b"w" * (1 << 18) + b" q " + b"r " * (1 << 18), b"ab ba"]
+    for raw in texts:
+        at, h = L.words_in(raw)
+        words = raw.lower().split()
+        assert len(words) == len(h)
+        assert len({(w, x) for w, x in zip(words, h.tolist())}) == len(set(words)) == len(set(h.tolist()))
+        assert all(raw[i : i + len(w)].lower() == w for i, w in zip(at.tolist(), words))
+
+
+def test_long_texts_are_cut_between_lines():
+    raw = b"a\n\n" + b"b" * 50 + b"\nc d\n\n"
+    for most in (1, 3, 10, 200):
+        got = list(L.pieces_of(raw, most))
+        assert b"\n".join(x for _, x in got) == raw
+        assert [n for n, _ in got] == [raw[: sum(len(x) + 1 for _, x in got[:i])].count(b"\n") for i in range(len(got))]
+
+
+def test_few_lines_that_still_look_are_served_by_line():
+    """A long list of moderately similar lines, in which all but some stop early."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(12)]
+    lines = [" ".join(base + [f"x{r.randint(0, 3)}"]) + f" y{i}" for i in range(150)] + [" ".join(base[:9] + [f"z{i}_{j}" for j in range(2)]) for i in range(150)]
+    r.shuffle(lines)
+    p = L.LineParams()
+    a = L.block_of([0], [0], ["\n".join(lines).encode()])
+    post = L.postings_of(a, np.full(1 << 12, 9, np.uint8), p)
+    y, x, stopped, kept = L.candidates_in(dict(post), p, p.enough, None)
+    every_y, every_x, none, every = L.candidates_in(dict(post), p, None, None)
+    assert not len(none)
+    pairs = {(kept["line"][i], kept["line"][j]) for i, j in zip(y, x)}
+    whole = {(every["line"][i], every["line"][j]) for i, j in zip(every_y, every_x)}
+    early = set(kept["line"][stopped])
+    assert pairs <= whole
+    assert {i for i, _ in whole} == {i for i, _ in pairs}
+    assert {(i, j) for i, j in whole if i not in early} <= pairs
