@@ -13,7 +13,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from dataclasses import dataclass
-from itertools import chain, filterfalse, islice
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import resolve
-from .common import cut, map_batches, release_memory, texts, worker_cache
+from .common import cut, map_batches, texts, worker_cache
 
 #: White space in Python's sense that the vocabulary's pattern does not take for white space.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -35,7 +35,7 @@ class PackingParams:
     end_id: int = 1
     salts: int = 64
     #: words whose ids each worker keeps; fewer save memory and cost time
-    known_words: int = 1_000_000
+    known_words: int = 1_500_000
 
 
 # -- tokens ---------------------------------------------------------------------------
@@ -64,7 +64,7 @@ class WordEncoder:
     marked as a word end, so many of them are encoded in one call and told apart again.
     """
 
-    def __init__(self, path: str, known_words: int = 1_000_000):
+    def __init__(self, path: str, known_words: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.known_words = known_words
@@ -75,7 +75,9 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # the words met lately, and those met in the generation before
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.tails = _Tails(self)
 
@@ -115,18 +117,23 @@ class WordEncoder:
                 known[w] = ids + tails[w[n:]]
         known.update(zip(odd, self._one_by_one(odd), strict=True))
 
+    def _age(self) -> None:
+        """Forget the words of the generation before, once there are too many of both."""
+        if 2 * len(self.known) > self.known_words:
+            self.older, self.known = self.known, {}
+        if 2 * len(self.parts) > self.known_words:
+            self.parts = {}
+
     def encode_all(self, column: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for table in (self.known, self.parts):
-            if len(table) > self.known_words:
-                for key in list(islice(table, len(table) // 2)):
-                    del table[key]
-                release_memory()
-        known = self.known
+        self._age()
+        known, older = self.known, self.older
         split = [[t] if t and any(c in t for c in _NOT_SPACE) else (t or "").split() for t in column]
         new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
         if new:
-            self._learn(new)
+            again = list(filter(older.__contains__, new)) if older else []
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            self._learn(new.difference(again))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -142,7 +149,7 @@ def _clear() -> bool:
 worker_cache("packing", _clear)
 
 
-def encoder(path: str, known_words: int = 1_000_000) -> WordEncoder:
+def encoder(path: str, known_words: int = 1_500_000) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path, known_words)
     _encoders[path].known_words = known_words
