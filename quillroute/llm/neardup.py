@@ -2,11 +2,13 @@
 
 1. Each text becomes its set of five-word shingles (64-bit hashes) and a signature of
    ``trees * depth`` MinHashes. Equal sets are one node from here on.
-2. Each tree orders the signatures by columns of its own. Nodes whose longest common prefix
-   reaches ``depth`` form a region. Neighbours in a region, by set size, are candidates; a
-   region of more than ``region_limit`` nodes is dealt over tasks with overlapping borders.
-   A pair at similarity 0.75 shares a region of depth 4 in one of 32 trees with
-   probability 1 - (1 - 0.75**4)**32 = 0.999995.
+2. Each tree sorts the signatures in an order of columns of its own. Nodes whose longest
+   common prefix reaches ``depth`` form a region, and sets in it whose sizes allow a link,
+   directly or through others, a run. In a run, neighbours in the sorted order are candidates:
+   where signatures lie dense they agree on ``deeper`` more columns, where they lie sparse
+   the least depth does. A region of more than ``region_limit`` nodes is dealt over tasks
+   with overlapping borders. A pair at similarity 0.75 shares a region of depth 4 in one of
+   32 trees with probability 1 - (1 - 0.75**4)**32 = 0.999995.
 3. Candidates connect nodes to clusters. In each cluster the whole sets are compared
    through an index of their shingles; big clusters are cut into blocks that meet in pairs.
    Every link found is exact, and no pair of a cluster goes unseen.
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, connected_components, cut, drop_caches, map_batches, pack_arrays, run_starts, settled, ship_package, text_bytes, unpack_arrays, worker_cache
+from .common import bits_of, connected_components, cut, drop_caches, fresh_name, map_batches, pack_arrays, release_memory, settled, ship_package, text_bytes, unpack_arrays, worker_cache
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,10 @@ class NearDupParams:
     numerator: int = 75  # similarity threshold, in hundredths
     trees: int = 32
     depth: int = 4
+    deeper: int = 2  # further columns that a tree's order goes by, two at most
     region_limit: int = 4096
-    heavy_share: int = 64  # nodes of one batch in one region that make it a heavy one
+    heavy_share: int = 64  # nodes of heavy_rows in one region that make it one to be counted
+    heavy_rows: int = 50_000
     block: int = 768
     seed: int = 12
 
@@ -125,28 +129,54 @@ def region_keys(sig: np.ndarray, tree: int, p: NearDupParams) -> np.ndarray:
     return h
 
 
+def order_keys(sig: np.ndarray, tree: int, p: NearDupParams) -> np.ndarray:
+    """What a tree's order goes by behind the columns of the regions: the columns of the next tree, in turn."""
+    h = np.zeros(len(sig), np.uint64)
+    for i in range(min(p.deeper, 2)):
+        h = (h << np.uint64(32)) | sig[:, ((tree + 1) * p.depth + i) % sig.shape[1]].astype(np.uint64)
+    return h
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     raw = column.to_pylist()
     return np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1)
 
 
-def heavy_regions(nodes: DataFrame, p: NearDupParams) -> dict[int, int]:
-    """Keys and sizes of regions so large that they are dealt over several tasks.
+def heavy_regions(nodes: DataFrame, total: int, p: NearDupParams) -> tuple[dict[int, int], int]:
+    """Keys and sizes of regions so large that they are dealt over several tasks, and the size from which they are.
 
-    Only regions that hold a fixed share of some batch are counted, so there are at most
-    some thousands of them however large the corpus is.
+    That size grows with the corpus once it has some 10**7 texts, so there are never more
+    than 65,536 such regions. Only regions that hold a share of some ``heavy_rows`` rows are
+    counted; the others are small enough for a task.
     """
+    limit = max(p.region_limit, total * p.trees >> 16)
 
-    def run(batch: pa.RecordBatch):
-        sig = _matrix(batch.column(1))
-        for t in range(p.trees):
-            k, n = np.unique(region_keys(sig, t, p), return_counts=True)
-            big = n >= p.heavy_share
-            if big.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[big].view(np.int64)), pa.array(n[big])], names=["key", "n"])
+    def run(batches):
+        drop_caches()
 
-    found = map_batches(nodes.select("row", "signature"), "key long, n long", run).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > p.region_limit).collect()
-    return {r["key"]: r["n"] for r in found}
+        def counted(some: list[np.ndarray]):
+            sig = np.concatenate(some)
+            for t in range(p.trees):
+                k, n = np.unique(region_keys(sig, t, p), return_counts=True)
+                big = n >= p.heavy_share
+                if big.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(k[big].view(np.int64)), pa.array(n[big])], names=["key", "n"])
+
+        some, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                some.append(_matrix(batch.column(0)))
+                held += batch.num_rows
+            if held >= p.heavy_rows:
+                yield from counted(some)
+                some, held = [], 0
+        if held:
+            yield from counted(some)
+        del some
+        release_memory()
+
+    found = nodes.select("signature").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).collect()
+    return {r["key"]: r["n"] for r in found}, limit
 
 
 def size_class(n: np.ndarray, p: NearDupParams) -> np.ndarray:
@@ -175,7 +205,7 @@ def hubs(nodes: DataFrame, heavy: np.ndarray, p: NearDupParams) -> np.ndarray:
     return np.sort(mix(key ^ mix(row)))
 
 
-def regions(nodes: DataFrame, parts: int, p: NearDupParams) -> DataFrame:
+def regions(nodes: DataFrame, total: int, parts: int, p: NearDupParams) -> DataFrame:
     """part, data: the nodes of all trees, dealt by region as packed arrays.
 
     A heavy region is dealt into parts of about region_limit nodes by a hash of the row, and
@@ -184,15 +214,15 @@ def regions(nodes: DataFrame, parts: int, p: NearDupParams) -> DataFrame:
     between a and b. Either way the neighbours in a's part connect a with it, and those in
     b's part connect b with it.
     """
-    sizes = heavy_regions(nodes, p)
+    sizes, limit = heavy_regions(nodes, total, p)
     heavy = np.sort(np.array(list(sizes), np.int64).view(np.uint64))
-    pieces = np.array([-(-sizes[k] // p.region_limit) for k in heavy.view(np.int64).tolist()], np.uint64)
+    pieces = np.array([-(-sizes[k] // limit) for k in heavy.view(np.int64).tolist()], np.uint64)
     shared = hubs(nodes, heavy, p) if len(heavy) else heavy
 
     def run(batch: pa.RecordBatch):
         rows, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
         sig, salt = _matrix(batch.column(2)), mix(rows.astype(np.uint64))
-        all_ = {"key": [], "row": [], "n": []}
+        all_ = {"key": [], "row": [], "n": [], "deep": []}
         for t in range(p.trees):
             key, at = region_keys(sig, t, p), np.arange(len(rows))
             hot = np.flatnonzero(np.isin(key, heavy))
@@ -204,7 +234,7 @@ def regions(nodes: DataFrame, parts: int, p: NearDupParams) -> DataFrame:
                 for i in hub.tolist():
                     key = np.concatenate((key, mix(whole[i] ^ np.arange(1, int(of[i]) + 1, dtype=np.uint64))))
                     at = np.concatenate((at, np.full(int(of[i]), hot[i])))
-            for name, v in zip(all_, (key, rows[at], n[at]), strict=True):
+            for name, v in zip(all_, (key, rows[at], n[at], order_keys(sig, t, p)[at]), strict=True):
                 all_[name].append(v)
         a = {k: np.concatenate(v) for k, v in all_.items()}
         part = (a["key"] % np.uint64(parts)).astype(np.int64)
@@ -239,32 +269,30 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def neighbours(a: dict[str, np.ndarray], p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
     """Candidate edges of the regions of one part.
 
-    A region's nodes are ordered by set size: two sets of the needed similarity differ in
-    size by a factor of 0.75 at most, and so do the neighbours between them. Regions are
-    split only if keys to split them by are given; regions() gives none, as that loses pairs.
+    By set size a region falls into runs: two sets of the needed similarity differ in size
+    by a factor of 0.75 at most, and so do the sizes between them, so no pair is in two runs.
+    In each run the nodes lie in the tree's order, and neighbours in it are edges: those with
+    the longest common prefixes. They connect the run, so every pair of it is compared.
     """
-    key = a["key"]
-    for deeper in [k for k in ("next", "last") if k in a]:
-        k, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        big = n[at] > p.region_limit
-        if not big.any():
-            break
-        key = np.where(big, mix(key ^ (a[deeper].astype(np.uint64) << np.uint64(8)) + np.uint64(1)), key)
-    order = np.lexsort((a["row"], a["n"], key))
-    key, n, row = key[order], a["n"][order].astype(np.int64), a["row"][order]
-    close = (key[1:] == key[:-1]) & (100 * n[:-1] >= p.numerator * n[1:])
-    return row[:-1][close], row[1:][close]
+    order = np.lexsort((a["row"], a["n"], a["key"]))
+    key, n = a["key"][order], a["n"][order].astype(np.int64)
+    run = np.zeros(len(order), np.int64)
+    run[1:] = np.cumsum((key[1:] != key[:-1]) | (100 * n[:-1] < p.numerator * n[1:]))
+    order = order[np.lexsort((a["row"][order], a["deep"][order], run))]
+    row = a["row"][order]
+    near = run[1:] == run[:-1]  # runs keep their places
+    return row[:-1][near], row[1:][near]
 
 
 def candidate_edges(nodes: DataFrame, total: int, p: NearDupParams) -> DataFrame:
-    parts = int(min(8192, max(32, total * p.trees // 500_000)))
+    parts = int(min(1 << 20, max(32, total * p.trees // 500_000)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         some = [unpack_arrays(raw) for raw in pdf["data"]]
         u, v = forest(*neighbours({k: np.concatenate([s[k] for s in some]) for k in some[0]}, p))
         return pd.DataFrame({"src": u, "dst": v})
 
-    return regions(nodes, parts, p).groupBy("part").applyInPandas(run, "src long, dst long").distinct()
+    return regions(nodes, total, parts, p).groupBy("part").applyInPandas(run, "src long, dst long").distinct()
 
 
 # -- links ----------------------------------------------------------------------------
@@ -390,20 +418,21 @@ def components(numbered: DataFrame, p: NearDupParams = NearDupParams()) -> DataF
     return out.unionByName(alone)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return settled(docs).withColumn("__dup_row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    name = fresh_name(docs, "dup_row")
+    return settled(docs).withColumn(name, F.monotonically_increasing_id()), name
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every row of ``docs``."""
-    rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnRenamed("__dup_row", "row")
-    c = components(rows, p)
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every row of ``docs``; see components()."""
+    rows, name = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    c = components(rows.withColumnRenamed(name, "row"), p)
     return c.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, with all columns."""
-    rows = _numbered(docs)
-    c = components(rows.select(F.col("__dup_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), p)
-    gone = c.filter("not keep_row").select(F.col("row").alias("__dup_row"))
-    return rows.join(gone, "__dup_row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay: one of each component, with all columns; see components()."""
+    rows, name = _numbered(docs)
+    c = components(rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), p)
+    gone = c.filter("not keep_row").select(F.col("row").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)

@@ -70,12 +70,25 @@ def test_overlaps_both_ways():
         assert D.overlaps(a, b).tolist() == [[len(np.intersect1d(s, t)) for t in b] for s in a]
 
 
-def test_large_regions_are_split():
-    p = D.NearDupParams(region_limit=4)
-    n = 40
-    a = {"key": np.zeros(n, np.uint64), "row": np.arange(n), "n": np.full(n, 10, np.uint32), "next": (np.arange(n) // 8).astype(np.uint32), "last": (np.arange(n) // 4).astype(np.uint32)}
+def test_neighbours_share_the_longest_prefixes():
+    """A region's runs by size are connected whole, and by neighbours in the sorted order."""
+    p = D.NearDupParams()
+    r = np.random.default_rng(3)
+    n = np.concatenate((r.integers(10, 13, 40), r.integers(40, 50, 30))).astype(np.uint32)
+    deep = r.integers(0, 5, 70).astype(np.uint64)
+    a = {"key": np.zeros(70, np.uint64), "row": r.permutation(70), "n": n, "deep": deep}
     u, v = D.neighbours(a, p)
-    assert len(u) == 30 and all(i // 4 == j // 4 for i, j in zip(u, v))
+    of = dict(zip(a["row"].tolist(), zip(n.tolist(), deep.tolist())))
+    assert len(u) == 68 and all((of[i][0] < 20) == (of[j][0] < 20) for i, j in zip(u, v))
+    # each run holds at most five different prefixes, so all but four of its edges are within one
+    assert sum(of[i][1] != of[j][1] for i, j in zip(u.tolist(), v.tolist())) <= 8
+
+
+def test_order_goes_on_through_further_columns():
+    p = D.NearDupParams(trees=2, depth=2)
+    sig = np.arange(8, dtype=np.uint32).reshape(2, 4)
+    assert D.order_keys(sig, 0, p).tolist() == [(2 << 32) | 3, (6 << 32) | 7]
+    assert D.order_keys(sig, 1, p).tolist() == [1, (4 << 32) | 5]
 
 
 def test_no_link_is_lost_in_large_regions(spark, docs_of):
