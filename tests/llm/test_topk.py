@@ -54,3 +54,30 @@ def test_ties_nulls_and_few_rows(spark):
 def test_large_components_are_exact(spark):
     rows = [(i, [1000.0 * (i % 7), -2000.0, float(i)], 0, None, None) for i in range(50)]
     assert set(run(spark, rows)) == brute(rows, 20)
+
+
+def test_no_finite_vector_is_left_out(spark):
+    """Products beyond doubles' integers, and beyond a long."""
+    r = random.Random(4)
+    rows = [(i, [struct_float(r.choice([3e6, -5e7, 1.5, 7e8]) * r.random()), float(i), 2.0**20], 0, None, None) for i in range(60)]
+    assert set(run(spark, rows, candidate_block=16, chunk=4, seeds=30)) == brute(rows, 20)
+    rows += [(60 + i, [struct_float(10.0 ** (15 + i)), 1.0, -1.0], 0, None, None) for i in range(6)]
+    most = 2**63 - 1
+    got = run(spark, rows, candidate_block=16, chunk=4, seeds=8)
+    scores = {}
+    for q, _, v, s in got:
+        scores.setdefault(q, []).append((-s, v))
+    scaled = {i: [math.floor(64 * x) for x in v] for i, v, *_ in rows}
+    for q in (0, 20, 40, 60):
+        want = sorted((-max(-most, min(most, sum(a * b for a, b in zip(scaled[q], w)))), i) for i, w in scaled.items() if i != q)[:20]
+        assert sorted(scores[q]) == want
+
+
+def test_short_vectors_are_not_visited(spark):
+    """A level of one length fills several blocks, and blocks go by descending length."""
+    rows = K.scaled_vectors(spark.createDataFrame([(i, [1.0 if i % 3 else float(i)] * 2, 0, None, None) for i in range(300)], SCHEMA), K.TopKParams())
+    dealt, most = K.blocks_by_length(rows, 300, K.TopKParams(candidate_block=20, levels=8))
+    found = [(r["block"], r["norm2"]) for r in dealt.collect()]
+    assert list(most) == sorted(most, reverse=True)
+    assert all(n <= most[b] for b, n in found) and {b for b, _ in found} <= set(range(len(most)))
+    assert sum(n == 2 * 64.0**2 for n in most) >= 10
