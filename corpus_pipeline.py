@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in the packed sequences."""
     # a small table of words: the executors' memory also serves the stages before
-    return packing.pack(docs, packing.PackingParams(known_words=150_000))
+    return packing.pack(docs, packing.PackingParams(known_words=300_000))
 
 
 STAGES = [
