@@ -93,16 +93,21 @@ def negated_words(question: Column, per_span: int = 6) -> Column:
     return F.array_sort(F.array_distinct(picked))
 
 
-def first_listed(text: Column, terms: dict[str, str]) -> Column:
+def first_listed(text: Column, terms: dict[str, str], ending: str = "s?") -> Column:
     """The value of the first listed term that occurs as a word (optionally with a plural s); null if none does."""
     from .text import AFTER, BEFORE
 
     out = F.lit(None).cast("string")
     for term, value in reversed(terms.items()):
-        out = F.when(F.lower(text).rlike(BEFORE + term + "s?" + AFTER), value).otherwise(out)
+        out = F.when(F.lower(text).rlike(BEFORE + term + ending + AFTER), value).otherwise(out)
     return out
 
 
+def first_whole(text: Column, terms: dict[str, str]) -> Column:
+    """first_listed() without plurals."""
+    return first_listed(text, terms, "")
+
+
 def choice(raw: Column) -> Column:
     """An A/B/Tie choice however written; null for anything else."""
     x = F.lower(F.trim(raw))

@@ -25,7 +25,11 @@ def triple_match(edges: DataFrame, patterns: DataFrame) -> DataFrame:
         cond = [F.col(name[c]) == F.col(c) for c in cols]
         hit = edges.join(part, cond).select("pid", *EDGE)
         out = hit if out is None else out.unionByName(hit)
-    return out
+    # patterns that bind nothing: every edge, dealt evenly
+    salts = 64
+    free = patterns.filter("s is null and p is null and o is null").select("pid", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    whole = edges.withColumn("salt", F.pmod(F.xxhash64("triple_id"), F.lit(salts)).cast("int")).join(free, "salt").select("pid", *EDGE)
+    return out.unionByName(whole)
 
 
 def rendered(s: str = "subject", p: str = "predicate", o: str = "object") -> Column:
@@ -59,22 +63,38 @@ def existential(edges: DataFrame, asked: DataFrame, member: str = "is_a") -> Dat
 
     Direct statements about the class score 5, members with the property 6.
     """
-    direct = asked.join(edges, (F.col("class") == F.col("subject")) & (asked["predicate"] == edges["predicate"]) & (asked["object"] == edges["object"])).select("qid", edges["triple_id"].alias("item_id"), F.lit(5.0).alias("score"))
-    members = edges.filter(F.col("predicate") == member).select(F.col("triple_id").alias("m_id"), F.col("subject").alias("member"), F.col("object").alias("class"))
-    support = edges.select(F.col("triple_id").alias("s_id"), F.col("subject").alias("member"), "predicate", "object")
-    through = asked.join(members, "class").join(support, ["member", "predicate", "object"]).select("qid", F.concat(F.lit("path:"), F.concat_ws("->", "m_id", "s_id")).alias("item_id"), F.lit(6.0).alias("score"))
-    return direct.unionByName(through)
+    direct = asked.withColumnRenamed("class", "subject").join(edges, ["subject", "predicate", "object"]).select("qid", F.col("triple_id").alias("item_id"), rendered().alias("content"), F.lit(5.0).alias("score"))
+    facts = edges.select("triple_id", F.col("subject").alias("member"), "predicate", "object")
+    through = _members(edges, asked, member).join(facts, ["member", "predicate", "object"])
+    return direct.unionByName(through.select("qid", *_through("predicate", member), F.lit(6.0).alias("score")))
 
 
-def universal(edges: DataFrame, asked: DataFrame, member: str = "is_a") -> DataFrame:
-    """Members of a class that lack a property (counterexamples, 7) and those that have it (4)."""
-    members = edges.filter(F.col("predicate") == member).select(F.col("subject").alias("member"), F.col("object").alias("class"))
+def _members(edges: DataFrame, asked: DataFrame, member: str) -> DataFrame:
+    """asked, for each member of its class."""
+    m = edges.filter(F.col("predicate") == member).select(F.col("triple_id").alias("member_id"), F.col("subject").alias("member"), F.col("object").alias("class"))
+    return asked.join(m, "class")
+
+
+def _through(predicate: str, member: str) -> tuple[Column, Column]:
+    """Id and text of a path: membership, then a fact about the member."""
+    path = F.concat(F.lit("path:"), F.concat_ws("->", "member_id", "triple_id"))
+    return path.alias("item_id"), F.concat_ws(" ; ", F.concat_ws(" ", "member", F.lit(member), "class"), F.concat_ws(" ", "member", predicate, "object")).alias("content")
+
+
+def universal(edges: DataFrame, asked: DataFrame, member: str = "is_a", denial: str = "not_capable_of") -> DataFrame:
+    """Members of a class that lack a property (counterexamples, 7) and those that have it (4), as paths.
+
+    A member lacks it by a fact ``not_<predicate>``, or without such a fact by ``denial``.
+    """
     facts = edges.select("triple_id", F.col("subject").alias("member"), F.col("predicate").alias("fact"), F.col("object"))
-    base = asked.join(members, "class")
-    joined = base.join(facts, ["member", "object"])
-    denied = joined.filter(F.col("fact") == F.concat(F.lit("not_"), F.col("predicate"))).select("qid", F.col("triple_id").alias("item_id"), F.lit("counterexample").alias("kind"), F.lit(7.0).alias("score"))
-    held = joined.filter(F.col("fact") == F.col("predicate")).select("qid", F.col("triple_id").alias("item_id"), F.lit("support").alias("kind"), F.lit(4.0).alias("score"))
-    return denied.unionByName(held)
+    joined = _members(edges, asked, member).join(facts, ["member", "object"])
+    against = F.col("fact") == F.concat(F.lit("not_"), F.col("predicate"))
+    joined = joined.filter(against | F.col("fact").isin(denial) | (F.col("fact") == F.col("predicate")))
+    joined = joined.withColumn("denied", F.bool_or(against).over(Window.partitionBy("qid", "member_id", "object")))
+    lacks = against | (F.col("fact").isin(denial) & ~F.col("denied"))
+    holds = F.col("fact") == F.col("predicate")
+    one = lambda rows, kind, score: rows.select("qid", *_through("fact", member), F.lit(kind).alias("kind"), F.lit(score).alias("score"))
+    return one(joined.filter(lacks), "counterexample", 7.0).unionByName(one(joined.filter(holds), "support", 4.0))
 
 
 def without_property(edges: DataFrame, asked: DataFrame, member: str = "is_a") -> DataFrame:
@@ -85,9 +105,14 @@ def without_property(edges: DataFrame, asked: DataFrame, member: str = "is_a") -
 
 
 def merge_graphs(left: DataFrame, right: DataFrame, tag: str) -> DataFrame:
-    """Union by (subject, predicate, object): the left edge wins and keeps a note of the right source."""
+    """Union by (subject, predicate, object): the left edge wins and keeps a note of the right source.
+
+    One row for each fact: of a side's edges with the same fact, that of the least id counts.
+    """
     keys = ["subject", "predicate", "object"]
-    r = right.select(*keys, F.col("triple_id").alias("r_id"), F.col("source").alias("r_source"))
+    once = lambda d: d.groupBy(*keys).agg(F.min(F.struct("triple_id", "source")).alias("e")).select(*keys, "e.triple_id", "e.source")
+    left = once(left)
+    r = once(right).select(*keys, F.col("triple_id").alias("r_id"), F.col("source").alias("r_source"))
     joined = left.join(r, keys, "full_outer")
     source = F.when(F.col("source").isNotNull() & F.col("r_source").isNotNull(), F.concat("source", F.lit(f"|{tag}:"), "r_source")).otherwise(F.coalesce("source", "r_source"))
     origin = F.when(F.col("triple_id").isNull(), "right").when(F.col("r_id").isNull(), "left").otherwise("both")

@@ -384,9 +384,9 @@ def graph_edges(spark, d):
     return edges(spark, d)
 
 
-@query(_with(SQL["edges"]) + "SELECT 1 AS pid, * FROM edges WHERE subject = 'c1' UNION ALL SELECT 2, * FROM edges WHERE predicate = 'is_a' AND object = 'n3' UNION ALL SELECT 3, * FROM edges WHERE subject = 'n2' AND predicate = 'is_a' AND object = 'r1' UNION ALL SELECT 4, * FROM edges WHERE predicate = 'in_segment' UNION ALL SELECT 5, * FROM edges WHERE object = 'r0'")
+@query(_with(SQL["edges"]) + "SELECT 1 AS pid, * FROM edges WHERE subject = 'c1' UNION ALL SELECT 2, * FROM edges WHERE predicate = 'is_a' AND object = 'n3' UNION ALL SELECT 3, * FROM edges WHERE subject = 'n2' AND predicate = 'is_a' AND object = 'r1' UNION ALL SELECT 4, * FROM edges WHERE predicate = 'in_segment' UNION ALL SELECT 5, * FROM edges WHERE object = 'r0' UNION ALL SELECT 6, * FROM edges")
 def triple_match(spark, d):
-    rows = [(1, "c1", None, None), (2, None, "is_a", "n3"), (3, "n2", "is_a", "r1"), (4, None, "in_segment", None), (5, None, None, "r0")]
+    rows = [(1, "c1", None, None), (2, None, "is_a", "n3"), (3, "n2", "is_a", "r1"), (4, None, "in_segment", None), (5, None, None, "r0"), (6, None, None, None)]
     return graph.triple_match(edges(spark, d), spark.createDataFrame(rows, "pid int, s string, p string, o string"))
 
 
@@ -429,12 +429,12 @@ def _with_negations(spark, d):
     return edges(spark, d).unionByName(neg)
 
 
-@query(_with(SQL["edges"], _CLASS) + "SELECT qid, triple_id AS item_id, 5.0::DOUBLE AS score FROM asked JOIN edges e ON class = e.subject AND asked.predicate = e.predicate AND asked.object = e.object UNION ALL SELECT qid, 'path:' || m.triple_id || '->' || s.triple_id, 6.0 FROM asked JOIN edges m ON m.object = class AND m.predicate = 'is_a' JOIN edges s ON s.subject = m.subject AND s.predicate = asked.predicate AND s.object = asked.object")
+@query(_with(SQL["edges"], _CLASS) + "SELECT qid, triple_id AS item_id, concat_ws(' ', e.subject, e.predicate, e.object) AS content, 5.0::DOUBLE AS score FROM asked JOIN edges e ON class = e.subject AND asked.predicate = e.predicate AND asked.object = e.object UNION ALL SELECT qid, 'path:' || m.triple_id || '->' || s.triple_id, m.subject || ' is_a ' || class || ' ; ' || concat_ws(' ', s.subject, s.predicate, s.object), 6.0 FROM asked JOIN edges m ON m.object = class AND m.predicate = 'is_a' JOIN edges s ON s.subject = m.subject AND s.predicate = asked.predicate AND s.object = asked.object")
 def existential_paths(spark, d):
     return graph.existential(edges(spark, d), _class_asked(spark, d))
 
 
-@query(_with(SQL["edges"], _CLASS, _NEG) + "SELECT qid, s.triple_id AS item_id, CASE WHEN s.predicate = asked.predicate THEN 'support' ELSE 'counterexample' END AS kind, CASE WHEN s.predicate = asked.predicate THEN 4.0 ELSE 7.0 END::DOUBLE AS score FROM asked JOIN neg m ON m.object = class AND m.predicate = 'is_a' JOIN neg s ON s.subject = m.subject AND s.object = asked.object AND s.predicate IN (asked.predicate, 'not_' || asked.predicate)")
+@query(_with(SQL["edges"], _CLASS, _NEG) + "SELECT qid, 'path:' || m.triple_id || '->' || s.triple_id AS item_id, m.subject || ' is_a ' || class || ' ; ' || concat_ws(' ', s.subject, s.predicate, s.object) AS content, CASE WHEN s.predicate = asked.predicate THEN 'support' ELSE 'counterexample' END AS kind, CASE WHEN s.predicate = asked.predicate THEN 4.0 ELSE 7.0 END::DOUBLE AS score FROM asked JOIN neg m ON m.object = class AND m.predicate = 'is_a' JOIN neg s ON s.subject = m.subject AND s.object = asked.object AND s.predicate IN (asked.predicate, 'not_' || asked.predicate)")
 def universal_counterexamples(spark, d):
     return graph.universal(_with_negations(spark, d), _class_asked(spark, d))
 
@@ -860,9 +860,102 @@ def lexical_facts(spark, d):
     return asking.lexical_facts(_graph_questions(spark, d), edges(spark, d))
 
 
-@query(None)
+#: Questions of every branch, and what their words mean to the graph of the given tables.
+_ASKS = {
+    0: ("Is c{} a n3?", "Is c{} a r1?"),
+    1: ("What path connects c{} and r1?",),
+    2: ("What property has p{}?",),
+    3: ("Do all customers of n{} have segment building?",),
+    4: ("Can some member of n{} be in the segment machinery?",),
+    5: ("What belongs to n{}?",),
+    6: ("Tell about the segment of c{}",),
+    7: ("Tell about n{}", "What chain links c{} to n3?"),
+}
+_WORDS = asking.GraphWords(
+    classes=tuple(f"n{i}" for i in range(25)),
+    predicates={"segment": "in_segment", "property": "has_property"},
+    objects={"building": "BUILDING", "machinery": "MACHINERY"},
+    other_objects={"has_property": ("brand", "Brand#11")},
+    able="in_segment",
+    inverse=("what belongs", "is_a"),
+    universal_object="BUILDING",
+)
+
+
+def _branch_questions(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("qid"))
+    text = None
+    for m, forms in _ASKS.items():
+        for i, form in enumerate(forms):
+            before, after = form.split("{}")
+            one = F.concat(F.lit(before), F.col("qid").cast("string"), F.lit(after))
+            hit = (F.col("qid") % 8 == m) & (F.floor(F.col("qid") / 8) % len(forms) == i)
+            text = F.when(hit, one) if text is None else text.when(hit, one)
+    return n.select("qid", text.alias("question"))
+
+
+def _branch_sql() -> str:
+    """The dispatch and its look-ups as SQL."""
+    cases = []
+    for m, forms in _ASKS.items():
+        for i, form in enumerate(forms):
+            before, after = form.split("{}")
+            cases.append(f"WHEN n_nationkey % 8 = {m} AND (n_nationkey // 8) % {len(forms)} = {i} THEN {q(before)} || n_nationkey || {q(after)}")
+    klass = " ".join(f"WHEN regexp_matches(low, {q(X.BEFORE + c + 's?' + X.AFTER)}) THEN {q(c)}" for c in _WORDS.classes)
+    predicate = " ".join(f"WHEN regexp_matches(low, {q(X.BEFORE + w + X.AFTER)}) THEN {q(p)}" for w, p in _WORDS.predicates.items())
+    target = " ".join(f"WHEN contains(low, {q(w)}) THEN {q(o)}" for w, o in _WORDS.objects.items())
+    other = " ".join(f"WHEN {{}} = {q(p)} AND contains(low, {q(w)}) THEN {q(o)}" for p, (w, o) in _WORDS.other_objects.items())
+    late = f"CASE WHEN (starts_with(low, 'can ') OR contains(low, ' able to ')) AND about IS NOT NULL AND able_target IS NOT NULL THEN 'existential' WHEN starts_with(low, {q(_WORDS.inverse[0])}) AND n >= 1 THEN 'inverse' WHEN predicate IS NOT NULL AND n >= 1 THEN 'relation' ELSE 'lexical' END"
+    return (
+        f"""gq AS (SELECT n_nationkey AS qid, CASE {" ".join(cases)} END AS question FROM nation),
+ nm AS (SELECT DISTINCT name FROM (SELECT subject AS name FROM edges UNION ALL SELECT object FROM edges)),
+ tk AS (SELECT qid, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM (SELECT qid, regexp_extract_all(lower(question), '[a-z0-9]+') AS t FROM gq)),
+ mt AS (SELECT qid, list(name ORDER BY place, name) AS es FROM (SELECT qid, name, min(place) AS place FROM tk JOIN nm ON lower(name) = token GROUP BY ALL) GROUP BY qid),
+ u0 AS (SELECT qid, question, lower(question) AS low, coalesce(es, []) AS es, len(coalesce(es, [])) AS n FROM gq LEFT JOIN mt USING (qid)),
+ u1 AS (SELECT *, CASE {klass} END AS klass, CASE {predicate} END AS predicate, es[1] AS e1, es[2] AS e2, es[n] AS el FROM u0),
+ u2 AS (SELECT *, CASE {target} {other.format("predicate")} END AS target, CASE {target} {other.format(f"coalesce(predicate, {q(_WORDS.able)})")} END AS able_target, coalesce(klass, e1) AS about FROM u1),
+ u3 AS (SELECT *, {late} AS later FROM u2),
+ u AS (SELECT *, CASE WHEN {_any("low", S.UNIVERSAL)} AND predicate IS NOT NULL AND about IS NOT NULL THEN 'universal' WHEN {_any("low", asking.PROPERTY_WORDS)} AND n >= 1 THEN 'properties'
+ WHEN {_any("low", asking.PATH_WORDS)} AND n >= 2 THEN 'path' WHEN {_starts("low", ("is ", "are "))} AND n >= 2 THEN 'membership' ELSE later END AS branch FROM u3),
+ hop AS (SELECT e.subject AS a, f.object AS c, 'path:' || e.triple_id || '->' || f.triple_id AS item_id, concat_ws(' ', e.subject, e.predicate, e.object) || ' ; ' || concat_ws(' ', f.subject, f.predicate, f.object) AS content FROM edges e JOIN edges f ON e.object = f.subject),
+ fact AS (SELECT *, concat_ws(' ', subject, predicate, object) AS content FROM edges),
+ pt AS (SELECT qid, 'two_hop' AS mode, item_id, content, 6.0 AS score FROM u JOIN hop ON a = e1 AND c = el WHERE branch = 'path'),
+ dr AS (SELECT qid, 'direct_relation', triple_id, content, 5.5 FROM u JOIN fact f ON f.subject = e1 AND f.object = el WHERE branch = 'path' AND qid NOT IN (SELECT qid FROM pt)),
+ me AS (SELECT qid, 'membership' AS mode, triple_id AS item_id, content, 5.0 AS score FROM u JOIN fact f ON f.subject = e1 AND f.object = e2 AND f.predicate = 'is_a' WHERE branch = 'membership'),
+ mi AS (SELECT qid, 'two_hop' AS mode, item_id, content, 6.0 AS score FROM u JOIN hop ON a = e1 AND c = e2 WHERE branch = 'membership' AND qid NOT IN (SELECT qid FROM me)),
+ k AS (SELECT *, CASE WHEN branch = 'membership' THEN later ELSE branch END AS kind FROM u WHERE qid NOT IN (SELECT qid FROM me UNION ALL SELECT qid FROM mi)),
+ mem AS (SELECT triple_id AS mid, subject AS member, object AS class FROM edges WHERE predicate = 'is_a'),
+ un AS (SELECT qid, CASE WHEN f.predicate = k.predicate THEN 'universal_support' ELSE 'universal_counterexample' END, 'path:' || mid || '->' || f.triple_id, member || ' is_a ' || class || ' ; ' || f.content, CASE WHEN f.predicate = k.predicate THEN 4.0 ELSE 7.0 END FROM k JOIN mem ON class = about JOIN fact f ON f.subject = member AND f.object = coalesce(target, 'BUILDING') AND f.predicate IN (k.predicate, 'not_' || k.predicate) WHERE kind = 'universal'),
+ ex AS (SELECT qid, 'property', triple_id, content, 5.0 FROM k JOIN fact f ON f.subject = about AND f.predicate = '{_WORDS.able}' AND f.object = able_target WHERE kind = 'existential' UNION ALL SELECT qid, 'existential', 'path:' || mid || '->' || f.triple_id, member || ' is_a ' || class || ' ; ' || f.content, 6.0 FROM k JOIN mem ON class = about JOIN fact f ON f.subject = member AND f.predicate = '{_WORDS.able}' AND f.object = able_target WHERE kind = 'existential'),
+ pr AS (SELECT qid, 'property', triple_id, content, 5.0 FROM k JOIN fact f ON f.subject = e1 AND (f.predicate = 'has_property' OR contains(low, 'BUILDING') AND f.predicate = '{_WORDS.able}' AND f.object = 'BUILDING') WHERE kind = 'properties'),
+ iv AS (SELECT qid, 'inverse_relation', triple_id, content, 5.0 FROM k JOIN fact f ON f.object = el AND f.predicate = 'is_a' WHERE kind = 'inverse'),
+ rl AS (SELECT qid, 'relation', triple_id, content, 5.0 FROM k JOIN fact f ON f.subject = e1 AND f.predicate = k.predicate AND (target IS NULL OR target = f.object) WHERE kind = 'relation'),
+ hit AS (SELECT * FROM pt UNION SELECT * FROM dr UNION SELECT * FROM me UNION SELECT * FROM mi UNION SELECT * FROM un UNION SELECT * FROM ex UNION SELECT * FROM pr UNION SELECT * FROM iv UNION SELECT * FROM rl),
+ qt AS (SELECT qid, unnest(t) AS token, len(t) AS n FROM (SELECT qid, list_distinct(regexp_extract_all(low, '[a-z0-9]+')) AS t FROM u WHERE qid NOT IN (SELECT qid FROM hit))),
+ ft AS (SELECT triple_id, content, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS token FROM fact),
+ allhit AS (SELECT * FROM hit UNION ALL SELECT qid, 'fallback', triple_id, content, round(count(*) / n, 6) FROM qt JOIN ft USING (token) GROUP BY qid, triple_id, content, n),
+ got AS (SELECT qid, branch, mode, item_id, content, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id DESC) AS rank FROM allhit) JOIN u USING (qid) WHERE rank <= 3)"""
+    )
+
+
+_GOT = _with(SQL["edges"], _branch_sql())
+
+
+@query(_GOT + "SELECT * FROM got")
 def graph_retrieve(spark, d):
-    return asking.graph_retrieve(_graph_questions(spark, d), edges(spark, d))
+    return asking.graph_retrieve(_branch_questions(spark, d), edges(spark, d), 3, _WORDS)
+
+
+@query(
+    _GOT + """SELECT qid, CASE WHEN items IS NULL THEN 'insufficient evidence' WHEN modes[1] = 'universal_counterexample' THEN 'No. Counterexample evidence: ' || against || '. [evidence: ' || against_ids || ']'
+ WHEN modes[1] = 'existential' THEN 'Yes. Existential support in the demo KG: ' || contents[1] || cite WHEN is_ AND starts_with(items[1], 'path:') THEN 'Yes, indirectly: ' || contents[1] || cite WHEN is_ THEN 'Yes. ' || contents[1] || cite
+ WHEN contains(contents[1], 'not_capable_of') THEN 'No. ' || contents[1] || cite ELSE contents[1] || cite END AS answer
+ FROM (SELECT gq.qid, starts_with(lower(question), 'is ') OR contains(lower(question), 'is a ') AS is_, items, contents, modes, against, against_ids, '. [evidence: ' || items[1] || ']' AS cite FROM gq LEFT JOIN (SELECT qid, list(item_id ORDER BY rank) AS items, list(content ORDER BY rank) AS contents, list(mode ORDER BY rank) AS modes,
+ string_agg(CASE WHEN mode = 'universal_counterexample' THEN content END, '; ' ORDER BY rank) AS against, string_agg(CASE WHEN mode = 'universal_counterexample' THEN item_id END, ', ' ORDER BY rank) AS against_ids FROM got GROUP BY qid) USING (qid))"""
+)
+def graph_answers(spark, d):
+    asked = _branch_questions(spark, d)
+    return asking.graph_answers(asked, asking.graph_retrieve(asked, edges(spark, d), 3, _WORDS))
 
 
 @query("WITH g AS (SELECT item_id AS qid, [item_id, item_id + 100000] AS gold FROM benchmark), x AS (SELECT qid, unnest(gold) AS id, len(gold) AS n FROM g) SELECT qid, count(doc_id) = max(n) AS covered, count(doc_id) AS found FROM x LEFT JOIN documents ON id = doc_id GROUP BY qid")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillroute.operators import dense, fusion, graph, lexical, metrics, routing
+from quillroute.operators import asking, dense, fusion, graph, lexical, metrics, routing
 
 
 def rows(df, *c):
@@ -57,7 +57,7 @@ def test_graph(spark):
     assert rows(graph.two_hop_paths(e, asked), "item_id", "score") == [("path:kg_bat_is_mammal->kg_mammal_is_vertebrate", 6.0)]
     asked = spark.createDataFrame([(1, "mammal", "capable_of", "fly")], "qid long, class string, predicate string, object string")
     assert rows(graph.existential(e, asked), "item_id", "score") == [("path:kg_bat_is_mammal->kg_bat_fly", 6.0)]
-    assert rows(graph.universal(e, asked), "item_id", "kind") == [("kg_bat_fly", "support"), ("kg_whale_not", "counterexample")]
+    assert rows(graph.universal(e, asked), "item_id", "kind") == [("path:kg_bat_is_mammal->kg_bat_fly", "support"), ("path:kg_whale_is_mammal->kg_whale_not", "counterexample")]
     assert rows(graph.without_property(e, asked), "member") == [("whale",)]
     p = spark.createDataFrame([(1, "bat", None, None), (2, None, "is_a", "mammal")], "pid int, s string, p string, o string")
     assert rows(graph.triple_match(e, p), "pid", "triple_id") == [(1, "kg_bat_fly"), (1, "kg_bat_is_mammal"), (2, "kg_bat_is_mammal"), (2, "kg_whale_is_mammal")]
@@ -68,6 +68,8 @@ def test_merge_is_idempotent(spark):
     once = graph.merge_graphs(e, e, "x").drop("origin")
     assert once.count() == e.count()
     assert {r["source"] for r in once.collect()} == {f"{f[4]}|x:{f[4]}" for f in FACTS}
+    twice = e.unionByName(e.withColumn("triple_id", F.concat(F.lit("z_"), "triple_id")))
+    assert sorted(map(tuple, graph.merge_graphs(twice, e, "x").drop("origin").collect())) == sorted(map(tuple, once.collect()))
     w = spark.createDataFrame([("kg_bat",), ("nope",)], "prefix string")
     assert rows(graph.resolve_prefix(w, e), "prefix", "ids") == [("kg_bat", ["kg_bat_fly", "kg_bat_is_mammal"]), ("nope", ["nope"])]
 
@@ -113,3 +115,41 @@ def test_linear_model(spark):
     w = spark.createDataFrame([("bm25", "x", 1.0), ("kg", "x", 1.0), ("kg", "y", 2.0)], "label string, feature string, weight double")
     s = routing.linear_scores(f, w, "qid")
     assert rows(routing.best_label(s, "qid"), "qid", "route", "margin") == [(1, "bm25", 0.0), (2, "kg", 2.0)]
+
+
+def test_graph_questions_take_their_branch(spark):
+    """Every branch with its fall-backs, and what is answered."""
+    e = facts(spark).select(*graph.EDGE).unionByName(spark.createDataFrame([("f_eats", "bat", "eats", "mosquito", "s"), ("f_wings", "bat", "has_property", "wings", "s")], graph.EDGE))
+    asked = ask(spark, "Can all mammals fly?", "What property allows a bat to fly?", "What path connects bat and vertebrate?", "Is a bat a mammal?", "Is a bat a vertebrate?", "Can a mammal fly?", "What eats mosquito?", "Does the bat produce or has a feature?", "Tell about whale", "nothing at all here")
+    found = asking.graph_retrieve(asked, e)
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["branch"], r["mode"], r["item_id"]))
+    assert got[0][0] == ("universal", "universal_counterexample", "path:kg_whale_is_mammal->kg_whale_not")
+    assert got[0][1][1] == "universal_support"
+    assert {x[2] for x in got[1]} == {"f_wings", "kg_bat_fly"} and got[1][0][0] == "properties"
+    assert got[2][0][1] == "two_hop" and got[3][0][1] == "membership"
+    assert got[4][0][:2] == ("membership", "two_hop")
+    assert got[5][0] == ("existential", "existential", "path:kg_bat_is_mammal->kg_bat_fly")
+    assert got[6] == [("inverse", "inverse_relation", "f_eats")]
+    assert got[7] == [("relation", "relation", "f_wings")]
+    assert all(x[1] == "fallback" for x in got[8]) and 9 not in got
+    answers = {r["qid"]: r["answer"] for r in asking.graph_answers(asked, found).collect()}
+    assert answers[0].startswith("No. Counterexample evidence: whale is_a mammal ; whale not_capable_of fly. [evidence: path:")
+    assert answers[3].startswith("Yes. bat is_a mammal. [") and answers[4].startswith("Yes, indirectly: bat") and answers[5].startswith("Yes. Existential support")
+    assert answers[9] == "insufficient evidence"
+
+
+def test_a_pattern_that_binds_nothing_finds_every_edge(spark):
+    e = facts(spark)
+    p = spark.createDataFrame([(7, None, None, None)], "pid int, s string, p string, o string")
+    assert graph.triple_match(e, p).count() == e.count()
+
+
+def test_rescue_counts_identifiers_and_backends(spark):
+    s = "qid long, question string, item_id string, rank int, content string, route string, backends string"
+    q = "RFC-7231 rules, not the draft"
+    e = spark.createDataFrame([(1, q, "x", 1, "draft of rules", "bm25", "dense"), (1, q, "y", 2, "see rfc-7231", "bm25", "bm25,dense")], s)
+    got = {r["item_id"]: r for r in fusion.rescue(e).collect()}
+    assert got["y"]["identifier_hits"] == 1 and got["y"]["applied"] and got["y"]["final_rank"] == 1
+    assert got["y"]["rescue_score"] == pytest.approx(got["y"]["overlap"] + 0.18 + 0.04 - 0.015, abs=1e-6)
