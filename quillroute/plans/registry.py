@@ -839,6 +839,80 @@ def evidence_diagnostics(spark, d):
     return diagnostics.evidence_diagnostics(_evidence(spark, d)).select("qid", "top1_score", "topk_score_mean", "evidence_count_log", "query_overlap_top1", "redundancy")
 
 
+def _candidate_evidence(spark, d):
+    """What lexical retrieval found, and for the hybrid candidate its first two rows as paths."""
+    e = _evidence(spark, d).withColumn("item_id", F.col("item_id").cast("string")).withColumn("parent", F.col("item_id"))
+    one = e.withColumns({"backend": F.lit("bm25"), "kind": F.lit("document"), "backends": F.lit("bm25")})
+    two = e.filter("rank <= 2").withColumns({"backend": F.lit("hybrid"), "kind": F.lit("path"), "backends": F.lit("bm25,kg"), "item_id": F.concat(F.lit("path:"), "item_id")})
+    return one.unionByName(two)
+
+
+def _cues(text: str, markers: tuple[str, ...]) -> str:
+    return "least(1.0, (" + " + ".join(f"contains({text}, {q(m)})::INTEGER" for m in markers) + ") / 3.0)"
+
+
+def _candidate_sql() -> str:
+    share = "CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, {})) / len(q) END"
+    values = {
+        **{f"candidate_{b}": f"(backend = '{b}')::INTEGER" for b in routing.BACKENDS},
+        "candidate_matches_computed_ras": "(route = backend)::INTEGER",
+        "candidate_matches_keyword": "(keyword_route = backend)::INTEGER",
+        "top1_score": "ss[1]",
+        "topk_score_mean": "list_avg(ss)",
+        "top1_top2_gap": "CASE WHEN n > 1 THEN greatest(0, ss[1] - ss[2]) ELSE ss[1] END",
+        "evidence_count_log": "ln(1 + n) / 2.0",
+        "query_overlap_top1": f"CASE WHEN n > 0 THEN {share.format('ws[1]')} END",
+        "query_overlap_topk": share.format("list_distinct(flatten(ws))"),
+        "identifier_exact_match": "CASE WHEN len(ids) > 0 THEN len(list_filter(ids, lambda x: contains(replace(whole, ' ', ''), replace(x, ' ', '')))) / len(ids) END",
+        "title_or_id_match": f"list_max(list_transform(ts, lambda t: {share.format('t')}))",
+        "source_diversity": "CASE WHEN n > 0 THEN len(list_distinct(ps)) / n END",
+        "redundancy": "red",
+        "kg_fact_or_path_present": "(len(list_filter(ks, lambda k: k IN ('kg', 'triple', 'path'))) > 0)::INTEGER",
+        "kg_path_completeness": "CASE WHEN list_contains(ks, 'path') THEN 1.0 ELSE 0.0 END",
+        "hybrid_component_agreement": "CASE backend WHEN 'bm25' THEN 1 / 3.0 WHEN 'hybrid' THEN 2 / 3.0 ELSE 0 END",
+        "semantic_snippet_consistency": f"list_avg(list_transform(ws[1:5], lambda t: {share.format('t')}))",
+        "negation_or_distractor_contamination": _cues("lower(question) || ' ' || whole", diagnostics.CONTAMINATION),
+        "public_noise_indicator": f"({_any('whole', diagnostics.PUBLIC_NOISE)})::INTEGER",
+        "answerability_marker": _cues("whole", diagnostics.ANSWERABLE),
+    }
+    return (
+        f"""evb AS (SELECT qid, 'bm25' AS backend, rank, item_id::VARCHAR AS item_id, item_id::VARCHAR AS parent, content, title, score, 'document' AS kind FROM ev UNION ALL SELECT qid, 'hybrid', rank, 'path:' || item_id, item_id::VARCHAR, content, title, score, 'path' FROM ev WHERE rank <= 2),
+ evw AS (SELECT *, {_DW.format("content")} AS w, {_DW.format("concat_ws(' ', title, parent, item_id)")} AS t, CASE WHEN score <= 0 THEN 0.0 ELSE score / (1.0 + score) END AS s FROM evb),
+ pr AS (SELECT a.qid, a.backend, avg(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END) AS red FROM evw a JOIN evw b ON a.qid = b.qid AND a.backend = b.backend AND a.rank < b.rank GROUP BY ALL),
+ eva AS (SELECT qid, backend, count(*) AS k, list(w ORDER BY rank) AS ws, list(t ORDER BY rank) AS ts, list(s ORDER BY rank) AS ss, list(parent ORDER BY rank) AS ps, list(kind ORDER BY rank) AS ks, string_agg(lower(content), ' ' ORDER BY rank) AS whole0 FROM evw GROUP BY ALL),
+ cnd AS (SELECT c.*, coalesce(k, 0) AS n, coalesce(ws, []) AS ws, ts, ss, ps, coalesce(ks, []) AS ks, coalesce(whole0, '') AS whole, red, {_DW.format("question")} AS q, regexp_extract_all(lower(question), {q(diagnostics.IDENTIFIERS)}) AS ids FROM (SELECT qid, question, route, keyword_route, unnest(['bm25', 'dense', 'kg', 'hybrid']) AS backend FROM kw) c LEFT JOIN eva USING (qid, backend) LEFT JOIN pr USING (qid, backend)),
+ cf AS (SELECT qid, backend, """
+        + ", ".join(f"round(coalesce({v}, 0)::DOUBLE, 6) AS {k}" for k, v in values.items())
+        + " FROM cnd)"
+    )
+
+
+_CANDIDATES = _with(SQL["questions"], SQL["corpus"], _LEX_DOCS, _LEX_QS, _TF, _BM25, _EV, _BENCH, _FEATURES, _PENALTY, _KEYWORD, _candidate_sql())
+
+
+@query(_CANDIDATES + "SELECT * FROM cf")
+def candidate_features(spark, d):
+    return diagnostics.candidate_features(routing.keyword_routes(routing.penalty_routes(questions(spark, d))), _candidate_evidence(spark, d))
+
+
+_V4 = {"route__lexical_exactness": 0.5, "route__relational_bridge": -0.25, "evidence__top1_score": 2.0, "evidence__candidate_matches_computed_ras": 1.0, "evidence__redundancy": -1.0, "evidence__kg_path_completeness": 0.25}
+
+
+def _v4_part(prefix: str, column: str) -> str:
+    return " + ".join(f"{w} * {column.format(c.removeprefix(prefix))}" for c, w in sorted(_V4.items()) if c.startswith(prefix))
+
+
+@query(
+    _CANDIDATES + f"""SELECT qid, backend, combined, route_part, evidence_part, round(CASE WHEN place = 1 THEN combined - max(combined) FILTER (place = 2) OVER (PARTITION BY qid) ELSE max(combined) OVER (PARTITION BY qid) - combined END, 6) AS behind, place = 1 AS selected FROM (
+ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined DESC, list_position(['bm25', 'dense', 'kg', 'hybrid'], backend)) AS place FROM (SELECT *, round(0.1 + route_part + evidence_part, 6)::DOUBLE AS combined FROM (
+ SELECT qid, backend, round({_v4_part("evidence__", "cf.{}")}, 6)::DOUBLE AS evidence_part, round(0.5 * (lexical OR {_any(_LOW, diagnostics.EXACT)})::INTEGER - 0.25 * (relational OR {_any(_LOW, diagnostics.RELATIONAL)})::INTEGER, 6)::DOUBLE AS route_part FROM cf JOIN kw USING (qid))))"""
+)
+def evidence_router(spark, d):
+    routed = routing.keyword_routes(routing.penalty_routes(questions(spark, d)))
+    candidates = diagnostics.candidate_features(routed, _candidate_evidence(spark, d))
+    return diagnostics.evidence_routes(diagnostics.joint_features(diagnostics.route_features(routed), candidates), _V4, 0.1)
+
+
 _GQ = "gq AS (SELECT n_nationkey AS qid, CASE n_nationkey % 4 WHEN 0 THEN 'Is c' || n_nationkey || ' a n3?' WHEN 1 THEN 'What path connects c' || n_nationkey || ' and r1?' WHEN 2 THEN 'What property has p' || n_nationkey || '?' ELSE 'Tell about n' || n_nationkey END AS question FROM nation)"
 
 
