@@ -1,20 +1,21 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded sample of labelled documents (``max_train`` rows); the
-smoothed log-probability matrix (buckets x languages) goes to the executors with the task
-code, and batches of whole texts are scored with sparse look-ups in numpy.
+smoothed log-probability matrix (buckets x languages) is broadcast, and batches of whole
+texts are scored with sparse look-ups in numpy. The matrix has at most 2**entry_bits entries:
+with very many languages, buckets are folded together.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_batches, texts
+from .common import bounded_sample, map_batches, pack_arrays, texts, unpack_arrays
 
 #: What the trained model knows; pred is UNDETERMINED where a text has no letter.
 UNDETERMINED = "und"
@@ -26,7 +27,7 @@ class LanguageParams:
     bits: int = 16
     smoothing: float = 0.5
     max_train: int = 8_000
-    max_languages: int = 200
+    entry_bits: int = 24
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,11 @@ def train(docs: DataFrame, usable: Column, p: LanguageParams = LanguageParams())
                 x, _ = code_points(chosen[a:b])
                 for _, h, ok in grams(x, p.orders, p.bits):
                     total += np.bincount(h[ok], minlength=size)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "docs": [len(chosen)], "counts": [total.astype("<i8").tobytes()]}, pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.binary())]))
+            yield row(lang, len(chosen), total)
+
+    def row(lang: str, n: int, total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_pydict({"lang": [lang], "docs": [n], "counts": [pack_arrays(at=at.astype(np.uint32), n=total[at])]}, pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.binary())]))
 
     def add(batch_iter):
         sums: dict[str, list] = {}
@@ -138,20 +143,25 @@ def train(docs: DataFrame, usable: Column, p: LanguageParams = LanguageParams())
             for lang, docs_, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = sums.setdefault(lang, [0, np.zeros(size, np.int64)])
                 s[0] += docs_
-                s[1] += np.frombuffer(counts, "<i8")
-        if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "docs": [v[0] for v in sums.values()], "counts": [v[1].tobytes() for v in sums.values()]}, pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.binary())]))
+                a = unpack_arrays(counts)
+                s[1][a["at"]] += a["n"]
+            if len(sums) > 64:
+                yield from (row(k, *v) for k, v in sums.items())
+                sums = {}
+        yield from (row(k, *v) for k, v in sums.items())
 
     schema = "lang string, docs long, counts binary"
     parts = map_batches(rows, schema, count).mapInArrow(add, schema).collect()
     langs = sorted({r["lang"] for r in parts})
-    if len(langs) > p.max_languages:
-        raise ValueError(f"{len(langs)} distinct languages; at most {p.max_languages} fit the model")
-    matrix = np.zeros((size, len(langs)))
+    number = {x: i for i, x in enumerate(langs)}
+    bits = max(1, min(p.bits, int(p.entry_bits - np.log2(max(1, len(langs))))))
+    p, fold_ = replace(p, bits=bits), p.bits - bits  # buckets are the first bits of a hash
+    matrix = np.zeros((1 << bits, len(langs)), np.float32 if len(langs) > 200 else np.float64)
     prior = np.zeros(len(langs))
     for r in parts:
-        k = langs.index(r["lang"])
-        matrix[:, k] += np.frombuffer(r["counts"], "<i8")
+        k = number[r["lang"]]
+        a = unpack_arrays(bytes(r["counts"]))
+        np.add.at(matrix[:, k], (a["at"] >> np.uint32(fold_)).astype(np.int64), a["n"])
         prior[k] += r["docs"]
     smooth = matrix + p.smoothing
     with np.errstate(divide="ignore"):
@@ -198,8 +208,10 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column) -> DataFra
     by one; ties go to the language that comes first in order.
     """
 
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pred, score = predict(texts(batch.column(2)), model)
+        pred, score = predict(texts(batch.column(2)), known.value)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
@@ -212,4 +224,9 @@ def fold(column: str = "doc_id") -> Column:
 
 
 def language_predictions(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:
+    """identify() with a model of the rows that are not held out.
+
+    Null ids are neither held out nor learned from; rows with a null lang are scored only;
+    an empty table gives an empty result. Other columns are not read.
+    """
     return identify(docs, train(docs, fold() != 0, p), fold() == 0)

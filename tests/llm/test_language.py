@@ -60,3 +60,13 @@ def test_held_out_accuracy(spark, sf):
     d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     out = L.language_predictions(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
     assert out.filter("lang_pred = lang").count() / out.count() > 0.97
+
+
+def test_many_languages_fold_buckets(spark, docs_of):
+    """Far more labels than usual: no failure, and a matrix of bounded size."""
+    texts = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30) for i in range(300)]
+    docs = docs_of(texts).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    model = L.train(docs, F.lit(True), L.LanguageParams(entry_bits=18))
+    assert len(model.languages) == 300 and model.log_prob.size <= 1 << 18
+    pred, _ = L.predict([t for _, t in texts], model)
+    assert sum(p == f"l{i}" for i, p in enumerate(pred)) > 200
