@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, texts
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+#: Tags are looked for within so many characters; longer ones as long as a page has spent less than so many times its length on them.
+_WINDOW, _PATIENCE = 4096, 16
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text: it ends at their own end tag only.
@@ -138,6 +140,7 @@ def parse(page: str, p: HtmlParams) -> tuple[list[_Block], list[_Element]]:
     def close(count: int) -> None:
         for _ in range(count):
             e = stack.pop()
+            opened[e.tag] -= 1
             if e.tag not in _INLINE:
                 flush()
             e.hash = xxhash.xxh3_64_intdigest("\x00".join([e.tag, *e.parts])) >> 1
@@ -145,22 +148,38 @@ def parse(page: str, p: HtmlParams) -> tuple[list[_Block], list[_Element]]:
             stack[-1].size += e.size
             done.append(e)
 
-    at = 0
+    at = spent = 0
     n = len(page)
+    opened: dict[str, int] = {}  # how many elements of each kind are open
     while at < n:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        i = page.find("<", at)
+        if i < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
+        m = None
+        if page.startswith(("<!--", "<![CDATA["), i):
+            m = _MARKUP.match(page, i)
+        elif page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] in ("/", "!", "?"):
+            m = _MARKUP.match(page, i, min(n, i + _WINDOW))
+            cut_short = i + _WINDOW < n and (m is None or m.end() == i + _WINDOW or m[5])
+            if cut_short and spent < _PATIENCE * n:
+                m = _MARKUP.match(page, i)
+                spent += m.end() - i if m and not m[5] else n - i  # as much as was read
+            elif cut_short and m and not m[5]:
+                m = None
+        if m is None:
+            say(page[at : i + 1])
+            at = i + 1
+            continue
+        say(page[at:i])
         at = m.end()
         name = m[2] or m[5]  # the second form: quotes that are not in pairs
         if name is None:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
+            if opened.get(tag):
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
                 close(len(stack) - depth)
             elif tag not in _INLINE:
                 flush()
@@ -174,7 +193,7 @@ def parse(page: str, p: HtmlParams) -> tuple[list[_Block], list[_Element]]:
             continue
         if tag in _ENDS_P or tag in _SIBLINGS:
             targets = {"p"} if tag in _ENDS_P else _SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened.get(t) for t in targets) else ():
                 if stack[i].tag in targets:
                     close(len(stack) - i)
                     break
@@ -187,6 +206,7 @@ def parse(page: str, p: HtmlParams) -> tuple[list[_Block], list[_Element]]:
                 run.append(" ")
             continue
         mark = _is_article(tag, attributes)
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append(_Element(tag, stack[-1], _is_barred(tag, attributes), not mark and _is_named(tag, attributes), mark))
     flush()
     close(len(stack) - 1)
@@ -205,8 +225,26 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def parse_page(page: str | None, p: HtmlParams) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """Blocks that may be main text with the subtrees they lie in; subtrees that may be template; a hash of the page."""
+@dataclass
+class ParsedPage:
+    """What is left to decide about a page: ``blocks`` (text, number of the subtree it lies in, or -1) may be main text;
+    ``names`` are the subtrees around them that may be template, ``parents`` the numbers of those around these, or -1."""
+
+    blocks: list[tuple[str, int]]
+    names: list[int]
+    parents: list[int]
+    subtrees: list[int]  # all that may be template
+    content: int  # a hash of the page
+
+    def without(self, drop: set[int]) -> str:
+        """The text without the blocks that lie in subtrees to be dropped."""
+        gone: list[bool] = []
+        for name, up in zip(self.names, self.parents, strict=True):  # those around come first
+            gone.append(name in drop or (up >= 0 and gone[up]))
+        return "\n".join(t for t, at in self.blocks if at < 0 or not gone[at])
+
+
+def parse_page(page: str | None, p: HtmlParams) -> ParsedPage:
     blocks, elements = parse(page or "", p)
     total = sum(len(b.text) for b in blocks)
     main = [b for b in blocks if not b.element.chrome]
@@ -221,46 +259,66 @@ def parse_page(page: str | None, p: HtmlParams) -> tuple[list[tuple[str, list[in
     def name(e: _Element) -> int:  # odd for short pieces
         return e.hash & ~1 | (e.size < p.short and (e.tag in _PIECES or e.tag in _INLINE))
 
-    subtrees = sorted({name(e) for e in elements if e.size and may_go(e)})
-    out = []
-    for b in main:
-        e: _Element | None = b.element
-        if marked and not e.article:
-            continue
-        around = []
-        while e is not None and e.parent is not None:
-            if may_go(e):
-                around.append(name(e))
+    out = ParsedPage([], [], [], sorted({name(e) for e in elements if e.size and may_go(e)}), xxhash.xxh3_64_intdigest("\n".join(b.text for b in blocks)) >> 1)
+    number: dict[int, int] = {}  # of an element, by identity: the nearest subtree around it that may go
+
+    def around(e: _Element) -> int:
+        path = []
+        while e.parent is not None and id(e) not in number:
+            path.append(e)
             e = e.parent
-        out.append((b.text, around))
-    return out, subtrees, xxhash.xxh3_64_intdigest("\n".join(b.text for b in blocks)) >> 1
+        at = number.get(id(e), -1)
+        for e in reversed(path):
+            if may_go(e):
+                out.names.append(name(e))
+                out.parents.append(at)
+                at = len(out.names) - 1
+            number[id(e)] = at
+        return at
+
+    for b in main:
+        if not marked or b.element.article:
+            out.blocks.append((b.text, around(b.element)))
+    return out
 
 
-_PARSED = "page_id long, url string, host string, row long, content long, subtrees array<long>, text string, blocks array<struct<text:string,around:array<long>>>"
+_PARSED = "page_id long, url string, host string, row long, content long, subtrees array<long>, text string, blocks array<struct<text:string,at:int>>, names array<long>, parents array<int>"
 
 
 def parsed_pages(pages: DataFrame, p: HtmlParams) -> DataFrame:
-    block = pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.string()), ("at", pa.int32())])
 
     def run(batch: pa.RecordBatch):
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            urls = texts(part.column(1))
             found = [parse_page(h, p) for h in texts(part.column(2))]
             # blocks that lie in no candidate subtree are joined at once
-            plain = [not any(a for _, a in b) for b, _, _ in found]
+            plain = [not x.names for x in found]
+            some = lambda values, kind: pa.array([None if ok else v for ok, v in zip(plain, values, strict=True)], kind)
             arrays = [
-                part.column(0), part.column(1), pa.array([host_of(u) for u in urls]), part.column(3),
-                pa.array([c for _, _, c in found], pa.int64()), pa.array([s for _, s, _ in found], pa.list_(pa.int64())),
-                pa.array(["\n".join(t for t, _ in b) if ok else None for ok, (b, _, _) in zip(plain, found, strict=True)], pa.string()),
-                pa.array([None if ok else [{"text": t, "around": a} for t, a in b] for ok, (b, _, _) in zip(plain, found, strict=True)], pa.list_(block)),
+                part.column(0), part.column(1), pa.array([host_of(u) for u in texts(part.column(1))]), part.column(3),
+                pa.array([x.content for x in found], pa.int64()), pa.array([x.subtrees for x in found], pa.list_(pa.int64())),
+                pa.array([x.without(set()) if ok else None for ok, x in zip(plain, found, strict=True)], pa.string()),
+                some([[{"text": t, "at": at} for t, at in x.blocks] for x in found], pa.list_(block)),
+                some([x.names for x in found], pa.list_(pa.int64())), some([x.parents for x in found], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ("page_id", "url", "host", "row", "content", "subtrees", "text", "blocks")])
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "row", "content", "subtrees", "text", "blocks", "names", "parents"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.monotonically_increasing_id().alias("row"))
     return map_batches(rows, _PARSED, run)
 
 
+def without_templates(left: DataFrame) -> DataFrame:
+    """page_id, url, text of parsed pages whose subtrees in ``drop`` go."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.select(["blocks", "names", "parents", "drop"]).to_pylist()
+        text = [ParsedPage([(b["text"], b["at"]) for b in r["blocks"]], r["names"], r["parents"], [], 0).without(set(r["drop"])) for r in rows]
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    return map_batches(left.select("page_id", "url", "blocks", "names", "parents", "drop"), "page_id long, url string, text string", run)
+
+
 def host_templates(parsed: DataFrame, p: HtmlParams) -> DataFrame:
     """host, subtree: those on at least min_pages different pages, however many the host has."""
     each = parsed.select("host", "content", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "subtrees")).alias("subtree")).distinct()
@@ -282,9 +340,8 @@ def extract(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
     parsed = cut(parsed_pages(pages, p))
     templates = host_templates(parsed, p)
     open_pages = parsed.filter(F.col("blocks").isNotNull())
-    hits = open_pages.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))).alias("subtree")).join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("drop"))
+    hits = open_pages.select("row", "host", F.explode(F.array_distinct("names")).alias("subtree")).join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("drop"))
     left = open_pages.join(hits, "row", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<long>")))
-    kept = F.transform(F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("drop"))), lambda b: b["text"])
     whole = parsed.filter(F.col("blocks").isNull()).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    both = whole.unionByName(left.select("page_id", "url", F.array_join(kept, "\n").alias("text")))
+    both = whole.unionByName(without_templates(left))
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -36,11 +36,16 @@ def test_brute_force_templates(spark):
     seen = {}
     parsed = {r[0]: H.parse_page(r[2], p) for r in rows}
     for r in rows:
-        for s in parsed[r[0]][1]:
-            seen.setdefault((r[1][:11], s), set()).add(parsed[r[0]][2])
+        for s in parsed[r[0]].subtrees:
+            seen.setdefault((r[1][:11], s), set()).add(parsed[r[0]].content)
     for r in rows:
         drop = {s for (h, s), pages in seen.items() if h == r[1][:11] and len(pages) >= 3 and len(pages) >= 0.02 * 12}
-        assert out[r[0]]["text"] == "\n".join(t for t, around in parsed[r[0]][0] if not drop & set(around))
+        x = parsed[r[0]]
+
+        def around(at):
+            return set() if at < 0 else {x.names[at]} | around(x.parents[at])
+
+        assert out[r[0]]["text"] == "\n".join(t for t, at in x.blocks if not drop & around(at))
 
 
 def test_broken_markup_and_empty_table(spark):
@@ -103,3 +108,27 @@ def test_short_pieces_need_a_share_of_a_large_host(spark):
     rows = [(i, "http://big.org/p", f"<div><p>Text {i} of this page is its own.</p><table><tr><td>cell {i}</td><td>{i % 100}</td></tr></table></div>", None, None) for i in range(1000)]
     out = run(spark, rows)
     assert all(out[i]["text"] == f"Text {i} of this page is its own.\ncell {i}\n{i % 100}" for i in range(1000))
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    from quillroute.llm import html as H
+
+    p = H.HtmlParams()
+    for make in (lambda n: "<div>x " * n, lambda n: "<a href=\"x " * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "<h1>t</h1>" * n, lambda n: "<p title='it" * n + ">"):
+        took = []
+        for n in (2000, 16000):
+            t = time.perf_counter()
+            found = H.parse_page(make(n), p)
+            took.append(time.perf_counter() - t)
+            assert len(found.names) <= n + 1
+        assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_long_tags_and_comments_are_markup_all_the_same():
+    from quillroute.llm import html as H
+
+    p = H.HtmlParams()
+    page = f"<div data-x=\"{'y > ' * 5000}\"><p>one</p><!-- {'z > ' * 5000} --><p title='a<b'>two 1 < 2</p></div>"
+    assert H.parse_page(page, p).without(set()) == "one\ntwo 1 < 2"
