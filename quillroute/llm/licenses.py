@@ -2,7 +2,9 @@
 
 A rule is a hand-written regular expression with a label, a priority and a keyword. A text
 is first tested for any keyword (cheap substring tests); only rules whose keyword occurs are
-run, and only on texts that pass. Every detection is an interval of the text. A detection
+run, and only on texts that pass. The rules read the text with every run of white space, and
+the comment marks that stand free in it, as one blank, so that line breaks do not hide a
+notice. Every detection is an interval of that text. A detection
 that lies within a detection of a better rule (lower priority number; of equals the longer,
 then the earlier rule) is suppressed, so ``the MIT license`` inside ``the MIT license (MIT)``
 counts once. Everything is a projection: no shuffle, no Python on the executors.
@@ -11,7 +13,10 @@ counts once. Everything is a projection: no shuffle, no Python on the executors.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,6 +202,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     """
     table = rules() if table is None else table
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    d = d.withColumn("plain", F.regexp_replace("low", _GAPS, " "))
     # every word between two blanks of its own, so that neighbouring phrases share none
     d = d.withColumn("words", F.concat(F.lit(" "), F.trim(F.regexp_replace("low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")), F.lit(" ")))
     d = d.withColumn("words", F.when(F.col("words") == "  ", "").otherwise(F.col("words")))
@@ -213,7 +219,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     d = d.withColumns(first).withColumns(rest)
     k = range(len(BASE_PHRASES))
     base = F.array_compact(F.array(*(F.when(F.col(f"n{i}") > 0, label) for i, (_, label) in enumerate(BASE_PHRASES))))
-    found = _detections(F.col("low"), table)
+    found = _detections(F.col("plain"), table)
     return d.select(
         "doc_id", "n_words",
         sum((F.col(f"n{i}") for i in k), F.lit(0)).cast("long").alias("n_base"),
@@ -224,50 +230,84 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     )
 
 
-def _detections(low: Column, table: list[Rule]) -> Column:
-    """Detections that no better one contains: array of (begin, end, priority, position, label, weight)."""
-    words = _prefilter_words(table)
-    gate = None
-    for w in words:
-        c = F.contains(low, F.lit(w))
-        gate = c if gate is None else gate | c
-    schema = "array<struct<keyword:string,pattern:string,label:string,priority:int,position:int,weight:double>>"
-    spec = F.from_json(F.lit(json.dumps([{"keyword": r.keyword, "pattern": r.pattern, "label": r.label, "priority": r.priority, "position": i, "weight": r.weight} for i, r in enumerate(table)])), schema)
-    live = F.filter(spec, lambda r: F.contains(low, r["keyword"]) & F.rlike(low, r["pattern"]))
-
-    def spans(r: Column) -> Column:
-        matches = F.regexp_extract_all(low, r["pattern"], F.lit(0))
-        gaps = F.split(low, r["pattern"], -1)
-        # begin of match i = lengths of the gaps up to i and of the matches before i
-        state = F.aggregate(
-            F.sequence(F.lit(0), F.size(matches) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,e:int>>").alias("out")),
-            lambda s, i: F.struct(
-                (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("at"),
-                F.concat(s["out"], F.array(F.struct((s["at"] + F.length(F.get(gaps, i))).alias("b"), (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("e")))).alias("out"),
-            ),
+#: Free-standing comment marks and the white space around them: one blank for the rules.
+_GAPS = r"\s++(?:(?:[*#;]++|//++|--++)\s++)*+"
+_POWERS = [1 << i for i in range(31)]
+_DETECTION = "array<struct<begin:int,end:int,priority:int,position:int,label:string,weight:double>>"
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running_sums(a: Column) -> Column:
+    """Running sums of an array that a lambda variable holds: log2(n) passes, by doubling the reach."""
+    steps = F.filter(F.array(*map(F.lit, _POWERS)), lambda d: d < F.size(a))
+    return F.aggregate(steps, a, lambda acc, d: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - d), F.lit(0))))
+
+
+def _starting_before(detections: Column, value: Column) -> Column:
+    """How many of the detections, sorted by begin, begin before ``value``: a binary search."""
+    steps = F.filter(F.array(*map(F.lit, reversed(_POWERS))), lambda d: d <= F.size(detections))
+    return F.aggregate(steps, F.lit(0), lambda n, d: F.when(F.get(detections, n + d - 1)["begin"] < value, n + d).otherwise(n))
+
+
+def _live(text: Column, table: list[Rule]) -> Column:
+    """Positions of the rules that match: keywords first, then literal patterns, which Spark compiles once."""
+    gated: dict[str, list[int]] = {}
+    for i, r in enumerate(table):
+        gated.setdefault(r.keyword, []).append(i)
+    groups = (F.when(F.contains(text, F.lit(k)), F.array_compact(F.array(*(F.when(F.rlike(text, F.lit(table[i].pattern)), F.lit(i)) for i in group)))) for k, group in gated.items())
+    return F.flatten(F.array_compact(F.array(*groups)))
+
+
+def _detections(text: Column, table: list[Rule]) -> Column:
+    """Detections that no better one contains, by begin: array of (begin, end, priority, position, label, weight).
+
+    Time grows with the number of detections times its logarithm, and with how many overlap.
+    """
+    gate = reduce(or_, (F.contains(text, F.lit(w)) for w in _prefilter_words(table)), F.lit(False))
+    schema = "array<struct<pattern:string,label:string,priority:int,weight:double>>"
+    spec = F.from_json(F.lit(json.dumps([{"pattern": r.pattern, "label": r.label, "priority": r.priority, "weight": r.weight} for r in table])), schema)
+
+    def measured(position: Column) -> Column:
+        pattern = F.get(spec, position)["pattern"]
+        sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+        return F.struct(position.alias("position"), sizes.alias("sizes"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
+
+    def spans(m: Column) -> Column:
+        r = F.get(spec, m["position"])
+        steps = F.transform(m["sizes"], lambda size, i: size + F.get(m["gaps"], i))
+        return F.transform(
+            F.arrays_zip(_bind(steps, _running_sums).alias("end"), m["sizes"].alias("size")),
+            lambda z: F.struct((z["end"] - z["size"]).alias("begin"), z["end"].alias("end"), r["priority"].alias("priority"), m["position"].alias("position"), r["label"].alias("label"), r["weight"].alias("weight")),
         )
-        return F.transform(F.when(F.size(matches) > 0, state["out"]).otherwise(F.array().cast("array<struct<b:int,e:int>>")), lambda m: F.struct(m["b"].alias("begin"), m["e"].alias("end"), r["priority"].alias("priority"), r["position"].alias("position"), r["label"].alias("label"), r["weight"].alias("weight")))
 
-    everything = F.flatten(F.transform(live, spans))
+    def better(y: Column, x: Column) -> Column:
+        within = (y["begin"] <= x["begin"]) & (y["end"] >= x["end"])
+        longer = (y["end"] - y["begin"]) - (x["end"] - x["begin"])
+        return within & ((y["priority"] < x["priority"]) | (y["priority"] == x["priority"]) & ((longer > 0) | (longer == 0) & (y["position"] < x["position"])))
+
+    def unsuppressed(found: Column) -> Column:
+        # only detections that begin at most the longest one's length before x ends can contain x
+        def kept(longest: Column) -> Column:
+            def alone(x: Column) -> Column:
+                first, last = _starting_before(found, x["end"] - longest), _starting_before(found, x["begin"] + 1)
+                return ~F.exists(F.slice(found, first + 1, last - first), lambda y: better(y, x))
 
-    def suppressed(x: Column, all_: Column) -> Column:
-        def better(y: Column) -> Column:
-            within = (y["begin"] <= x["begin"]) & (y["end"] >= x["end"])
-            longer = (y["end"] - y["begin"]) - (x["end"] - x["begin"])
-            return within & ((y["priority"] < x["priority"]) | (y["priority"] == x["priority"]) & ((longer > 0) | (longer == 0) & (y["position"] < x["position"])))
+            return F.filter(found, alone)
 
-        return F.exists(all_, better)
+        return _bind(F.array_max(F.transform(found, lambda x: x["end"] - x["begin"])), kept)
 
-    kept = F.filter(everything, lambda x: ~suppressed(x, everything))
-    return F.when(gate, kept)
+    found = F.flatten(F.transform(F.transform(_live(text, table), measured), spans))
+    return F.when(gate, _bind(F.array_sort(found.cast(_DETECTION)), unsuppressed))
 
 
 def license_report(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     """The digest of scan(): labels joined by commas, and the best weight as score."""
     s = scan(docs, table)
-    none = F.array().cast("array<struct<begin:int,end:int,priority:int,position:int,label:string,weight:double>>")
-    s = s.withColumn("detections", F.coalesce("detections", none))
+    s = s.withColumn("detections", F.coalesce("detections", F.array().cast(_DETECTION)))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda x: x["label"]))))
     weight = F.aggregate("detections", F.lit(0.0), lambda a, x: F.greatest(a, x["weight"]))
     return s.select(
