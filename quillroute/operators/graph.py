@@ -189,3 +189,9 @@ def by_mode(mode: str, curated: DataFrame, extracted: DataFrame) -> DataFrame:
     if mode == "extracted":
         return extracted
     return merge_graphs(curated, extracted, "extracted").drop("origin")
+
+
+def profile_facts(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The facts of ``profiles`` (doc_id, subject, predicate, object, confidence) whose subject their document names."""
+    named = F.contains(F.lower(F.concat_ws(" ", "title", "text")), F.col("subject")) | F.contains(F.col("doc_id").cast("string"), F.col("subject"))
+    return docs.select("doc_id", "title", "text").join(profiles, "doc_id").filter(named).select("doc_id", "subject", "predicate", "object", "confidence")

@@ -153,3 +153,25 @@ def claims(scores: DataFrame, stated: DataFrame) -> DataFrame:
     b = scores.select(F.col("system").alias("baseline"), F.col("value").alias("b"))
     d = stated.join(a, "primary").join(b, "baseline")
     return d.select("claim", F.when(F.col("ties"), F.col("p") >= F.col("b")).otherwise(F.col("p") > F.col("b")).alias("supported"))
+
+
+def first_hits(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, backend, first_hit: the best rank of a gold item (qid, item_id) in each backend's list."""
+    there = gold.select("qid", "item_id", F.lit(1).alias("is_gold")).dropDuplicates(["qid", "item_id"])
+    return ranked.join(there, ["qid", "item_id"], "left").groupBy("qid", "backend").agg(F.min(F.when(F.col("is_gold") == 1, F.col("rank"))).alias("first_hit"))
+
+
+def first_whole_hits(items: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, backend, first_hit: the best rank of *one* item (qid, backend, rank, ids) that holds all gold ids."""
+    d = items.join(gold.select("qid", "gold"), "qid", "left")
+    whole = F.coalesce(all_gold(F.col("ids"), F.col("gold")), F.lit(False))
+    return d.groupBy("qid", "backend").agg(F.min(F.when(whole, F.col("rank"))).alias("first_hit"))
+
+
+def beats(hits: DataFrame, primary: str, others: tuple[str, ...]) -> DataFrame:
+    """Per other backend: the questions that ``primary`` hits and the other does not, beside both totals."""
+    p = hits.groupBy("qid").pivot("backend", [primary, *others]).agg(F.min("first_hit"))
+    mine = F.col(primary).isNotNull()
+    cases = F.explode(F.array(*(F.struct(F.lit(o).alias("other"), F.col(o).isNotNull().alias("theirs")) for o in others)))
+    d = p.select("qid", mine.alias("mine"), (F.col(primary) == 1).alias("top1"), cases.alias("c"))
+    return d.groupBy(F.col("c.other").alias("other")).agg(F.count("*").alias("n"), F.count_if("mine").alias("hits"), F.count_if("top1").alias("top1"), F.count_if("c.theirs").alias("other_hits"), F.count_if(F.col("mine") & ~F.col("c.theirs")).alias("beats"))

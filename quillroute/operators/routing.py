@@ -118,6 +118,34 @@ def calibrated_routes(routed: DataFrame) -> DataFrame:
     return d.withColumns({"calibrated_route": F.coalesce(structural, bait, suppressed, r), "override": name})
 
 
+def classifier_override(routed: DataFrame, classifier: str, scores: dict[str, Column], least: float = 0.42, gap: float = 0.08) -> DataFrame:
+    """Adds final_route to calibrated_routes() with a confidence: a classifier's route where it may decide.
+
+    It may where confidence is not high, a signal of a hard boundary is on, and its score
+    (``scores`` per backend, missing ones 0) is at least ``least`` and ``gap`` above the chosen route's.
+    """
+
+    def score(route: Column) -> Column:
+        out = F.lit(0.0)
+        for b, c in scores.items():
+            out = F.when(route == b, F.coalesce(c, F.lit(0.0))).otherwise(out)
+        return out
+
+    theirs, ours = F.col(classifier), F.col("calibrated_route")
+    hard = F.col("misleading_exact_cue") | F.col("explicit_kg_negation") | F.col("identifier_heavy") & (F.col("semantic_cue") | F.col("relational_cue"))
+    wins = (theirs != ours) & (F.col("confidence") != "high") & hard & (score(theirs) >= least) & (F.round(score(theirs) - score(ours), 9) >= gap)
+    return routed.withColumn("final_route", F.when(wins, theirs).otherwise(ours))
+
+
+def explain_versions(routed: DataFrame, key: str, versions: dict[str, str]) -> DataFrame:
+    """key, version, route, votes, ambiguous: every version's choice, and how many versions choose alike."""
+    d = route_votes(routed, tuple(versions.values()))
+    all_ = F.array(*(F.col(c) for c in versions.values()))
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("version"), F.col(c).alias("route")) for v, c in versions.items())))
+    d = d.select(key, "margin", "ambiguous", all_.alias("routes"), each.alias("e"))
+    return d.select(key, "margin", "ambiguous", "e.version", "e.route", F.size(F.filter("routes", lambda r: r == F.col("e.route"))).alias("votes"))
+
+
 def route_votes(routed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Adds n_routes (distinct votes) and ambiguous (little margin, or votes that differ)."""
     votes = F.size(F.array_distinct(F.array(*(F.col(c) for c in columns))))

@@ -1134,3 +1134,7 @@ def stream_route_counts(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark question routed, its evidence retrieved and its answer written."""
     return answers_templated(spark, d)
+
+
+# registers its queries here
+from . import evaluations  # noqa: E402, F401

@@ -87,3 +87,51 @@ def test_hybrid_adds_bundles_for_relational_questions(spark):
     bundles = spark.createDataFrame([(1, "k", "a", 0.08), (2, "k", "a", 0.08)], "qid long, graph_id string, text_id string, score double")
     got = fusion.hybrid_retrieve(ranked, bundles, spark.createDataFrame([(1,)], "qid long"), 1).orderBy("qid").collect()
     assert [r["item_id"] for r in got] == ["k+a", "a"]
+
+
+def test_first_two_raters_and_preferences(spark):
+    from quillroute.operators import annotation
+
+    rated = spark.createDataFrame([(1, 5, 3), (1, 2, 2), (1, 9, 1), (2, 1, 3), (3, 1, 0), (3, 2, 2), (4, 1, None), (4, 2, 1)], "item int, at int, score int")
+    assert [tuple(r) for r in annotation.first_two_raters(rated, "item", "at", "score").collect()] == [(1, 2, 3)]
+    votes = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B"), (2, "B"), (2, "A"), (3, "Tie"), (4, "A")], "item int, choice string")
+    pairs = spark.createDataFrame([(1, "kg", "bm25"), (2, "kg", "bm25"), (3, "kg", "bm25"), (4, "kg", "bm25"), (5, "kg", "bm25")], "item int, route_a string, route_b string")
+    won = annotation.preferred_routes(votes, pairs, "item", "choice")
+    assert sorted((r["item"], r["preferred"]) for r in won.collect()) == [(2, "bm25"), (4, "kg")]
+    assert tuple(annotation.human_alignment(won, "route_a", "route_b").first()) == (2, 0.5, 0.5, 0.0, 1)
+    assert tuple(annotation.human_alignment(won.filter("false"), "route_a", "route_b").first()) == (0, 0.0, 0.0, 0.0, 0)
+
+
+def test_comparison_tag_order(spark):
+    from pyspark.sql import functions as F
+
+    from quillroute.operators.annotation import comparison_tag
+
+    rows = [(False, True, "a", "b", 0.0), (True, False, "a", "b", 0.0), (True, True, "a", "b", 0.0), (True, True, "a", "a", 0.15), (False, False, "a", "a", 0.2)]
+    d = spark.createDataFrame(rows, "x boolean, y boolean, a string, b string, m double")
+    tags = [r[0] for r in d.select(comparison_tag(*(F.col(c) for c in "xyabm"))).collect()]
+    assert tags == ["computed_miss_system_b_hit", "computed_hit_system_b_miss", "route_disagreement", "computed_low_confidence", "trace_evidence_audit"]
+
+
+def test_beats_and_whole_gold(spark):
+    from quillroute.operators import metrics
+
+    ranked = spark.createDataFrame([(1, "kg", "x", 1), (1, "bm25", "y", 1), (2, "kg", "y", 1), (2, "kg", "x", 2), (2, "bm25", "x", 1)], "qid int, backend string, item_id string, rank int")
+    gold = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (3, "x")], "qid int, item_id string")
+    (r,) = metrics.beats(metrics.first_hits(ranked, gold), "kg", ("bm25",)).collect()
+    assert tuple(r) == ("bm25", 2, 2, 1, 1, 1)
+    items = spark.createDataFrame([(1, "kg", 1, ["x"]), (1, "kg", 2, ["x", "y", "z"]), (1, "bm25", 1, ["y"])], "qid int, backend string, rank int, ids array<string>")
+    whole = metrics.first_whole_hits(items, spark.createDataFrame([(1, ["x", "y"])], "qid int, gold array<string>"))
+    assert {x["backend"]: x["first_hit"] for x in whole.collect()} == {"kg": 2, "bm25": None}
+
+
+def test_classifier_override_bounds(spark):
+    from pyspark.sql import functions as F
+
+    from quillroute.operators import routing
+
+    cols = "calibrated_route string, classifier string, p double, confidence string, misleading_exact_cue boolean, explicit_kg_negation boolean, identifier_heavy boolean, semantic_cue boolean, relational_cue boolean"
+    hard, none = (True, False, False, False, False), (False,) * 5
+    rows = [("bm25", "dense", 0.6, "low", *hard), ("bm25", "dense", 0.6, "high", *hard), ("bm25", "dense", 0.6, "low", *none), ("bm25", "dense", 0.41, "low", *hard), ("bm25", "dense", None, "low", *hard), ("bm25", "dense", 0.6, "low", False, False, True, True, False)]
+    d = routing.classifier_override(spark.createDataFrame(rows, cols), "classifier", {"dense": F.col("p"), "bm25": F.lit(0.1)})
+    assert [r["final_route"] for r in d.collect()] == ["dense", "bm25", "bm25", "bm25", "bm25", "dense"]
