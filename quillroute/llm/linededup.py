@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bits, bits_of, cut, drop_caches, fresh_name, map_batches, pack_arrays, release_memory, run_starts, settled, ship_package, text_bytes, unpack_arrays
@@ -695,13 +695,20 @@ def line_report(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the repeated lines cut out of text, and n_chars, if there, counted anew.
 
-    Documents that lose every line keep their row with an empty text.
+    Documents that lose every line keep their row with an empty text; null and empty texts and
+    null ids stay as they are. Other columns may have any name. Cutting is linear in the lines.
     """
     rows, row = _number(docs)
     lost = fresh_name(rows, "line_gone")
     gone = removed_lines(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), p).groupBy("row").agg(F.collect_list("line").alias(lost)).withColumnRenamed("row", row)
     joined = rows.join(gone, row, "left")
-    left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.array_contains(lost, i), None).otherwise(x)), lambda x: x.isNotNull()), "\n")
+
+    def kept(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost).cast("array<int>"))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    # an array of one, so that the text is split once
+    left = F.get(F.transform(F.array(F.split("text", "\n", -1)), kept), 0)
     out = joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
