@@ -47,11 +47,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in tests,
-    a folder of this machine stands in for it.
+    The cluster names it in spark.checkpoint.dir; only where that is unset in local mode, as
+    in tests, a folder of this machine stands in for it. Other machines could not read that.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quillroute-shared")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillroute-{uuid.uuid4().hex}"

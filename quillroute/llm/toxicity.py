@@ -300,7 +300,11 @@ def grade(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns."""
+    """The rows of ``docs`` that are not toxic, with all their columns, whatever their names.
+
+    Null and empty texts are clean and stay; null ids are scored like others; of repeated rows all stay or all go. Without toxic
+    labels nothing is known to be toxic, and every row stays.
+    """
     model = fit(docs, labels, p)
     at = docs.columns.index("text")
 
@@ -312,4 +316,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityP
 
 
 def toxicity_grades(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """grade() with a model fitted on the labelled rows: one row per row of ``docs``.
+
+    Null texts count as empty, repeated rows are scored one by one, null labels and labels of
+    unknown ids teach nothing, an empty table gives an empty result, other columns are not read.
+    """
     return grade(docs, fit(docs, labels, p))

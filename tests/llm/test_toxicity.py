@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -73,3 +74,20 @@ def test_gradient_equals_differences():
         d = np.zeros(2)
         d[i] = 1e-3
         assert abs(loss(w + d, b) - loss(w - d, b)) / 2e-3 < 5e-3
+
+
+def test_grades_against_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    assert model.index and list(model.thresholds) == sorted(model.thresholds)
+    got = {r["doc_id"]: r for r in T.grade(docs, model).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        words = set(T._WORD.findall((text or "").lower()))
+        held = [f for f in model.index if (f[1:] in words if f[0] == "=" else any(w.startswith(f) and w != f for w in words))]
+        score = sum(model.weights[model.index[f]] for f in held)
+        up = [1 / (1 + math.exp(-(score - t))) if text else 0.0 for t in model.thresholds]
+        r = got[doc_id]
+        assert math.isclose(r["severity"], sum(up), abs_tol=1e-9) and math.isclose(r["p_toxic"], up[0], abs_tol=1e-9)
+        assert r["toxic"] == (r["p_toxic"] >= model.params.cutoff)
