@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,29 @@ def settled(df: DataFrame) -> DataFrame:
     return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else cut(df)
 
 
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a distinct number of each row that stays the same however the rows are dealt into tasks.
+
+    A row's place in its Parquet file is its own, whatever splits a job reads; splits follow the
+    executors alive when a job is planned, so ids made of task numbers would move between jobs.
+    A number is a hash of the file's path, of as few bits as tell all files apart, and that place.
+    A table that is not read straight from Parquet is written first.
+    """
+    df = settled(df)
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:  # another format
+        df = cut(df)
+    places = df.select("_metadata.file_path", "_metadata.row_index").groupBy("file_path").agg(F.max("row_index").alias("last"))
+    tag = lambda path, bits: F.pmod(F.xxhash64(path), F.lit(1 << bits))
+    widths = (0, 12, 20, 28, 36)
+    found = places.agg(F.count("*").alias("files"), F.coalesce(F.max("last"), F.lit(0)).alias("last"), *(F.count_distinct(tag("file_path", b)).alias(str(b)) for b in widths)).first()
+    for bits in widths:
+        if found[str(bits)] == found["files"] and found["last"] < 1 << (63 - bits):
+            return df.withColumn(name, F.shiftleft(tag("_metadata.file_path", bits), 63 - bits).bitwiseOR(F.col("_metadata.row_index")) if bits else F.col("_metadata.row_index"))
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as make it no column of ``df`` (in any case)."""
     taken = {c.lower() for c in df.columns}

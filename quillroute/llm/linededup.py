@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bits_of, cut, drop_caches, fresh_name, map_batches, pack_arrays, release_memory, run_starts, settled, ship_package, text_bytes, unpack_arrays
+from .common import Bits, bits_of, cut, drop_caches, fresh_name, map_batches, number_rows, pack_arrays, release_memory, run_starts, ship_package, text_bytes, unpack_arrays
 
 
 @dataclass(frozen=True)
@@ -678,7 +678,7 @@ def line_counts(table: DataFrame) -> DataFrame:
 def _number(docs: DataFrame) -> tuple[DataFrame, str]:
     """A number for each row, the same in every run over the same parts, and its column's name."""
     name = fresh_name(docs, "line_row")
-    return settled(docs).withColumn(name, F.monotonically_increasing_id()), name
+    return number_rows(docs, name), name
 
 
 def line_report(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:

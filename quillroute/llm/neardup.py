@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, connected_components, cut, drop_caches, fresh_name, map_batches, pack_arrays, release_memory, settled, ship_package, text_bytes, unpack_arrays, worker_cache
+from .common import bits_of, connected_components, cut, drop_caches, fresh_name, map_batches, number_rows, pack_arrays, release_memory, ship_package, text_bytes, unpack_arrays, worker_cache
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def signature(s: np.ndarray, p: NearDupParams) -> np.ndarray:
     return out
 
 
-def signatures(numbered: DataFrame, p: NearDupParams) -> DataFrame:
+def signatures(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """row, doc_id, n, h1, h2, signature of every row of (row, doc_id, text)."""
 
     def run(batch: pa.RecordBatch):
@@ -115,7 +115,7 @@ def signatures(numbered: DataFrame, p: NearDupParams) -> DataFrame:
             sig = [signature(s, p).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sig, pa.binary())], names=["row", "doc_id", "n", "h1", "h2", "signature"])
 
-    return map_batches(numbered.select("row", "doc_id", "text"), "row long, doc_id long, n long, h1 long, h2 long, signature binary", run, keep="neardup")
+    return map_batches(rows.select("row", "doc_id", "text"), "row long, doc_id long, n long, h1 long, h2 long, signature binary", run, keep="neardup")
 
 
 # -- candidates -----------------------------------------------------------------------
@@ -374,7 +374,7 @@ def links(sets: DataFrame, clusters: DataFrame, p: NearDupParams) -> DataFrame:
     return held.withColumn("g", group).groupBy("g").applyInPandas(run, "src long, dst long")
 
 
-def shingle_sets(numbered: DataFrame, wanted, p: NearDupParams) -> DataFrame:
+def shingle_sets(rows: DataFrame, wanted, p: NearDupParams) -> DataFrame:
     """row, words (packed shingle hashes) of the rows that ``wanted`` may hold."""
 
     def run(batch: pa.RecordBatch):
@@ -387,13 +387,13 @@ def shingle_sets(numbered: DataFrame, wanted, p: NearDupParams) -> DataFrame:
             part = some.slice(lo, 500)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(b, p).tobytes() for b in text_bytes(part.column(1))], pa.binary())], names=["row", "words"])
 
-    return map_batches(numbered.select("row", "text"), "row long, words binary", run, keep="neardup")
+    return map_batches(rows.select("row", "text"), "row long, words binary", run, keep="neardup")
 
 
 # -- whole ----------------------------------------------------------------------------
 
 
-def components(numbered: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
+def components(rows: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """row, doc_id, n_shingles, component_id, keep_row of every row of (row, doc_id, text).
 
     ``row`` is a distinct number for each row. Null and empty texts have no shingles and are
@@ -401,15 +401,15 @@ def components(numbered: DataFrame, p: NearDupParams = NearDupParams()) -> DataF
     least doc_id of the component (null if all are null); keep_row marks one row of each
     component, the one of the least (doc_id, row), null ids last.
     """
-    spark = numbered.sparkSession
+    spark = rows.sparkSession
     ship_package(spark)
-    sigs = cut(signatures(numbered, p))
+    sigs = cut(signatures(rows, p))
     reps = cut(sigs.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")))
     nodes = sigs.join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
     total = reps.count()
     clusters = cut(connected_components(cut(candidate_edges(nodes, total, p))))
     wanted = spark.sparkContext.broadcast(bits_of(clusters, ["node"]))
-    found = connected_components(cut(links(shingle_sets(numbered, wanted, p), clusters, p)))
+    found = connected_components(cut(links(shingle_sets(rows, wanted, p), clusters, p)))
     of_rep = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     ends = of_rep.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("best"))
     named = of_rep.join(ends, "component").select("h1", "h2", "component_id", F.col("best.row").alias("best"))
@@ -420,7 +420,7 @@ def components(numbered: DataFrame, p: NearDupParams = NearDupParams()) -> DataF
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     name = fresh_name(docs, "dup_row")
-    return settled(docs).withColumn(name, F.monotonically_increasing_id()), name
+    return number_rows(docs, name), name
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:

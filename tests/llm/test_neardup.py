@@ -125,3 +125,27 @@ def test_parts_of_a_large_region_overlap(spark):
         parent[find(e["src"])] = find(e["dst"])
     assert all(find(i) == find(j) for i in range(len(size)) for j in range(i) if 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j]))
     assert len(edges) < 4 * len(size)
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
+    """Jobs deal the rows by the executors alive when they are planned; the numbers stay."""
+    from quillroute.llm.common import number_rows
+
+    path = str(tmp_path / "docs")
+    spark.range(0, 4000, 1, 5).selectExpr("id as doc_id", "repeat(cast(id as string), 50) as text").write.option("parquet.block.size", 20_000).parquet(path)
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    seen = []
+    try:
+        for values in (("2", "128m", "4m"), ("16", "16k", "1k")):
+            for n, v in zip(names, values, strict=True):
+                spark.conf.set(n, v)
+            rows = number_rows(spark.read.parquet(path).select("doc_id", "text"), "row")
+            seen.append((rows.rdd.getNumPartitions(), {r["doc_id"]: r["row"] for r in rows.collect()}))
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    (few, a), (many, b) = seen
+    assert many > few and a == b and len(set(a.values())) == 4000
+    made = number_rows(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), "row")
+    assert len({r["row"] for r in made.collect()}) == 2
+    assert number_rows(spark.read.parquet(path).filter("doc_id < 0"), "row").collect() == []
