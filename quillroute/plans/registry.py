@@ -1137,4 +1137,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 # registers its queries here
-from . import evaluations  # noqa: E402, F401
+from . import evaluations, evidence  # noqa: E402, F401
