@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import text as X
-from ..operators import answering, asking, dense, diagnostics, fusion, graph, learning, lexical, metrics, routing
+from ..operators import answering, asking, dense, diagnostics, fusion, graph, learning, lexical, metrics, packed, routing
 from ..streaming.router import route_counts
 from .views import SQL, corpus, edges, questions, table, user_turns
 
@@ -360,7 +360,7 @@ hs AS (SELECT substr(a.key, 2)::BIGINT AS qid, substr(b.key, 2)::BIGINT AS doc_i
 
 @query(_with(SQL["questions"], SQL["corpus"], _SIMPLE_DOCS, _SIMPLE_QS, _HASH) + _top("hs", 3))
 def hash_embed_topk(spark, d):
-    return lexical.top_k(dense.hashed_scores(corpus(spark, d), questions(spark, d)), 3)
+    return packed.hashed_top_k(corpus(spark, d), questions(spark, d), 3)
 
 
 _CONCEPTS = ("concept", "bridge", "class", "code")
@@ -368,12 +368,8 @@ _CONCEPTS = ("concept", "bridge", "class", "code")
 
 @query(_with(SQL["questions"], SQL["corpus"], _SIMPLE_DOCS, _SIMPLE_QS, _HASH) + f", qc AS (SELECT qid, unnest(list_distinct(list_filter(tokens, lambda t: t IN ({', '.join(map(q, _CONCEPTS))}) OR length(t) > 9))) AS concept FROM qtok), dc AS (SELECT doc_id, unnest(list_distinct(list_filter(tokens, lambda t: t IN ({', '.join(map(q, _CONCEPTS))}) OR length(t) > 9))) AS concept FROM dtok), cb AS (SELECT qid, doc_id, count(*) AS n FROM qc JOIN dc USING (concept) GROUP BY ALL) ".lstrip() + _top("(SELECT qid, doc_id, round(score + 0.35 * coalesce(n, 0), 5) AS score FROM hs LEFT JOIN cb USING (qid, doc_id))", 3))
 def concept_boost_topk(spark, d):
-    def concepts(rows, key, text):
-        t = F.filter(F.array_distinct(X.simple_tokens(F.col(text))), lambda t: t.isin(*_CONCEPTS) | (F.length(t) > 9))
-        return rows.select(key, F.explode(t).alias("concept"))
-
-    c, qs = corpus(spark, d), questions(spark, d)
-    return lexical.top_k(dense.concept_boost(dense.hashed_scores(c, qs), concepts(qs, "qid", "question"), concepts(c, "doc_id", "text")), 3)
+    concepts = lambda text: F.filter(F.array_distinct(X.simple_tokens(text)), lambda t: t.isin(*_CONCEPTS) | (F.length(t) > 9))
+    return packed.concept_top_k(corpus(spark, d), questions(spark, d), concepts, 3)
 
 
 # -- graph ------------------------------------------------------------------------------
@@ -508,7 +504,7 @@ _W = "CASE backend WHEN 'dense' THEN 1.0 WHEN 'kg' THEN 1.2 ELSE 0.9 END"
 def _ranked(spark, d):
     c, qs = corpus(spark, d), questions(spark, d)
     b = lexical.top_k(lexical.bm25_scores(c, qs), 10).select("qid", F.lit("bm25").alias("backend"), F.col("doc_id").alias("item_id"), "rank")
-    h = lexical.top_k(dense.hashed_scores(c, qs), 10).select("qid", F.lit("dense").alias("backend"), F.col("doc_id").alias("item_id"), "rank")
+    h = packed.hashed_top_k(c, qs, 10).select("qid", F.lit("dense").alias("backend"), F.col("doc_id").alias("item_id"), "rank")
     return b.unionByName(h)
 
 
