@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extraction
+from ..operators import asking, dense, extraction, fusion, lexical, packed
+from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
-from .views import SQL, corpus, questions, table, user_turns
+from .views import SQL, corpus, edges, questions, table, user_turns
 
 # -- facts ------------------------------------------------------------------------------
 
@@ -95,3 +96,70 @@ def alias_mentions(spark, d):
 @query("WITH " + _RUNS + " SELECT qid, (f).place::INTEGER AS place, -(f).w::INTEGER AS width, entity FROM (SELECT qid, entity, min({'place': place, 'w': -width}) AS f FROM hits GROUP BY ALL)")
 def alias_mentions_overlapping(spark, d):
     return extraction.alias_mentions(*_asked_names(spark, d), overlapping=True)
+
+
+# -- three backends fused ---------------------------------------------------------------
+
+#: Every benchmark text behind a question to the graph.
+_FORMS = ("Is c{} a n3?", "What path connects c{} and r1?", "What property has p{}?", "Do all customers of n{} have segment building?", "Tell about the link between c{} and n3")
+
+
+def _fusion_questions(spark, d):
+    n, text = F.col("item_id") % 25, None
+    for i, form in enumerate(_FORMS):
+        before, after = form.split("{}")
+        one = F.concat(F.lit(before), n.cast("string"), F.lit(after + " "), F.col("text"))
+        text = F.when(F.col("item_id") % len(_FORMS) == i, one) if text is None else text.when(F.col("item_id") % len(_FORMS) == i, one)
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), text.alias("question"))
+
+
+def _fusion_ranks(spark, d, most=15):
+    c, asked = corpus(spark, d), _fusion_questions(spark, d)
+    lexical_ = lexical.top_k(lexical.bm25_scores(c, asked), most).select("qid", F.lit("bm25").alias("backend"), "doc_id", "rank")
+    words = lexical_.join(c.select("doc_id", "text"), "doc_id").select("qid", "backend", F.col("doc_id").cast("string").alias("item_id"), "rank", F.col("text").alias("content"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
+    found = packed.packed_top_k(packed.dense_index(c), packed.encode(asked, "qid", X.simple_tokens(F.col("question"))), most, "chunk_id")
+    near = found.join(dense.chunks(c), "chunk_id").select("qid", F.lit("dense").alias("backend"), F.col("chunk_id").alias("item_id"), "rank", F.col("chunk").alias("content"), F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
+    facts = asking.graph_retrieve(asked, edges(spark, d), most, R._WORDS)
+    parts = F.flatten(F.transform(F.split("content", " ; "), lambda f: F.split(f, " ")))
+    terms = F.array_distinct(F.concat(F.array(F.get(parts, 0), F.element_at(parts, -1)), F.transform(F.split("content", " ; "), lambda f: F.split(f, " ")[1])))
+    graph_ = facts.select("qid", F.lit("kg").alias("backend"), "item_id", "rank", "content", F.when(F.startswith("item_id", F.lit("path:")), "path").otherwise("triple").alias("kind"), F.lit(None).cast("string").alias("parent"), terms.alias("terms"))
+    text = words.unionByName(near).withColumn("terms", F.lit(None).cast("array<string>"))
+    return written(graph_.unionByName(text)), asked
+
+
+_ASKED = "SELECT item_id AS qid, CASE item_id % 5 " + " ".join(f"WHEN {i} THEN {q(f.split('{}')[0])} || item_id % 25 || {q(f.split('{}')[1] + ' ')} || text" for i, f in enumerate(_FORMS)) + " END AS question FROM benchmark"
+_CHUNKS = """chw AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+ ch AS (SELECT doc_id::VARCHAR AS parent, doc_id || '::chunk_' || ordinal AS chunk_id, array_to_string(w[ordinal * 60 + 1 : ordinal * 60 + 80], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, greatest(1, ceil((len(w) - 20) / 60.0)::BIGINT))) AS ordinal FROM chw)),
+ ctok AS (SELECT chunk_id AS doc_id, regexp_extract_all(lower(chunk), '[a-z0-9]+') AS tokens FROM ch), cqt AS (SELECT qid, regexp_extract_all(lower(question), '[a-z0-9]+') AS tokens FROM gq)"""
+_CHASH = R._HASH.replace("dtok", "ctok").replace("qtok", "cqt").replace("substr(b.key, 2)::BIGINT AS doc_id", "substr(b.key, 2) AS doc_id")
+_FUSION = (
+    R._with(SQL["edges"], R._branch_sql(_ASKED, 15))[:-1]
+    + ", questions AS (SELECT * FROM gq), " + ", ".join((SQL["corpus"], R._LEX_DOCS, R._LEX_QS, R._TF, R._BM25, _CHUNKS, _CHASH))
+    + ", ranked AS (SELECT qid, 'bm25' AS backend, b.doc_id::VARCHAR AS item_id, rank, text AS content, 'document' AS kind, b.doc_id::VARCHAR AS parent, []::VARCHAR[] AS terms FROM (" + R._top("bm", 15) + ") b JOIN documents d ON d.doc_id = b.doc_id"
+    " UNION ALL SELECT qid, 'dense', chunk_id, rank, chunk, 'chunk', parent, [] FROM (" + R._top("hs", 15) + ") h JOIN ch ON ch.chunk_id = h.doc_id"
+    " UNION ALL SELECT qid, 'kg', item_id, rank, content, CASE WHEN starts_with(item_id, 'path:') THEN 'path' ELSE 'triple' END, NULL, list_concat([string_split(content, ' ')[1], string_split(content, ' ')[-1]], list_transform(string_split(content, ' ; '), lambda f: string_split(f, ' ')[2])) FROM got),"
+    " variants AS (SELECT * FROM ranked, (VALUES ('none'), ('dense'), ('kg'), ('bm25')) v(variant) WHERE variant <> backend),"
+    " comp AS (SELECT *, CASE backend WHEN 'dense' THEN 0 WHEN 'kg' THEN 1 ELSE 2 END AS place, CASE backend WHEN 'dense' THEN 1.0 WHEN 'kg' THEN 1.2 ELSE 0.9 END::DOUBLE AS w, CASE WHEN backend = 'kg' THEN 'kg:' || item_id ELSE 'text:' || coalesce(parent, item_id) END AS key FROM variants),"
+    " lastrank AS (SELECT variant, qid, key, string_agg(backend || ':' || r, ',' ORDER BY backend) AS ranks, string_agg(backend, ',' ORDER BY backend) AS backends FROM (SELECT variant, qid, key, backend, max(rank) AS r FROM comp GROUP BY ALL) GROUP BY ALL),"
+    " fz AS (SELECT variant, qid, key, round(sum(w / (60 + rank)), 8) AS score, string_agg(item_id, ',' ORDER BY place, rank) AS component_ids, min(parent) AS parent, string_agg('[' || backend || ':' || item_id || '] ' || content, chr(10) ORDER BY place, rank) AS content, first(kind ORDER BY place, rank) AS kind FROM comp GROUP BY ALL),"
+    " asks AS (SELECT qid FROM gq WHERE " + R._any("lower(question)", fusion.ASKS_BUNDLES) + "),"
+    " tx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY backend = 'dense', rank) AS pos FROM comp WHERE backend <> 'kg' AND qid IN (FROM asks)) WHERE pos <= 6),"
+    " bz AS (SELECT g.variant, g.qid, 'hybrid:bundle:' || g.item_id || '+' || t.item_id AS item_id, round(1.2::DOUBLE / (60 + g.rank) + t.w / (60 + t.pos) + 0.05::DOUBLE, 8) AS score, list_aggregate(list_sort(['kg', t.backend]), 'string_agg', ',') AS backends, g.item_id || ',' || t.item_id AS component_ids,"
+    " list_aggregate(list_sort(['kg:' || g.rank, t.backend || ':' || t.pos]), 'string_agg', ',') AS ranks, t.parent AS parent, '[kg:' || g.item_id || '] ' || g.content || chr(10) || '[' || t.backend || ':' || t.item_id || '] ' || t.content AS content, 'hybrid_relational' AS evidence_type"
+    " FROM comp g JOIN tx t ON g.variant = t.variant AND g.qid = t.qid WHERE g.backend = 'kg' AND g.rank <= 3 AND len(list_filter(g.terms, lambda x: x <> '' AND contains(lower(t.content), lower(replace(x, '_', ' '))))) > 0),"
+    " pool AS (SELECT variant, qid, 'hybrid:' || key AS item_id, score, backends, component_ids, ranks, parent, content, CASE kind WHEN 'path' THEN 'kg_path' WHEN 'triple' THEN 'kg_triple' WHEN 'chunk' THEN 'text_chunk' ELSE 'text_document' END AS evidence_type FROM fz JOIN lastrank USING (variant, qid, key) UNION ALL SELECT * FROM bz),"
+    " top AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, item_id DESC) AS rank FROM pool)"
+)
+
+
+@query(_FUSION + " SELECT * EXCLUDE (variant) FROM top WHERE variant = 'none' AND rank <= 5")
+def hybrid_topk(spark, d):
+    return fusion.fused_evidence(*_fusion_ranks(spark, d), 5)
+
+
+@query(_FUSION + " SELECT variant, qid, item_id, score, rank, backends, ranks FROM top WHERE rank <= 3")
+def hybrid_ablations(spark, d):
+    ranked, asked = _fusion_ranks(spark, d)
+    variant = F.explode(F.array(*map(F.lit, ("none", *fusion.ORDER))))
+    each = ranked.withColumn("variant", variant).filter("variant <> backend")
+    return fusion.fused_evidence(each, asked, 3, ("variant", "qid")).select("variant", "qid", "item_id", "score", "rank", "backends", "ranks")

@@ -964,8 +964,8 @@ def _branch_questions(spark, d):
     return n.select("qid", text.alias("question"))
 
 
-def _branch_sql() -> str:
-    """The dispatch and its look-ups as SQL."""
+def _branch_sql(asked: str | None = None, k: int = 3) -> str:
+    """The dispatch and its look-ups as SQL, for the questions of the branches or for ``asked``."""
     cases = []
     for m, forms in _ASKS.items():
         for i, form in enumerate(forms):
@@ -977,7 +977,7 @@ def _branch_sql() -> str:
     other = " ".join(f"WHEN {{}} = {q(p)} AND contains(low, {q(w)}) THEN {q(o)}" for p, (w, o) in _WORDS.other_objects.items())
     late = f"CASE WHEN (starts_with(low, 'can ') OR contains(low, ' able to ')) AND about IS NOT NULL AND able_target IS NOT NULL THEN 'existential' WHEN starts_with(low, {q(_WORDS.inverse[0])}) AND n >= 1 THEN 'inverse' WHEN predicate IS NOT NULL AND n >= 1 THEN 'relation' ELSE 'lexical' END"
     return (
-        f"""gq AS (SELECT n_nationkey AS qid, CASE {" ".join(cases)} END AS question FROM nation),
+        f"""gq AS ({asked or f'SELECT n_nationkey AS qid, CASE {" ".join(cases)} END AS question FROM nation'}),
  nm AS (SELECT DISTINCT name FROM (SELECT subject AS name FROM edges UNION ALL SELECT object FROM edges)),
  tk AS (SELECT qid, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM (SELECT qid, regexp_extract_all(lower(question), '[a-z0-9]+') AS t FROM gq)),
  mt AS (SELECT qid, list(name ORDER BY place, name) AS es FROM (SELECT qid, name, min(place) AS place FROM tk JOIN nm ON lower(name) = token GROUP BY ALL) GROUP BY qid),
@@ -1004,7 +1004,7 @@ def _branch_sql() -> str:
  qt AS (SELECT qid, unnest(t) AS token, len(t) AS n FROM (SELECT qid, list_distinct(regexp_extract_all(low, '[a-z0-9]+')) AS t FROM u WHERE qid NOT IN (SELECT qid FROM hit))),
  ft AS (SELECT triple_id, content, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS token FROM fact),
  allhit AS (SELECT * FROM hit UNION ALL SELECT qid, 'fallback', triple_id, content, round(count(*) / n, 6) FROM qt JOIN ft USING (token) GROUP BY qid, triple_id, content, n),
- got AS (SELECT qid, branch, mode, item_id, content, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id DESC) AS rank FROM allhit) JOIN u USING (qid) WHERE rank <= 3)"""
+ got AS (SELECT qid, branch, mode, item_id, content, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id DESC) AS rank FROM allhit) JOIN u USING (qid) WHERE rank <= {k})"""
     )
 
 
@@ -1116,12 +1116,6 @@ def coerced_annotations(spark, d):
     return e.select("event_id", S.choice(raw).alias("choice"), S.rating((F.col("event_id") % 5).cast("string")).alias("score"))
 
 
-@query(None)
-def hybrid_topk(spark, d):
-    relational = routing.with_features(questions(spark, d)).filter("relational")
-    return fusion.hybrid_retrieve(_ranked(spark, d), relational_bundles(spark, d), relational, 5)
-
-
 @query(None)
 def stream_route_counts(spark, d):
     return route_counts(table(spark, d, "events"))
