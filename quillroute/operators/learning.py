@@ -90,3 +90,55 @@ def top_weights(weights: DataFrame, n: int = 10) -> DataFrame:
     """The n largest weights of each label by magnitude."""
     w = Window.partitionBy("label").orderBy(F.desc(F.abs("weight")), "feature")
     return weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+# -- the evidence model: one binary model over the candidates of questions ---------------
+
+
+def evidence_model(pairs: DataFrame, names: tuple[str, ...], c: float = 0.7) -> tuple[dict[str, float], float]:
+    """Weights and intercept of a balanced logistic model of label (0, 1) over named columns of candidate rows.
+
+    The optimum of sum(weight * loss) / n + |beta|^2 / (2 c n), with the same total weight for
+    both labels and a free intercept; it is unique, so it does not depend on the solver.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    d = with_class_weights(pairs.select(*names, "label"), "label")
+    n = max(1, d.count())
+    x = VectorAssembler(inputCols=list(names), outputCol="_x").transform(d).select("_x", "label", "weight")
+    m = LogisticRegression(labelCol="label", featuresCol="_x", weightCol="weight", family="binomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=1000, tol=1e-11).fit(x)
+    return dict(zip(names, map(float, m.coefficients), strict=True)), float(m.intercept)
+
+
+def model_gradient(pairs: DataFrame, weights: dict[str, float], intercept: float, c: float = 0.7) -> DataFrame:
+    """feature, gradient of evidence_model()'s objective at given weights: zero everywhere at the optimum. One pass."""
+    d = with_class_weights(pairs.select(*weights, "label"), "label")
+    z = F.lit(intercept)
+    for name, w in weights.items():
+        z = z + F.col(name) * w
+    off = F.col("weight") * (1 / (1 + F.exp(-z)) - F.col("label"))
+    sums = d.withColumn("_off", off).agg(F.count("*").alias("_n"), F.avg("_off").alias("intercept"), *(F.avg(F.col("_off") * F.col(f)).alias(f) for f in weights))
+    each = [F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("gradient"))]
+    each += [F.struct(F.lit(f).alias("feature"), (F.col(f) + w / (c * F.col("_n"))).alias("gradient")) for f, w in weights.items()]
+    return sums.select(F.explode(F.array(*each)).alias("x")).select("x.feature", "x.gradient")
+
+
+def group_folds(rows: DataFrame, group: str, k: int, seed: int) -> DataFrame:
+    """Adds fold by a hash of the group, so that all rows of a group share one; no row is moved."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(k)).cast("int"))
+
+
+def evidence_routes_out_of_fold(pairs: DataFrame, names: tuple[str, ...], k: int = 4, seed: int = 71, c: float = 0.7) -> DataFrame:
+    """qid, fold and the columns of evidence_routes(): each question's candidates scored by a model that saw none of them.
+
+    ``pairs`` are four candidate rows a question (evidence_training_pairs()), given written.
+    """
+    from .diagnostics import evidence_routes
+
+    d = group_folds(pairs, "qid", k, seed)
+    out = None
+    for i in range(k):
+        weights, intercept = evidence_model(d.filter(F.col("fold") != i), names, c)
+        part = evidence_routes(d.filter(F.col("fold") == i), weights, intercept).withColumn("fold", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asking, dense, extraction, fusion, lexical, packed
+from ..operators import asking, dense, diagnostics, extraction, fusion, learning, lexical, packed, routing
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -163,3 +163,42 @@ def hybrid_ablations(spark, d):
     variant = F.explode(F.array(*map(F.lit, ("none", *fusion.ORDER))))
     each = ranked.withColumn("variant", variant).filter("variant <> backend")
     return fusion.fused_evidence(each, asked, 3, ("variant", "qid")).select("variant", "qid", "item_id", "score", "rank", "backends", "ranks")
+
+
+# -- the fitted evidence router ----------------------------------------------------------
+
+
+def _training_pairs(spark, d):
+    """Four candidates of each question with their features and label, written, and the features' names."""
+    routed = routing.keyword_routes(routing.penalty_routes(questions(spark, d)))
+    joint = diagnostics.joint_features(diagnostics.route_features(routed), diagnostics.candidate_features(routed, R._candidate_evidence(spark, d)))
+    pairs = written(diagnostics.evidence_training_pairs(joint, questions(spark, d).select("qid", "gold")))
+    return pairs, tuple(c for c in pairs.columns if c.startswith(("route__", "evidence__")))
+
+
+_ROUTE_NAMES = ("bias", "query_length_log", "token_count_log", "identifier_heavy", "lexical_exactness", "semantic_abstraction", "deductive_cue", "relational_bridge", "multi_hop_cue", "negation_or_contrast", "route_ambiguity", "low_margin", "public_document_noise")
+_ROUTE_NAMES += tuple(f"{kind}_route_{b}" for kind in ("computed", "keyword") for b in routing.BACKENDS)
+_MODEL_NAMES = (
+    f"SELECT unnest([{', '.join(q('route__' + n) for n in _ROUTE_NAMES)}]) AS feature UNION ALL SELECT 'evidence__' || k FROM (SELECT unnest(json_keys(to_json(cf))) AS k FROM cf WHERE qid = (SELECT min(qid) FROM cf) AND backend = 'bm25') WHERE k NOT IN ('qid', 'backend') UNION ALL SELECT 'intercept'"
+)
+
+
+@query(R._CANDIDATES + "SELECT feature, true AS at_optimum FROM (" + _MODEL_NAMES + ")")
+def evidence_model_optimum(spark, d):
+    pairs, names = _training_pairs(spark, d)
+    return learning.model_gradient(pairs, *learning.evidence_model(pairs, names)).select("feature", (F.abs("gradient") < 1e-6).alias("at_optimum"))
+
+
+@query()
+def evidence_router_fitted(spark, d):
+    return learning.evidence_routes_out_of_fold(*_training_pairs(spark, d))
+
+
+# measured on the given tables at every size: a question's own route is found out of fold in most cases
+@query("SELECT count(*) * 4 AS candidates, count(*) AS questions, true AS one_each, true AS better_than_fixed FROM benchmark")
+def evidence_router_accuracy(spark, d):
+    pairs, names = _training_pairs(spark, d)
+    routes = written(learning.evidence_routes_out_of_fold(pairs, names).join(questions(spark, d).select("qid", "gold"), "qid"))
+    hit = F.avg(F.when(F.col("selected"), (F.col("backend") == F.col("gold")).cast("double")))
+    fixed = F.greatest(*(F.avg((F.col("gold") == b).cast("double")) for b in routing.BACKENDS))
+    return routes.agg(F.count("*").alias("candidates"), F.count_distinct("qid").alias("questions"), (F.sum(F.col("selected").cast("int")) == F.count_distinct("qid")).alias("one_each"), (hit > fixed).alias("better_than_fixed"))
