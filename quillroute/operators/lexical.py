@@ -25,6 +25,15 @@ def term_frequencies(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+#: Question tokens up to this number are sent to the postings, so that no common word is one task.
+SENT = 200_000
+
+
+def beside(small: DataFrame, most: int = SENT) -> DataFrame:
+    """``small``, as a broadcast if it has no more than ``most`` rows: they are counted."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, score for every pair that shares a token.
 
@@ -35,14 +44,16 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = K1, b: floa
     docs = tokenized(corpus, lexical_tokens(F.concat_ws(" ", "title", "text")))
     q = term_frequencies(questions.select("qid", lexical_tokens(F.col("question")).alias("tokens")), "qid").withColumnRenamed("tf", "qtf")
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = q.select("token").distinct()
+    # the vocabulary of the questions, its document counts and the questions' own tokens are small beside the postings
+    asked = beside(q)
+    sent = (lambda d: F.broadcast(d)) if asked is not q else (lambda d: d)
+    vocabulary = sent(q.select("token").distinct())
     post = docs.select("doc_id", "dl", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    # one row of statistics: the only thing that is broadcast
+    df = sent(post.groupBy("token").agg(F.count("*").alias("df")))
     weighted = post.join(df, "token").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighted.select("token", "doc_id", part.alias("part")).join(q, "token")
+    scored = weighted.select("token", "doc_id", part.alias("part")).join(asked, "token")
     return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 4).alias("score"))
 
 
@@ -52,10 +63,12 @@ def shared_tokens(corpus: DataFrame, questions: DataFrame, doc_tokens: Column, q
     q0 = questions.select("qid", query_tokens.alias("tokens"))
     q = term_frequencies(q0, "qid").withColumnRenamed("tf", "qtf")
     sizes = q0.select("qid", F.size("tokens").alias("q_len"), F.size(F.array_distinct("tokens")).alias("q_distinct"))
-    post = d0.select("doc_id", "d_distinct", F.explode("tokens").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
+    asked = beside(q)
+    vocabulary = q.select("token").distinct()
+    post = d0.select("doc_id", "d_distinct", F.explode("tokens").alias("token")).join(F.broadcast(vocabulary) if asked is not q else vocabulary, "token", "left_semi")
     tf = post.groupBy("doc_id", "d_distinct", "token").agg(F.count("*").alias("tf"))
     is_id = F.size(identifier_tokens(F.array("token")))
-    both = tf.withColumn("is_id", is_id).join(q, "token").groupBy("qid", "doc_id", "d_distinct").agg(F.sum(F.least("tf", "qtf")).alias("common"), F.count("*").alias("shared"), F.sum("is_id").alias("ids"))
+    both = tf.withColumn("is_id", is_id).join(asked, "token").groupBy("qid", "doc_id", "d_distinct").agg(F.sum(F.least("tf", "qtf")).alias("common"), F.count("*").alias("shared"), F.sum("is_id").alias("ids"))
     return both.join(sizes, "qid")
 
 

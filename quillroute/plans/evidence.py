@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asking, dense, diagnostics, extraction, fusion, learning, lexical, packed, routing
+from ..operators import asking, dense, diagnostics, extraction, fusion, learning, lexical, packed, pruned, routing
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -202,3 +202,12 @@ def evidence_router_accuracy(spark, d):
     hit = F.avg(F.when(F.col("selected"), (F.col("backend") == F.col("gold")).cast("double")))
     fixed = F.greatest(*(F.avg((F.col("gold") == b).cast("double")) for b in routing.BACKENDS))
     return routes.agg(F.count("*").alias("candidates"), F.count_distinct("qid").alias("questions"), (F.sum(F.col("selected").cast("int")) == F.count_distinct("qid")).alias("one_each"), (hit > fixed).alias("better_than_fixed"))
+
+
+# -- lexical retrieval from a stored index ------------------------------------------------
+
+
+@query(R.ORACLES["bm25_topk"])
+def bm25_pruned_topk(spark, d):
+    index = {name: written(t) for name, t in pruned.lexical_index(corpus(spark, d)).items()}
+    return pruned.pruned_top_k(index, questions(spark, d), 3)
