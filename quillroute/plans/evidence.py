@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asking, dense, diagnostics, extraction, fusion, learning, lexical, packed, pruned, routing
+from ..operators import asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, packed, pruned, routing
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -211,3 +212,100 @@ def evidence_router_accuracy(spark, d):
 def bm25_pruned_topk(spark, d):
     index = {name: written(t) for name, t in pruned.lexical_index(corpus(spark, d)).items()}
     return pruned.pruned_top_k(index, questions(spark, d), 3)
+
+
+# -- one evaluation of five schemas -------------------------------------------------------
+
+def _sources(spark, d):
+    """The benchmark in five schemas, by the number of its items; gold ids are the documents that hold a whole item."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    b = table(spark, d, "benchmark").filter("text is not null")
+    whole = b.select("item_id", F.split("text", "\n").alias("t"))
+    first = whole.select("item_id", F.get("t", 0).alias("line")).filter("line <> ''")
+    held = first.join(docs, "line").groupBy("item_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("holders"))
+    qs = questions(spark, d).select(F.col("qid").alias("item_id"), "question", "gold")
+    r = b.join(qs, "item_id").join(held, "item_id", "left").withColumns({"id": F.col("item_id").cast("string"), "split": F.when(F.col("item_id") % 2 == 0, "dev").otherwise("test"), "query": F.col("question")})
+    holders = F.coalesce("holders", F.array().cast("array<string>"))
+    of = lambda i: r.filter(F.col("item_id") % 5 == i)
+    none = F.array().cast("array<string>")
+    return {
+        "curated": of(0).select("item_id", F.lit("s").alias("slice"), "id", "query", F.col("gold").alias("gold_route"), F.col("text").alias("gold_answer"), holders.alias("gold_evidence_ids")),
+        "adversarial": of(1).select("id", "query", "split", F.col("gold").alias("intended_route_family"), F.substring("text", 1, 40).alias("gold_answer"), holders.alias("gold_source_doc_ids"), none.alias("gold_triple_ids"), F.col("text").alias("gold_evidence_text"), F.array(F.concat(F.lit("mod"), (F.col("item_id") % 3).cast("string")), F.lit("hard")).alias("ambiguity_tags")),
+        "external": of(2).select("id", "query", F.col("gold").alias("route_family"), F.col("text").alias("gold_answer"), F.lit("").alias("gold_evidence_text")),
+        "generalization": of(3).select("id", "query", "split", F.col("gold").alias("route_family"), F.substring("text", 1, 40).alias("gold_answer"), F.col("text").alias("gold_evidence_text"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("").alias("tag")),
+        "public": of(4).select("id", "query", "split", F.col("gold").alias("route_family"), F.substring("text", 1, 40).alias("gold_answer"), none.alias("gold_source_doc_ids"), F.col("text").alias("gold_evidence_text")),
+    }
+
+
+_ITEMS = (
+    "held AS (SELECT item_id, list_sort(list(DISTINCT doc_id::VARCHAR)) AS holders FROM (SELECT item_id, string_split(text, chr(10))[1] AS line FROM benchmark WHERE text IS NOT NULL) JOIN (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents) USING (line) WHERE line <> '' GROUP BY item_id),"
+    " items AS (SELECT ['curated', 'adversarial', 'external', 'generalization', 'public'][item_id % 5 + 1] AS dataset, CASE WHEN item_id % 5 = 0 THEN 'curated_s_' ELSE '' END || item_id AS qid, question, CASE WHEN item_id % 5 IN (0, 2) THEN 'all' WHEN item_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, gold AS family,"
+    " CASE WHEN item_id % 5 IN (0, 2) THEN text ELSE text[1:40] END AS gold_answer, CASE WHEN item_id % 5 IN (0, 1) THEN coalesce(holders, []) WHEN item_id % 5 = 4 THEN [] END AS gold_ids, CASE item_id % 5 WHEN 0 THEN NULL WHEN 2 THEN '' ELSE text END AS gold_text,"
+    " CASE WHEN item_id % 5 = 1 THEN ['mod' || item_id % 3, 'hard'] WHEN item_id % 5 = 3 AND item_id % 2 = 0 THEN ['even'] END AS tags, item_id FROM benchmark JOIN questions ON qid = item_id LEFT JOIN held USING (item_id) WHERE text IS NOT NULL)"
+)
+
+
+@query(R._with(SQL["questions"], _ITEMS) + "SELECT * EXCLUDE (item_id) FROM items")
+def eval_items(spark, d):
+    return evaluation.eval_items(_sources(spark, d))
+
+
+def _record_evidence(spark, d):
+    """Five items of each text backend and of both fused, with their places after re-ranking, written."""
+    ranked = written(R._ranked(spark, d)).withColumn("item_id", F.col("item_id").cast("long"))
+    fused = lexical.top_k(fusion.rrf_fuse(ranked), 5, item="item_id").select("qid", F.lit("hybrid").alias("backend"), "item_id", "rank")
+    rows = ranked.filter("rank <= 5").select("qid", "backend", "item_id", "rank").unionByName(fused)
+    rows = rows.join(corpus(spark, d).select(F.col("doc_id").alias("item_id"), F.col("text").alias("content")), "item_id")
+    # as a re-ranking: the item with the longest text first, where it is not first yet
+    longest = Window.partitionBy("qid", "backend").orderBy(F.desc(F.length("content")), "rank")
+    again = rows.withColumn("final_rank", F.row_number().over(longest))
+    moved = F.max((F.col("rank") != 1) & (F.col("final_rank") == 1)).over(Window.partitionBy("qid", "backend"))
+    ids = F.array(F.col("item_id").cast("string"), F.concat_ws("::", F.lit("doc"), F.col("item_id").cast("string")))
+    return written(again.select("qid", "backend", "rank", "final_rank", moved.alias("applied"), F.col("item_id").cast("string").alias("item_id"), ids.alias("ids"), "content"))
+
+
+def _judged(spark, d):
+    names = F.when(F.col("qid") % 5 == 0, F.concat(F.lit("curated_s_"), F.col("qid").cast("string"))).otherwise(F.col("qid").cast("string"))
+    r = routing.calibrated_routes(routing.penalty_routes(questions(spark, d)))
+    s = lambda name, route, override, rescue: F.struct(F.lit(name).alias("system"), route.alias("route"), override.alias("override"), F.lit(rescue).alias("rescue"))
+    changed = F.col("calibrated_route") != F.col("route")
+    systems = [s("computed", F.col("route"), F.lit(False), False), s("calibrated", F.col("calibrated_route"), changed, False), s("calibrated_rescue", F.col("calibrated_route"), changed, True), s("always_bm25", F.lit("bm25"), F.lit(False), False)]
+    routes = r.select(names.alias("qid"), F.explode(F.array(*systems)).alias("s")).select("qid", "s.*")
+    return evaluation.judged_records(evaluation.eval_items(_sources(spark, d)), routes, _record_evidence(spark, d).withColumn("qid", names))
+
+
+_SHARE_TOKENS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9._§:/-]+'))"
+_GOLD_TOKENS = "list_filter(" + _SHARE_TOKENS.format("CASE WHEN coalesce(gold_text, '') <> '' THEN gold_text ELSE gold_answer END") + ", lambda t: t NOT IN (" + ", ".join(map(q, evaluation.STOP)) + "))"
+
+
+def _hit_sql(n: str) -> str:
+    ids = f"list_distinct(flatten(list_transform({n}, lambda x: [x.item_id, 'doc::' || x.item_id])))"
+    text = _SHARE_TOKENS.format(f"array_to_string(list_concat(list_transform({n}, lambda x: x.content), list_sort({ids})), ' ')")
+    return f"CASE WHEN coalesce(len(gold_ids), 0) > 0 THEN list_has_any(gold_ids, {ids}) WHEN len({_GOLD_TOKENS}) = 0 THEN 0 >= least_share ELSE len(list_intersect({_GOLD_TOKENS}, {text})) / len({_GOLD_TOKENS}) >= least_share END"
+
+
+_JUDGED = (
+    R._RANKED + ", " + ", ".join((R._BENCH, R._FEATURES, R._PENALTY, R._CALIBRATED, _ITEMS))
+    + f", fz AS (SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id DESC) AS rank FROM (SELECT qid, item_id, round(sum({R._W} / (60 + rank)), 8) AS score FROM ranks GROUP BY ALL)),"
+    " rows_ AS (SELECT qid, backend, item_id, rank FROM ranks WHERE rank <= 5 UNION ALL SELECT qid, 'hybrid', item_id, rank FROM fz WHERE rank <= 5),"
+    " again AS (SELECT r.*, text AS content, row_number() OVER (PARTITION BY qid, backend ORDER BY length(text) DESC, rank) AS final_rank FROM rows_ r JOIN documents ON doc_id = r.item_id),"
+    " found AS (SELECT qid, backend, list({'item_id': item_id::VARCHAR, 'content': content, 'final_rank': final_rank} ORDER BY rank) AS found, bool_or(rank <> 1 AND final_rank = 1) AS applied FROM again GROUP BY ALL),"
+    " sys AS (SELECT qid, 'computed' AS system, route, false AS override, false AS rescue FROM cal UNION ALL SELECT qid, 'calibrated', calibrated_route, calibrated_route <> route, false FROM cal UNION ALL SELECT qid, 'calibrated_rescue', calibrated_route, calibrated_route <> route, true FROM cal UNION ALL SELECT qid, 'always_bm25', 'bm25', false, false FROM cal),"
+    " j0 AS (SELECT items.*, system, route, override, rescue, coalesce(applied, false) AS applied, list_slice(coalesce(found, []), 1, CASE route WHEN 'hybrid' THEN 5 ELSE 3 END) AS f0, CASE dataset WHEN 'adversarial' THEN 0.45 WHEN 'public' THEN 0.5 ELSE 0.35 END::DOUBLE AS least_share FROM items JOIN sys ON sys.qid = items.item_id LEFT JOIN found ON found.qid = sys.qid AND backend = route),"
+    " j1 AS (SELECT *, CASE WHEN rescue THEN list_transform(list_sort(list_transform(f0, lambda x: {'r': x.final_rank, 'x': x})), lambda s: s.x) ELSE f0 END AS its FROM j0),"
+    f" j2 AS (SELECT *, {R._NORM.format("coalesce(its[1].content, 'insufficient evidence')")} AS a, {R._NORM.format('gold_answer')} AS g FROM j1),"
+    f" judged AS (SELECT dataset, qid, split, family, tags, system, route, len(its) AS retrieved, route = family AS route_ok, {_hit_sql('its')} AS evidence_ok, {_hit_sql('its[1:1]')} AS top1_ok, coalesce(g <> '' AND (contains(a, g) OR (len({R._GOLDTOK}) > 0 AND len(list_filter({R._GOLDTOK}, lambda t: contains(a, t))) >= 0.5 * len({R._GOLDTOK}))), false) AS answer_ok, override, rescue AND applied AS rescued FROM j2)"
+)
+
+
+@query(_JUDGED + " SELECT * FROM judged")
+def judged_records(spark, d):
+    return _judged(spark, d)
+
+
+@query(
+    _JUDGED + """, each AS (SELECT *, unnest(list_concat([{'scope': 'all', 'value': 'all'}, {'scope': 'family', 'value': family}], list_transform(coalesce(tags, []), lambda t: {'scope': 'tag', 'value': t}))) AS s FROM judged)
+ SELECT system, dataset, s.scope AS scope, s.value AS value, count(*) AS n, round(avg(route_ok::INTEGER), 6) AS route_accuracy, round(avg(evidence_ok::INTEGER), 6) AS evidence_accuracy, round(avg(top1_ok::INTEGER), 6) AS top1_accuracy, round(avg(answer_ok::INTEGER), 6) AS answer_accuracy, count_if(override) AS overrides, count_if(rescued) AS rescues FROM each GROUP BY ALL"""
+)
+def evaluate_records(spark, d):
+    return evaluation.evaluate_records(_judged(spark, d))
