@@ -102,3 +102,16 @@ def evaluate_records(judged: DataFrame) -> DataFrame:
     each = F.explode(F.concat(F.array(scope("all", F.lit("all")), scope("family", F.col("family"))), F.filter(tags, lambda t: t["value"] != "")))
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
     return judged.withColumn("s", each).groupBy("system", "dataset", "s.scope", "s.value").agg(F.count("*").alias("n"), rate("route_ok").alias("route_accuracy"), rate("evidence_ok").alias("evidence_accuracy"), rate("top1_ok").alias("top1_accuracy"), rate("answer_ok").alias("answer_accuracy"), F.count_if("override").alias("overrides"), F.count_if("rescued").alias("rescues"))
+
+
+def variants_by_split(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """variant, split, n, top1, hit_rate: how often a variant's first and any of its rows (variant, qid, doc_id, rank) is gold.
+
+    ``gold`` has qid, split and doc_id, a row for each right document; a question with several counts once.
+    """
+    questions = gold.select("qid", "split").distinct()
+    asked = questions.crossJoin(F.broadcast(ranked.select("variant").distinct()))  # a few variants
+    hits = ranked.join(gold.select("qid", "doc_id").distinct(), ["qid", "doc_id"]).groupBy("variant", "qid").agg(F.min("rank").alias("first"))
+    d = asked.join(hits, ["variant", "qid"], "left")
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    return d.groupBy("variant", "split").agg(F.count("*").alias("n"), rate(F.col("first") == 1).alias("top1"), rate(F.col("first").isNotNull()).alias("hit_rate"))

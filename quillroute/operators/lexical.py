@@ -35,7 +35,12 @@ def beside(small: DataFrame, most: int = SENT) -> DataFrame:
 
 
 def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, doc_id, score for every pair that shares a token.
+    """qid, doc_id, score for every pair that shares a token; see bm25_features()."""
+    return bm25_features(corpus, questions, k1, b).select("qid", "doc_id", "score")
+
+
+def bm25_features(corpus: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, doc_id, score, shared (distinct tokens), ids (those that are identifiers) for every pair that shares a token.
 
     Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), each repetition of a query
     token counted. Only postings of query tokens are exploded into the shuffle: a semi join
@@ -54,7 +59,8 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, k1: float = K1, b: floa
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = weighted.select("token", "doc_id", part.alias("part")).join(asked, "token")
-    return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 4).alias("score"))
+    is_id = F.size(identifier_tokens(F.array("token")))
+    return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 4).alias("score"), F.count("*").alias("shared"), F.sum(is_id).alias("ids"))
 
 
 def shared_tokens(corpus: DataFrame, questions: DataFrame, doc_tokens: Column, query_tokens: Column) -> DataFrame:
@@ -73,11 +79,21 @@ def shared_tokens(corpus: DataFrame, questions: DataFrame, doc_tokens: Column, q
 
 
 def bm25_with_boosts(corpus: DataFrame, questions: DataFrame, per_identifier: float = 5.0, per_token: float = 0.05) -> DataFrame:
-    """BM25 plus a bonus per shared identifier and per shared distinct token."""
-    tokens = lexical_tokens(F.concat_ws(" ", "title", "text"))
-    shared = shared_tokens(corpus, questions, tokens, lexical_tokens(F.col("question")))
-    joined = bm25_scores(corpus, questions).join(shared, ["qid", "doc_id"])
-    return joined.select("qid", "doc_id", F.round(F.col("score") + per_identifier * F.col("ids") + per_token * F.col("shared"), 4).alias("score"))
+    """BM25 plus a bonus per shared identifier and per shared distinct token, from one pass over the postings."""
+    f = bm25_features(corpus, questions)
+    return f.select("qid", "doc_id", F.round(F.col("score") + per_identifier * F.col("ids") + per_token * F.col("shared"), 4).alias("score"))
+
+
+def variant_top_k(features: DataFrame, variants: dict[str, tuple[float, float]], k: int) -> DataFrame:
+    """variant, qid, doc_id, score, rank: bm25_features() ranked under each variant's (per_identifier, per_token).
+
+    Variants are data: an array beside each scored pair, so one scan and one set of postings
+    serve them all, and only the k best of each variant are shuffled.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("variant"), F.round(F.col("score") + i * F.col("ids") + t * F.col("shared"), 4).alias("score")) for name, (i, t) in variants.items())))
+    d = features.select("qid", "doc_id", each.alias("v")).select("v.variant", "qid", "doc_id", "v.score")
+    w = Window.partitionBy("variant", "qid").orderBy(F.desc("score"), F.desc("doc_id"))
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def overlap_scores(corpus: DataFrame, questions: DataFrame) -> DataFrame:

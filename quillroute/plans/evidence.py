@@ -216,13 +216,27 @@ def bm25_pruned_topk(spark, d):
 
 # -- one evaluation of five schemas -------------------------------------------------------
 
+def _runs(rows, key: str):
+    """key, run: all runs of ten tokens of each text."""
+    t = rows.select(key, X.simple_tokens(F.col("text")).alias("t")).filter(F.size("t") >= 10)
+    return t.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 9), lambda i: F.array_join(F.slice("t", i, F.lit(10)), " ")))).alias("run"))
+
+
+def _holders(spark, d):
+    """item_id, doc_id: the documents that share a run of ten tokens with a benchmark item; the items' runs go to the documents."""
+    asked = _runs(table(spark, d, "benchmark"), "item_id")
+    return _runs(table(spark, d, "documents"), "doc_id").join(lexical.beside(asked), "run").select("item_id", "doc_id").distinct()
+
+
+def _held(spark, d):
+    split = F.when(F.col("item_id") % 2 == 0, "dev").otherwise("test")
+    return _holders(spark, d).select(F.col("item_id").alias("qid"), split.alias("split"), "doc_id")
+
+
 def _sources(spark, d):
-    """The benchmark in five schemas, by the number of its items; gold ids are the documents that hold a whole item."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    """The benchmark in five schemas, by the number of its items; gold ids are the documents that hold an item."""
     b = table(spark, d, "benchmark").filter("text is not null")
-    whole = b.select("item_id", F.split("text", "\n").alias("t"))
-    first = whole.select("item_id", F.get("t", 0).alias("line")).filter("line <> ''")
-    held = first.join(docs, "line").groupBy("item_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("holders"))
+    held = _holders(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("holders"))
     qs = questions(spark, d).select(F.col("qid").alias("item_id"), "question", "gold")
     r = b.join(qs, "item_id").join(held, "item_id", "left").withColumns({"id": F.col("item_id").cast("string"), "split": F.when(F.col("item_id") % 2 == 0, "dev").otherwise("test"), "query": F.col("question")})
     holders = F.coalesce("holders", F.array().cast("array<string>"))
@@ -238,7 +252,9 @@ def _sources(spark, d):
 
 
 _ITEMS = (
-    "held AS (SELECT item_id, list_sort(list(DISTINCT doc_id::VARCHAR)) AS holders FROM (SELECT item_id, string_split(text, chr(10))[1] AS line FROM benchmark WHERE text IS NOT NULL) JOIN (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents) USING (line) WHERE line <> '' GROUP BY item_id),"
+    f"rt AS (SELECT item_id, NULL::BIGINT AS doc_id, {R._SIMPLE.format('text')} AS t FROM benchmark UNION ALL SELECT NULL, doc_id, {R._SIMPLE.format('text')} FROM documents),"
+    " rn AS (SELECT DISTINCT item_id, doc_id, array_to_string(t[i : i + 9], ' ') AS run FROM (SELECT item_id, doc_id, t, unnest(range(1, len(t) - 8)) AS i FROM rt)),"
+    " held AS (SELECT a.item_id, list_sort(list(DISTINCT b.doc_id::VARCHAR)) AS holders FROM rn a JOIN rn b ON a.run = b.run AND a.item_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY a.item_id),"
     " items AS (SELECT ['curated', 'adversarial', 'external', 'generalization', 'public'][item_id % 5 + 1] AS dataset, CASE WHEN item_id % 5 = 0 THEN 'curated_s_' ELSE '' END || item_id AS qid, question, CASE WHEN item_id % 5 IN (0, 2) THEN 'all' WHEN item_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, gold AS family,"
     " CASE WHEN item_id % 5 IN (0, 2) THEN text ELSE text[1:40] END AS gold_answer, CASE WHEN item_id % 5 IN (0, 1) THEN coalesce(holders, []) WHEN item_id % 5 = 4 THEN [] END AS gold_ids, CASE item_id % 5 WHEN 0 THEN NULL WHEN 2 THEN '' ELSE text END AS gold_text,"
     " CASE WHEN item_id % 5 = 1 THEN ['mod' || item_id % 3, 'hard'] WHEN item_id % 5 = 3 AND item_id % 2 = 0 THEN ['even'] END AS tags, item_id FROM benchmark JOIN questions ON qid = item_id LEFT JOIN held USING (item_id) WHERE text IS NOT NULL)"
@@ -309,3 +325,21 @@ def judged_records(spark, d):
 )
 def evaluate_records(spark, d):
     return evaluation.evaluate_records(_judged(spark, d))
+
+
+# -- variants as data ---------------------------------------------------------------------
+
+_VARIANTS = {"plain": (0.0, 0.0), "identifiers": (5.0, 0.0), "tokens": (0.0, 0.05), "both": (5.0, 0.05)}
+
+
+@query(
+    R._with(SQL["questions"], SQL["corpus"], R._LEX_DOCS, R._LEX_QS, R._TF, R._BM25, R._SHARED, _ITEMS)[:-1]
+    + ", vs(variant, pi, pt) AS (VALUES " + ", ".join(f"({q(n)}, {i}::DOUBLE, {t}::DOUBLE)" for n, (i, t) in _VARIANTS.items()) + "),"
+    " vt AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT variant, qid, doc_id, round(score + pi * ids + pt * shared, 4) AS score FROM bm JOIN shared USING (qid, doc_id), vs)),"
+    " gold AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, unnest(holders)::BIGINT AS doc_id FROM held),"
+    " fh AS (SELECT variant, qid, min(rank) AS first FROM vt JOIN gold USING (qid, doc_id) WHERE rank <= 3 GROUP BY ALL)"
+    " SELECT variant, split, count(*) AS n, round(avg(coalesce(first = 1, false)::INTEGER), 6) AS top1, round(avg((first IS NOT NULL)::INTEGER), 6) AS hit_rate FROM (SELECT * FROM (SELECT DISTINCT qid, split FROM gold), vs) LEFT JOIN fh USING (variant, qid) GROUP BY ALL"
+)
+def lexical_variants(spark, d):
+    ranked = lexical.variant_top_k(lexical.bm25_features(corpus(spark, d), questions(spark, d)), _VARIANTS, 3)
+    return evaluation.variants_by_split(written(ranked), _held(spark, d))

@@ -37,3 +37,21 @@ def test_empty(spark):
     index = pruned.lexical_index(corpus(spark).limit(0))
     assert pruned.pruned_top_k(index, asked(spark), 3).collect() == []
     assert pruned.pruned_top_k(pruned.lexical_index(corpus(spark, n=5)), asked(spark).limit(0), 3).collect() == []
+
+
+def test_variants_share_one_scan(spark):
+    c, q = corpus(spark), asked(spark)
+    features = lexical.bm25_features(c, q)
+    variants = {"plain": (0.0, 0.0), "boosted": (5.0, 0.05)}
+    got = {v: sorted((r["qid"], r["rank"], r["doc_id"], r["score"]) for r in lexical.variant_top_k(features, variants, 3).collect() if r["variant"] == v) for v in variants}
+    rows = lambda d: sorted((r["qid"], r["rank"], r["doc_id"], r["score"]) for r in lexical.top_k(d, 3).collect())
+    assert got["plain"] == rows(lexical.bm25_scores(c, q)) and got["boosted"] == rows(lexical.bm25_with_boosts(c, q)) != got["plain"]
+
+
+def test_variants_by_split(spark):
+    from quillroute.operators.evaluation import variants_by_split
+
+    ranked = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 2, 12, 1), ("b", 1, 11, 1), ("b", 2, 13, 3)], "variant string, qid int, doc_id int, rank int")
+    gold = spark.createDataFrame([(1, "dev", 11), (1, "dev", 10), (2, "test", 13), (3, "test", 99)], "qid int, split string, doc_id int")
+    got = {(r["variant"], r["split"]): (r["n"], r["top1"], r["hit_rate"]) for r in variants_by_split(ranked, gold).collect()}
+    assert got == {("a", "dev"): (1, 1.0, 1.0), ("a", "test"): (2, 0.0, 0.0), ("b", "dev"): (1, 1.0, 1.0), ("b", "test"): (2, 0.0, 0.5)}
