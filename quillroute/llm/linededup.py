@@ -43,8 +43,8 @@ class LineParams:
     #: a line stops looking in a list once so many candidates are likely to be similar
     enough: int = 2
     likely: float = 0.85
-    block_bytes: int = 2_000_000
-    list_rows: int = 200_000
+    block_bytes: int = 1_200_000
+    list_rows: int = 150_000
     #: candidates of a line that a part names at once; many times as many in each further round
     named: int = 8
     #: words in more lines than this have their lists cut by set size
