@@ -5,6 +5,8 @@ Every function takes and returns Columns and stays inside built-in expressions.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,3 +198,83 @@ def evidence_ids(item_id: Column, metadata: Column, keys: tuple[str, ...] = ("co
     """All ids an evidence item stands for: its own and the comma-separated ones of some metadata."""
     parts = F.flatten(F.array(F.array(item_id), *(F.split(F.coalesce(F.try_element_at(metadata, F.lit(k)), F.lit("")), ",") for k in keys)))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+
+
+# -- character references and nested JSON ------------------------------------------------
+
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+
+
+def _mapped(table: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+
+
+def _numeric(n: Column) -> Column:
+    """The character of a number: Windows' own for 128 to 159, the replacement character for what is none."""
+    windows = {}
+    for code in range(128, 160):
+        try:
+            windows[code] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:  # five numbers have no character there
+            windows[code] = chr(code)
+    none = n.isNull() | (n == 0) | ((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF)
+    # control characters and numbers that are no characters vanish
+    control = ((n >= 1) & (n <= 8)) | (n == 11) | ((n >= 14) & (n <= 31)) | (n == 127) | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(none, "�").when(n.between(128, 159), F.element_at(_mapped(windows), n)).when(control, "").otherwise(char)
+
+
+def _decoded(reference: Column) -> Column:
+    """One character reference as text: by number, by name, or by the longest old name that begins it; else as it is."""
+    names = {k: v for k, v in html5.items() if k.endswith(";")}
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    body = F.substring(reference, 2, 1 << 20)
+    digits = F.rtrim(F.substring(reference, 3, 1 << 20), F.lit(";"))
+    is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
+    # more digits than any character has: beyond the last one
+    short = F.when(is_hex, F.ltrim(F.substring(digits, 2, 1 << 20), F.lit("0"))).otherwise(F.ltrim(digits, F.lit("0")))
+    number = F.when(F.length(short) > 8, F.lit(1 << 40)).when(short == "", F.lit(0)).when(is_hex, F.conv(short, 16, 10).cast("long")).otherwise(F.try_to_number(short, F.lit("99999999")).cast("long"))
+    begins = F.regexp_extract(body, "^(" + "|".join(sorted(old, key=lambda k: (-len(k), k))) + ")", 1)
+    by_old = F.concat(F.element_at(_mapped(old), begins), F.substr(body, F.length(begins) + 1, F.lit(1 << 20)))
+    by_name = F.try_element_at(_mapped(names), body)
+    return F.when(F.startswith(reference, F.lit("&#")), _numeric(number)).otherwise(F.coalesce(by_name, F.when(begins != "", by_old), reference))
+
+
+def unescaped(text: Column) -> Column:
+    """All character references decoded, named and numeric, with or without a semicolon, in one expression.
+
+    The names come from the standard library. Texts without an ampersand are left as they are.
+    """
+    parts, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    woven = F.zip_with(parts, found, lambda a, b: F.concat(a, F.when(b.isNull(), "").otherwise(_decoded(b))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(woven, "")).otherwise(text)
+
+
+def unescaped_text(markup: Column) -> Column:
+    """Markup to text in the order of the usual clean-up: references decoded first, then scripts, styles and tags out."""
+    out = F.regexp_replace(unescaped(markup), r"(?is)<script.*?</script>|<style.*?</style>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]+>", " "), r"(?U)\s+", " "))
+
+
+def flattened_json(raw: Column, most: int = 20, depth: int = 3) -> Column:
+    """A JSON object as ``key: value`` lines: lists by their first ``most`` items, objects inside by dotted keys, ``depth`` deep.
+
+    A list at the top is a line for each of its first 100 items. Other text stays as it is; null members go.
+    """
+
+    def listed(value: Column) -> Column:
+        return F.array_join(F.slice(F.from_json(value, "array<string>"), 1, most), " ")
+
+    def lines(text: Column, prefix: Column | None, left: int) -> Column:
+        entries = F.filter(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: e["value"].isNotNull())
+
+        def line(e: Column) -> Column:
+            key = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
+            is_list, is_object = F.startswith(e["value"], F.lit("[")), F.startswith(e["value"], F.lit("{"))
+            one = F.array(F.concat(key, F.lit(": "), F.when(is_list, F.coalesce(listed(e["value"]), e["value"])).otherwise(e["value"])))
+            return F.when(is_object, F.coalesce(lines(e["value"], key, left - 1), one)).otherwise(one) if left > 1 else one
+
+        return F.flatten(F.transform(entries, line))
+
+    items = F.array_join(F.slice(F.from_json(raw, "array<string>"), 1, 100), "\n")
+    return F.when(F.startswith(F.ltrim(raw), F.lit("{")), F.coalesce(F.array_join(lines(raw, None, depth), "\n"), raw)).when(F.startswith(F.ltrim(raw), F.lit("[")), F.coalesce(items, raw)).otherwise(raw)

@@ -343,3 +343,28 @@ _VARIANTS = {"plain": (0.0, 0.0), "identifiers": (5.0, 0.0), "tokens": (0.0, 0.0
 def lexical_variants(spark, d):
     ranked = lexical.variant_top_k(lexical.bm25_features(corpus(spark, d), questions(spark, d)), _VARIANTS, 3)
     return evaluation.variants_by_split(written(ranked), _held(spark, d))
+
+
+# -- text clean-up ------------------------------------------------------------------------
+
+_NAMED = {k.removesuffix(";"): v for k, v in X.html5.items() if k in ("amp;", "lt;", "gt;", "quot;", "copy;", "middot;", "nbsp;", "eacute;")}
+
+
+@query(
+    "WITH m AS (SELECT page_id, html || ' &#' || (page_id * 37 + 200) || '; &#x' || lower(printf('%x', page_id + 8364)) || ' &lt;b&gt;&amp;nosuch; &eacute' AS t FROM pages), p AS (SELECT page_id, string_split_regex(t, '&(#[0-9]+|#x[0-9a-f]+|[a-z]+);?') AS parts, regexp_extract_all(t, '&(#[0-9]+|#x[0-9a-f]+|[a-z]+);?', 1) AS refs FROM m),"
+    " nm AS (SELECT MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in _NAMED.items()) + "} AS nm),"
+    " w AS (SELECT page_id, array_to_string(list_transform(range(0, len(parts)), lambda i: parts[i + 1] || CASE WHEN i >= len(refs) THEN '' WHEN starts_with(refs[i + 1], '#x') THEN chr(('0' || refs[i + 1][2:])::INTEGER) WHEN starts_with(refs[i + 1], '#') THEN chr(refs[i + 1][2:]::INTEGER) ELSE map_extract(nm, refs[i + 1])[1] END), '') AS t FROM p, nm)"
+    " SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) AS text FROM w"
+)
+def html_unescaped(spark, d):
+    extra = F.concat(F.lit(" &#"), (F.col("page_id") * 37 + 200).cast("string"), F.lit("; &#x"), F.lower(F.hex(F.col("page_id") + 8364)), F.lit(" &lt;b&gt;&amp;nosuch; &eacute"))
+    return table(spark, d, "pages").select("page_id", X.unescaped_text(F.concat("html", extra)).alias("text"))
+
+
+@query(
+    "SELECT conv_id, turn, 'id: ' || conv_id || chr(10) || 'roles: user assistant' || chr(10) || 'part.turn: ' || turn || chr(10) || 'part.who.role: ' || role || chr(10) || 'text: ' || text AS lines FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL"
+)
+def json_flattened(spark, d):
+    c = table(spark, d, "conversations").filter("text is not null and role is not null")
+    made = F.to_json(F.struct(F.col("conv_id").alias("id"), F.array(F.lit("user"), F.lit("assistant")).alias("roles"), F.struct("turn", F.struct("role").alias("who")).alias("part"), "text"))
+    return c.select("conv_id", "turn", X.flattened_json(made).alias("lines"))

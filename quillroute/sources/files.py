@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import headings, plain_text, stable_id
+from ..functions.text import flattened_json, headings, plain_text, stable_id
 from ..operators.graph import turtle_line
 
 DOCUMENT = T.StructType([T.StructField(n, T.StringType(), False) for n in ("doc_id", "title", "text", "source")])
@@ -68,18 +68,11 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     raw = raw.withColumn("suffix", suffix).filter(F.col("suffix").isin(*SUFFIXES))
     stem = F.initcap(F.trim(F.translate(F.regexp_replace("name", r"\.[^.]+$", ""), "_-", "  ")))
-    flat = F.when(F.col("suffix") == "json", json_lines(F.col("value"))).otherwise(F.col("value"))
+    flat = F.when(F.col("suffix") == "json", flattened_json(F.col("value"))).otherwise(F.col("value"))
     d = raw.select(stem.alias("title"), flat.alias("value"), "file", "suffix")
     return d.select(stable_id(F.col("file"), F.col("value")).alias("doc_id"), "title", plain_text(F.col("value")).alias("text"), F.concat(F.lit("file:"), "suffix", F.lit(":"), "file").alias("source"), headings(F.col("value")).alias("sections"))
 
 
-def json_lines(raw: Column) -> Column:
-    """A JSON object as ``key: value`` lines; other text as it is."""
-    m = F.from_json(raw, "map<string,string>")
-    lines = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
-    return F.coalesce(F.when(F.size(m) > 0, lines), raw)
-
-
 def read_headed_text(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """Text files whose first line may be ``prefix`` + JSON: file, meta (map), body."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
