@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, packed, pruned, routing
+from ..operators import asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, packed, pruned, routing, runtime
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -368,3 +368,33 @@ def json_flattened(spark, d):
     c = table(spark, d, "conversations").filter("text is not null and role is not null")
     made = F.to_json(F.struct(F.col("conv_id").alias("id"), F.array(F.lit("user"), F.lit("assistant")).alias("roles"), F.struct("turn", F.struct("role").alias("who")).alias("part"), "text"))
     return c.select("conv_id", "turn", X.flattened_json(made).alias("lines"))
+
+
+# -- a corpus that changes ----------------------------------------------------------------
+
+_CHANGED = (
+    "corpus AS (SELECT doc_id, source AS title, text FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, source, text || ' revised ' || lang FROM documents WHERE doc_id % 7 = 0 AND doc_id % 14 <> 0 AND text IS NOT NULL AND lang IS NOT NULL"
+    " UNION ALL SELECT doc_id + 1000000, 'added', text FROM documents WHERE doc_id % 21 = 1 AND text IS NOT NULL)"
+)
+
+
+def _changes(spark, d):
+    """Two versions of every seventh document, of which the later counts; half of these go, and some are new."""
+    c = corpus(spark, d).select("doc_id", "title", "text", "lang")
+    seventh = c.filter("doc_id % 7 = 0")
+    first = seventh.select("doc_id", "title", F.lit("first try").alias("text"), F.lit(1).alias("position"))
+    second = seventh.select("doc_id", "title", F.when(F.col("doc_id") % 14 != 0, F.concat("text", F.lit(" revised "), "lang")).alias("text"), F.lit(2).alias("position"))
+    new = c.filter("doc_id % 21 = 1").select(F.col("doc_id") + 1000000, F.lit("added").alias("title"), "text", F.lit(1).alias("position")).toDF("doc_id", "title", "text", "position")
+    return c.drop("lang"), first.unionByName(second).unionByName(new)
+
+
+@query("WITH " + _CHANGED + " SELECT * FROM corpus")
+def upserted_corpus(spark, d):
+    return runtime.upserted(*_changes(spark, d), "position")
+
+
+@query(R._with(SQL["questions"], _CHANGED, R._LEX_DOCS, R._LEX_QS, R._TF, R._BM25) + R._top("bm", 3))
+def bm25_after_upsert(spark, d):
+    before, changes = _changes(spark, d)
+    counts = {name: written(t) for name, t in runtime.counted(before).items()}
+    return lexical.top_k(runtime.counted_scores(runtime.recounted(counts, before, changes, "position"), questions(spark, d)), 3)
