@@ -158,8 +158,14 @@ def numbered_first(rows: DataFrame, order: list[str], most: int) -> DataFrame:
 
 
 def resolve_prefix(wanted: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids of all triples that begin with a wanted prefix, or the prefix where none does."""
-    hit = wanted.join(edges.select("triple_id"), F.col("triple_id").startswith(F.col("prefix")), "left")
+    """Ids of all triples that begin with a wanted prefix, or the prefix where none does.
+
+    An equi-join: triples meet the wanted prefixes under their own beginnings, of each length that is wanted.
+    """
+    lengths = sorted(r["n"] for r in wanted.select(F.length("prefix").alias("n")).filter("n is not null").distinct().collect())  # as many as there are lengths
+    begins = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("triple_id")) if lengths else F.array().cast("array<int>")
+    heads = edges.select("triple_id", F.explode(begins).alias("n")).select("triple_id", F.substr("triple_id", F.lit(1), F.col("n")).alias("prefix"))
+    hit = wanted.join(heads, "prefix", "left")
     return hit.groupBy("prefix").agg(F.array_sort(F.collect_set("triple_id")).alias("ids")).select("prefix", F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array("prefix")).alias("ids"))
 
 
