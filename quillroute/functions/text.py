@@ -144,15 +144,27 @@ def source_part(source: Column, index: int, default: str = "unknown") -> Column:
 IDENTIFIER_FORMS = (r"RFC[ -]?\d+", r"ICD[- ]?10(?:[- ]?CM)? +[A-Z]\d\d(?:\.\d+)?", r"45 +CFR +\d\d\d\.\d\d\d", r"HIPAA +\d\d\d\.\d\d\d", r"§ ?\d+", r"[a-z_]+(?:\.[a-zA-Z_]+)+", r"\d+\.\d+\.\d+\.\d+")
 
 
+# How identifiers are written, and their normal form.
+NORMAL_FORMS = (
+    (r"(?i)\bRFC\s+(\d+)\b", "RFC-$1"),
+    (r"(?i)\bICD[- ]?10(?:[- ]?CM)?\s+([A-Z]\d{2}(?:\.\d+)?)\b", "ICD-10 $1"),
+    (r"(?i)\b45\s+CFR\s+(\d{3}\.\d{3})\b", "45 CFR $1"),
+    (r"(?i)\bHIPAA\s+(\d{3}\.\d{3})\b", "HIPAA $1"),
+)
+
+
+def normal_identifier(x: Column) -> Column:
+    """An identifier in its normal form: single blanks, and one spelling for RFC, ICD, CFR and HIPAA numbers."""
+    x = F.regexp_replace(F.trim(x), r"\s+", " ")
+    for written, form in NORMAL_FORMS:
+        x = F.regexp_replace(x, written, form)
+    return x
+
+
 def identifiers(text: Column) -> Column:
     """Distinct canonical identifiers of a text, sorted."""
     found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f), F.lit(0)) for f in IDENTIFIER_FORMS)))
-
-    def canonical(x: Column) -> Column:
-        x = F.regexp_replace(F.trim(x), r"\s+", " ")
-        return F.regexp_replace(x, r"^RFC (\d+)$", "RFC-$1")
-
-    return F.array_sort(F.array_distinct(F.transform(found, canonical)))
+    return F.array_sort(F.array_distinct(F.transform(found, normal_identifier)))
 
 
 def alias_forms(ids: Column) -> Column:

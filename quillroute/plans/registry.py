@@ -168,7 +168,10 @@ def url_title(spark, d):
 
 
 _IDS = "flatten([" + ", ".join(f"regexp_extract_all(text, {q(f)})" for f in X.IDENTIFIER_FORMS) + "])"
-_CANON = f"list_sort(list_distinct(list_transform({_IDS}, lambda x: regexp_replace(regexp_replace(trim(x), '\\s+', ' ', 'g'), '^RFC (\\d+)$', 'RFC-\\1'))))"
+_FORMED = "regexp_replace(trim(x), '\\s+', ' ', 'g')"
+for _written, _form in X.NORMAL_FORMS:
+    _FORMED = f"regexp_replace({_FORMED}, {q(_written)}, {q(_form.replace('$1', chr(92) + '1'))}, 'g')"
+_CANON = f"list_sort(list_distinct(list_transform({_IDS}, lambda x: {_FORMED})))"
 
 
 @query(f"SELECT doc_id, array_to_string(ids, '|') AS ids FROM (SELECT doc_id, {_CANON} AS ids FROM documents)")
@@ -538,7 +541,18 @@ def relational_bundles(spark, d):
     return fusion.relational_bundles(g, _evidence(spark, d))
 
 
-@query(None)
+_WORDS_OF = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9._§:/-]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(q(s) for s in X.STOPWORDS) + ")))"
+_NEGATED_OF = "list_sort(list_distinct(flatten(list_transform(flatten([" + ", ".join(f"regexp_extract_all(lower({{0}}), {q(m + chr(92) + 's+([^,?.;:]+)').replace('{', '{{').replace('}', '}}')}, 1)" for m in S.NEGATIONS) + "]), lambda s: list_sort(" + _WORDS_OF.format("s") + ")[1:6]))))"
+_RESCUE = f""", r0 AS (SELECT *, first_value(question || ' not ' || string_split_regex(content, '\\s+')[3]) OVER (PARTITION BY qid ORDER BY rank) AS q2, lower(item_id || ' ' || content) AS low FROM ev),
+ r1 AS (SELECT *, {_WORDS_OF.format("q2")} AS words, {_NEGATED_OF.format("q2")} AS negated, {_WORDS_OF.format("low")} AS there, {_CANON.replace("(text,", "(q2,")} AS named FROM r0),
+ r2 AS (SELECT *, len(list_intersect(words, there)) / greatest(1, len(words)) AS overlap, len(list_filter(negated, lambda w: contains(low, w))) AS negated_hits, len(list_filter(named, lambda w: contains(low, lower(w)))) AS identifier_hits FROM r1),
+ r3 AS (SELECT *, round(overlap + 0.18::DOUBLE * identifier_hits - 0.28::DOUBLE * negated_hits - 0.015::DOUBLE * (rank - 1), 6) AS rescue_score FROM r2),
+ r4 AS (SELECT *, row_number() OVER best AS new_rank, first_value(rescue_score) OVER best AS best_score, first_value(negated_hits) OVER best AS best_hits, first_value(rescue_score) OVER f AS first_score, first_value(negated_hits) OVER f AS first_hits, count(*) OVER (PARTITION BY qid) AS items FROM r3 WINDOW best AS (PARTITION BY qid ORDER BY rescue_score DESC, rank), f AS (PARTITION BY qid ORDER BY rank)),
+ r5 AS (SELECT *, items >= 2 AND len(negated) > 0 AND best_score >= first_score + 0.12::DOUBLE AND best_hits < first_hits AS applied FROM r4)
+ SELECT qid, item_id, rank, CASE WHEN applied THEN new_rank ELSE rank END AS final_rank, rescue_score, round(overlap, 6) AS overlap, identifier_hits, negated_hits, applied FROM r5"""
+
+
+@query(_EVIDENCE + _RESCUE)
 def topk_rescue(spark, d):
     e = _evidence(spark, d)
     negated = F.concat("question", F.lit(" not "), F.element_at(F.split("content", r"\s+"), 3))

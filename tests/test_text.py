@@ -35,3 +35,9 @@ def test_plain_text_snippets_and_ids(spark):
     assert one(spark, X.url_title(F.col("s")), s="http://a.b/some-good_page/") == "Some Good Page"
     assert one(spark, X.identifiers(F.col("s")), s="RFC 7231 and rfc, ICD-10 J18.9, torch.nn.Loss") == ["ICD-10 J18.9", "RFC-7231", "torch.nn.Loss"]
     assert one(spark, X.source_part(F.col("s"), 5), s="a:b") == "unknown"
+
+
+def test_identifiers_in_normal_form(spark):
+    text = "RFC 7231, rfc 2616 and RFC-9110; ICD10 E11.9, ICD-10-CM  I10, ICD 10 J45; 45  CFR 164.512; HIPAA  164.502; torch.nn.Linear"
+    got = spark.range(1).select(X.identifiers(F.lit(text)).alias("i")).first()["i"]
+    assert {"RFC-7231", "RFC-9110", "ICD-10 E11.9", "ICD-10 I10", "ICD-10 J45", "45 CFR 164.512", "HIPAA 164.502", "torch.nn.Linear"} <= set(got)
