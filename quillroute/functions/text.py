@@ -290,3 +290,36 @@ def flattened_json(raw: Column, most: int = 20, depth: int = 3) -> Column:
 
     items = F.array_join(F.slice(F.from_json(raw, "array<string>"), 1, 100), "\n")
     return F.when(F.startswith(F.ltrim(raw), F.lit("{")), F.coalesce(F.array_join(lines(raw, None, depth), "\n"), raw)).when(F.startswith(F.ltrim(raw), F.lit("[")), F.coalesce(items, raw)).otherwise(raw)
+
+
+# -- public documents ---------------------------------------------------------------------
+
+# What a title in running text looks like, where it is looked for, how many count, and the kind whose title's last word is a name.
+TITLE_IN_TEXT = r"(?:^|\. )([A-Z][A-Za-z0-9 /-]{4,60}) [A-Za-z0-9_]"
+TITLE_WITHIN, MOST_TITLES, NAMED_KIND = 2500, 8, "official_docs"
+
+
+def section_titles(text: Column) -> Column:
+    """The first 8 different titles in the first 2,500 characters of a cleaned text: capitalized runs at the start or behind a full stop."""
+    found = F.transform(F.regexp_extract_all(F.substring(text, 1, TITLE_WITHIN), F.lit(TITLE_IN_TEXT), F.lit(1)), lambda t: F.trim(F.regexp_replace(t, r"^[ .]+|[ .]+$", "")))
+    return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, MOST_TITLES)
+
+
+def lead_or(text: Column, fallback: Column, least: int = 80, limit: int = 420) -> Column:
+    """lead_summary() of a text of at least ``least`` characters, of the fallback otherwise."""
+    chosen = F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) >= least, text).otherwise(fallback)
+    return lead_summary(chosen, 3, limit)
+
+
+def source_aliases(source_id: Column, title: Column, answer: Column, kind: Column, ids: Column) -> Column:
+    """Names under which a public document is looked up: its title, answer and id, spellings of its identifiers, sorted."""
+    own = F.array(title, F.lower(title), answer, F.lower(answer), F.replace(F.replace(source_id, F.lit("pub_"), F.lit("")), F.lit("_"), F.lit(" ")), F.when(kind == NAMED_KIND, F.element_at(F.split(title, " "), -1)))
+    spelled = F.flatten(F.transform(ids, lambda x: F.array(x, F.lower(x), F.replace(x, F.lit("-"), F.lit(" ")), F.replace(x, F.lit(" "), F.lit("-")), F.when(F.contains(x, F.lit(" ")), F.element_at(F.split(x, " "), -1)))))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(own, spelled), lambda a: a.isNotNull() & (a != ""))))
+
+
+def public_record(source_id: Column, title: Column, kind: Column, answer: Column, fallback: Column, text: Column) -> dict[str, Column]:
+    """What is known of a public document beside its text: identifiers, aliases, titles, lead and size."""
+    ids = identifiers(F.concat_ws(" ", title, answer, fallback, text))
+    whole = F.concat(title, F.lit(". "), answer, F.lit(". "), fallback)
+    return {"canonical_identifiers": ids, "aliases": source_aliases(source_id, title, answer, kind, ids), "section_headings": section_titles(text), "lead_summary": lead_or(text, whole), "body_char_count": F.length(text)}

@@ -398,3 +398,31 @@ def bm25_after_upsert(spark, d):
     before, changes = _changes(spark, d)
     counts = {name: written(t) for name, t in runtime.counted(before).items()}
     return lexical.top_k(runtime.counted_scores(runtime.recounted(counts, before, changes, "position"), questions(spark, d)), 3)
+
+
+# -- public documents ---------------------------------------------------------------------
+
+_PUBLIC = (
+    "pub AS (SELECT doc_id, 'pub_' || source AS source_id, upper(source) || ' Guide RFC ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'official_docs' ELSE 'standard' END AS kind, coalesce(lang, '') || ' Text' AS answer, 'A short note on ' || source || ' of HIPAA 164.' || (500 + doc_id % 100) || '. It says little.' AS fallback, CASE WHEN doc_id % 9 = 0 THEN left(text, 40) ELSE text END AS text FROM documents WHERE text IS NOT NULL),"
+    f" pid AS (SELECT pub.*, {R._CANON.replace('(text,', '(everything,')} AS ids FROM (SELECT *, concat_ws(' ', title, answer, fallback, text) AS everything FROM pub) pub)"
+)
+
+
+def _public(spark, d):
+    """Documents as fetched public pages, every ninth of which is too short to lead."""
+    c, n = table(spark, d, "documents").filter("text is not null"), F.col("doc_id").cast("string")
+    number = (F.lit(500) + F.col("doc_id") % 100).cast("string")
+    p = c.select("doc_id", F.concat(F.lit("pub_"), "source").alias("source_id"), F.concat(F.upper("source"), F.lit(" Guide RFC "), n).alias("title"), F.when(F.col("doc_id") % 2 == 0, "official_docs").otherwise("standard").alias("kind"), F.concat(F.coalesce("lang", F.lit("")), F.lit(" Text")).alias("answer"), F.concat(F.lit("A short note on "), "source", F.lit(" of HIPAA 164."), number, F.lit(". It says little.")).alias("fallback"), F.when(F.col("doc_id") % 9 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"))
+    return p.select("doc_id", "title", "text", *(v.alias(k) for k, v in X.public_record(*map(F.col, ("source_id", "title", "kind", "answer", "fallback", "text"))).items()))
+
+
+@query(
+    "WITH " + _PUBLIC + " SELECT doc_id, array_to_string(ids, '|') AS canonical_identifiers,"
+    " array_to_string(list_sort(list_distinct(list_filter(list_concat([title, lower(title), answer, lower(answer), replace(replace(source_id, 'pub_', ''), '_', ' '), CASE WHEN kind = 'official_docs' THEN string_split(title, ' ')[-1] END], flatten(list_transform(ids, lambda x: [x, lower(x), replace(x, '-', ' '), replace(x, ' ', '-'), CASE WHEN contains(x, ' ') THEN string_split(x, ' ')[-1] END]))), lambda a: a IS NOT NULL AND a <> ''))), '|') AS aliases,"
+    f" coalesce(array_to_string((SELECT list(t ORDER BY p) FROM (SELECT t, min(p) AS p FROM (SELECT unnest(found) AS t, unnest(range(0, len(found))) AS p FROM (SELECT list_filter(list_transform(regexp_extract_all(left(text, 2500), {q(X.TITLE_IN_TEXT)}, 1), lambda t: trim(t, ' .')), lambda t: t <> '') AS found)) GROUP BY t))[1:8], '|'), '') AS section_headings,"
+    " trim(array_to_string((string_split(regexp_replace(trim(CASE WHEN length(trim(text)) >= 80 THEN text ELSE title || '. ' || answer || '. ' || fallback END), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))[1:3], ' ')[1:420]) AS lead_summary, length(text) AS body_char_count FROM pid"
+)
+def public_records(spark, d):
+    p = _public(spark, d)
+    lists = {c: F.array_join(c, "|") for c in ("canonical_identifiers", "aliases", "section_headings")}
+    return p.withColumns(lists).select("doc_id", *lists, "lead_summary", "body_char_count")

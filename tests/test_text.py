@@ -41,3 +41,14 @@ def test_identifiers_in_normal_form(spark):
     text = "RFC 7231, rfc 2616 and RFC-9110; ICD10 E11.9, ICD-10-CM  I10, ICD 10 J45; 45  CFR 164.512; HIPAA  164.502; torch.nn.Linear"
     got = spark.range(1).select(X.identifiers(F.lit(text)).alias("i")).first()["i"]
     assert {"RFC-7231", "RFC-9110", "ICD-10 E11.9", "ICD-10 I10", "ICD-10 J45", "45 CFR 164.512", "HIPAA 164.502", "torch.nn.Linear"} <= set(got)
+
+
+def test_public_records(spark):
+    text = "Getting Started guide for all. Tools and more. . .Getting Started again. Getting Started here" + " x" * 20
+    record = X.public_record(*map(F.lit, ("pub_rfc_7231", "The HTTP Docs", "official_docs", "RFC 7231", "Nothing else", text)))
+    got = spark.range(1).select(*(v.alias(k) for k, v in record.items())).first()
+    assert got["section_headings"][:2] == ["Getting Started guide for", "Tools and"] and len(got["section_headings"]) == 3
+    assert {"Docs", "rfc 7231", "RFC-7231", "RFC 7231", "the http docs"} <= set(got["aliases"]) and got["aliases"] == sorted(got["aliases"])
+    assert got["lead_summary"].startswith("Getting Started guide for all. Tools and more.")
+    short = X.public_record(*map(F.lit, ("pub_a", "T", "standard", "A", "Fallback text. Two. Three", "too short")))
+    assert spark.range(1).select(short["lead_summary"].alias("l")).first()["l"] == "T. A. Fallback text."
