@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, packed, pruned, routing, runtime
+from ..operators import answering, asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, metrics, packed, pruned, routing, runtime
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -261,9 +261,9 @@ _ITEMS = (
 )
 
 
-@query(R._with(SQL["questions"], _ITEMS) + "SELECT * EXCLUDE (item_id) FROM items")
+@query(R._with(SQL["questions"], _ITEMS) + "SELECT * EXCLUDE (item_id, gold_ids, tags), array_to_string(gold_ids, '|') AS gold_ids, array_to_string(tags, '|') AS tags FROM items")
 def eval_items(spark, d):
-    return evaluation.eval_items(_sources(spark, d))
+    return evaluation.eval_items(_sources(spark, d)).withColumns({c: F.array_join(c, "|") for c in ("gold_ids", "tags")})
 
 
 def _record_evidence(spark, d):
@@ -314,9 +314,9 @@ _JUDGED = (
 )
 
 
-@query(_JUDGED + " SELECT * FROM judged")
+@query(_JUDGED + " SELECT * EXCLUDE (tags) FROM judged")
 def judged_records(spark, d):
-    return _judged(spark, d)
+    return _judged(spark, d).drop("tags")
 
 
 @query(
@@ -426,3 +426,38 @@ def public_records(spark, d):
     p = _public(spark, d)
     lists = {c: F.array_join(c, "|") for c in ("canonical_identifiers", "aliases", "section_headings")}
     return p.withColumns(lists).select("doc_id", *lists, "lead_summary", "body_char_count")
+
+
+# -- reports of single questions ----------------------------------------------------------
+
+
+@query(R._with(SQL["questions"], R._BENCH, R._FEATURES, R._PENALTY, R._CALIBRATED) + "SELECT system, identifier_heavy, count(*) AS n, round(avg((predicted = gold)::INTEGER), 6) AS accuracy FROM (SELECT qid, identifier_heavy, unnest([{'system': 'computed', 'predicted': route}, {'system': 'calibrated', 'predicted': calibrated_route}], recursive := true) FROM cal) JOIN (SELECT qid, gold FROM questions) USING (qid) GROUP BY ALL")
+def identifier_subgroups(spark, d):
+    r = routing.calibrated_routes(routing.penalty_routes(questions(spark, d)))
+    each = F.array(*(F.struct(F.lit(n).alias("system"), F.col(c).alias("predicted")) for n, c in (("computed", "route"), ("calibrated", "calibrated_route"))))
+    rows = r.select("gold", "identifier_heavy", F.explode(each).alias("s"))
+    return rows.groupBy("s.system", "identifier_heavy").agg(F.count("*").alias("n"), metrics.rate(F.col("s.predicted") == F.col("gold")).alias("accuracy"))
+
+
+_ISSUES = "list_filter([CASE WHEN evidence_ids = '' THEN 'no_evidence' END, CASE WHEN answer = 'insufficient evidence' THEN 'no_answer' END, CASE WHEN support <= 0 THEN 'no_support' END], lambda x: x IS NOT NULL)"
+
+
+@query(R._ANSWERED + f" SELECT qid, route, answer_type, CASE WHEN evidence_ids = '' THEN 0 ELSE len(string_split(evidence_ids, ',')) END AS n_evidence, array_to_string(list_sort({_ISSUES}), ',') AS issues, len({_ISSUES}) = 0 AS sound FROM ans")
+def smoke_evaluation(spark, d):
+    """Every question routed, its evidence retrieved, answered and checked: one row each, with what is wrong."""
+    a = written(answering.answers(routing.penalty_routes(questions(spark, d)), R._evidence(spark, d)))
+    found = answering.trace_issues(a).groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("issues"))
+    n = F.when(F.col("evidence_ids") == "", 0).otherwise(F.size(F.split("evidence_ids", ",")))
+    return a.join(found, "qid", "left").select("qid", "route", "answer_type", n.alias("n_evidence"), F.coalesce("issues", F.lit("")).alias("issues"), F.col("issues").isNull().alias("sound"))
+
+
+@query(
+    R._ANSWERED + " SELECT qid, route, array_to_string(list_transform(list_sort([{'s': score_bm25, 'o': 0, 'b': 'bm25'}, {'s': score_dense, 'o': 1, 'b': 'dense'}, {'s': score_kg, 'o': 2, 'b': 'kg'}, {'s': score_hybrid, 'o': 3, 'b': 'hybrid'}]), lambda x: x.b || '=' || printf('%.3f', x.s)), ' ') AS scores, answer_type, evidence_ids AS evidence, printf('%.6f', support) AS support FROM ans"
+)
+def result_rows(spark, d):
+    """What a result view shows of each question: the backends by ascending penalty, the route, and its evidence in order."""
+    routed = routing.penalty_routes(questions(spark, d))
+    a = answering.answers(routed, R._evidence(spark, d))
+    scores = F.array_sort(F.array(*(F.struct(F.col(f"score_{b}").alias("s"), F.lit(i).alias("o"), F.lit(b).alias("b")) for i, b in enumerate(routing.BACKENDS))))
+    line = F.array_join(F.transform(scores, lambda x: F.concat(x["b"], F.lit("="), F.format_string("%.3f", x["s"]))), " ")
+    return a.join(routed.select("qid", line.alias("scores")), "qid").select("qid", "route", "scores", "answer_type", F.col("evidence_ids").alias("evidence"), F.format_string("%.6f", F.col("support")).alias("support"))
