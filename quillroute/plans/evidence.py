@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answering, asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, metrics, packed, pruned, routing, runtime
+from ..operators import answering, asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, metrics, packed, pruned, public, routing, runtime
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -428,6 +428,78 @@ def public_records(spark, d):
     return p.withColumns(lists).select("doc_id", *lists, "lead_summary", "body_char_count")
 
 
+# -- public documents as a corpus of their own ----------------------------------------------
+
+#: Benchmark texts as questions of four kinds about public documents, by item_id mod 4: an identifier, a name in a title, a number of a rule, an identifier in a relation.
+_PUBLIC_ASKED = (
+    "asked AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'Find exact code RFC-' || item_id || ' ' || text WHEN 1 THEN 'What concept feels like the src' || (item_id % 20) || ' guide of RFC ' || item_id || '? ' || text WHEN 2 THEN 'Is a note of HIPAA 164.' || (500 + item_id % 100) || ' a class of ' || text ELSE 'What bridge connects RFC-' || item_id || CASE WHEN item_id % 8 = 7 THEN ' and its code' ELSE ' and ' || text END END AS question,"
+    " CASE item_id % 4 WHEN 0 THEN 'lexical' WHEN 1 THEN 'semantic' WHEN 2 THEN 'deductive' ELSE 'relational' END AS family, CASE item_id % 4 WHEN 0 THEN 'bm25' WHEN 1 THEN 'dense' WHEN 2 THEN 'bm25' ELSE CASE WHEN item_id % 8 = 7 THEN 'bm25' ELSE 'hybrid' END END AS gold FROM benchmark)"
+)
+_ALIAS_LIST = "list_sort(list_distinct(list_filter(list_concat([title, lower(title), answer, lower(answer), replace(replace(source_id, 'pub_', ''), '_', ' '), CASE WHEN kind = 'official_docs' THEN string_split(title, ' ')[-1] END], flatten(list_transform(ids, lambda x: [x, lower(x), replace(x, '-', ' '), replace(x, ' ', '-'), CASE WHEN contains(x, ' ') THEN string_split(x, ' ')[-1] END]))), lambda a: a IS NOT NULL AND a <> '')))"
+_LEAD = "trim(array_to_string((string_split(regexp_replace(trim(CASE WHEN length(trim(text)) >= 80 THEN text ELSE title || '. ' || answer || '. ' || fallback END), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))[1:3], ' ')[1:420])"
+_BOOSTED = (
+    f"rec AS (SELECT doc_id, title, text, ids, {_ALIAS_LIST} AS aliases, {_LEAD} AS lead FROM pid),"
+    " corpus AS (SELECT doc_id, title, 'Title: ' || title || chr(10) || 'Canonical identifiers: ' || array_to_string(ids, ', ') || chr(10) || 'Aliases: ' || array_to_string(aliases, ', ') || chr(10) || 'Lead summary: ' || lead || chr(10) || 'Body:' || CASE WHEN trim(text) = '' THEN '' ELSE chr(10) || trim(text) END AS text FROM rec),"
+    " questions AS (SELECT * FROM asked), idl AS (SELECT doc_id, unnest(ids) AS x FROM rec), all_ AS (SELECT doc_id, lower(a) AS a FROM (SELECT doc_id, unnest(aliases) AS a FROM rec) WHERE length(a) >= 4), low AS (SELECT qid, lower(question) AS low FROM asked),"
+    " byid AS (SELECT qid, doc_id, count(*) AS n FROM low, idl WHERE contains(low, lower(x)) GROUP BY ALL),"
+    " named AS (SELECT qid, a FROM low, (SELECT DISTINCT a FROM all_) WHERE contains(low, a) AND regexp_matches(low, '(^|[^a-z0-9])' || regexp_escape(a) || '($|[^a-z0-9])')),"
+    " byalias AS (SELECT qid, doc_id, count(*) AS n FROM named JOIN all_ USING (a) GROUP BY ALL),"
+    " tw AS (SELECT doc_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) >= 4) AS w FROM rec), qw AS (SELECT qid, list_distinct(regexp_extract_all(low, '[a-z0-9]+')) AS q FROM low),"
+    " bytitle AS (SELECT qid, doc_id FROM qw, tw WHERE len(w) > 0 AND len(list_filter(w, lambda t: list_contains(q, t))) >= least(2, len(w))),"
+    " pairs AS (SELECT qid, doc_id FROM byid UNION SELECT qid, doc_id FROM byalias UNION SELECT qid, doc_id FROM bytitle),"
+    " bo AS (SELECT p.qid, p.doc_id, coalesce(i.n, 0) AS n_identifiers, coalesce(a.n, 0) AS n_aliases, t.qid IS NOT NULL AS title_hit FROM pairs p LEFT JOIN byid i USING (qid, doc_id) LEFT JOIN byalias a USING (qid, doc_id) LEFT JOIN bytitle t USING (qid, doc_id)),"
+    " boosts AS (SELECT *, 8.0::DOUBLE * n_identifiers + 4.0::DOUBLE * least(2, n_aliases) + CASE WHEN title_hit THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS boost, concat_ws(',', CASE WHEN n_aliases > 0 THEN 'alias' END, CASE WHEN n_identifiers > 0 THEN 'identifier' END, CASE WHEN title_hit THEN 'title' END) AS fields FROM bo)"
+)
+_PUBLIC_SQL = "WITH " + ", ".join((_PUBLIC, _PUBLIC_ASKED, _BOOSTED))
+_PUBLIC_RANKED = (
+    _PUBLIC_SQL + ", " + ", ".join((R._LEX_DOCS, R._LEX_QS, R._TF, R._BM25))
+    + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT qid, doc_id, coalesce(bm.score, 0.0) AS base, coalesce(boost, 0.0) AS boost, coalesce(fields, '') AS fields, round(coalesce(bm.score, 0.0) + coalesce(boost, 0.0), 4) AS score FROM bm FULL JOIN boosts USING (qid, doc_id)))"
+)
+_ARBITRATED = (
+    _PUBLIC_RANKED + ", " + ", ".join((R._FEATURES, R._PENALTY))
+    + f", arb AS (SELECT *, CASE WHEN about_identifiers AND decides THEN 'bm25' ELSE route END AS arbitrated_route FROM (SELECT r.qid, family, gold, question, route, doc_id AS top_doc_id, coalesce(boost, 0.0) AS boost, coalesce(fields, '') AS fields, least(1.0, coalesce(boost, 0.0) / 8.0) AS confidence, coalesce(boost, 0.0) >= 3.0 AND coalesce(fields, '') <> '' AS decides,"
+    f" len({R._IDS.replace('(text,', '(question,')}) > 0 OR regexp_matches(lower(question), {q(public.NAMED)}) AS about_identifiers FROM routed r LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) t ON t.qid = r.qid))"
+)
+
+
+def _public_asked(spark, d):
+    b, n = table(spark, d, "benchmark").withColumn("m", F.col("item_id") % 4), F.col("item_id").cast("string")
+    number = (F.lit(500) + F.col("item_id") % 100).cast("string")
+    by = lambda a, b, c, e: F.when(F.col("m") == 0, a).when(F.col("m") == 1, b).when(F.col("m") == 2, c).otherwise(e)
+    asked = by(F.concat(F.lit("Find exact code RFC-"), n, F.lit(" "), "text"), F.concat(F.lit("What concept feels like the src"), (F.col("item_id") % 20).cast("string"), F.lit(" guide of RFC "), n, F.lit("? "), "text"), F.concat(F.lit("Is a note of HIPAA 164."), number, F.lit(" a class of "), "text"), F.concat(F.lit("What bridge connects RFC-"), n, F.when(F.col("item_id") % 8 == 7, " and its code").otherwise(F.concat(F.lit(" and "), "text"))))
+    return b.select(F.col("item_id").alias("qid"), asked.alias("question"), by("lexical", "semantic", "deductive", F.lit("relational")).alias("family"), by("bm25", "dense", "bm25", F.when(F.col("item_id") % 8 == 7, "bm25").otherwise("hybrid")).alias("gold"))
+
+
+def _arbitrated(spark, d):
+    asked = _public_asked(spark, d)
+    return public.arbitrated_routes(routing.penalty_routes(asked), public.public_top_k(_public(spark, d), asked, 1))
+
+
+@query(_PUBLIC_SQL + " SELECT qid, doc_id, n_identifiers, n_aliases, title_hit, boost, fields FROM boosts")
+def public_field_boosts(spark, d):
+    return public.public_boosts(_public(spark, d), _public_asked(spark, d))
+
+
+@query(_PUBLIC_RANKED + " SELECT qid, doc_id, score, base, boost, fields, rank FROM ranked WHERE rank <= 3")
+def public_lexical_topk(spark, d):
+    return public.public_top_k(_public(spark, d), _public_asked(spark, d), 3)
+
+
+@query(_ARBITRATED + " SELECT qid, family, route, about_identifiers, top_doc_id, boost, fields, confidence, decides, arbitrated_route FROM arb")
+def public_arbitration(spark, d):
+    return _arbitrated(spark, d).select("qid", "family", "route", "about_identifiers", "top_doc_id", "boost", "fields", "confidence", "decides", "arbitrated_route")
+
+
+@query(_ARBITRATED + " SELECT qid, family, question, route AS normal_route, arbitrated_route, confidence, fields FROM arb WHERE arbitrated_route <> route")
+def arbitration_overrides(spark, d):
+    return _arbitrated(spark, d).filter("overrode").select("qid", "family", "question", F.col("route").alias("normal_route"), "arbitrated_route", "confidence", "fields")
+
+
+@query(_ARBITRATED + " SELECT f AS family, count(*) AS n, round(avg((route = gold)::INTEGER), 6) AS computed_accuracy, round(avg((arbitrated_route = gold)::INTEGER), 6) AS arbitrated_accuracy, count(*) FILTER (arbitrated_route <> route) AS overrides, count(*) FILTER (route <> gold AND arbitrated_route = gold) AS mended, count(*) FILTER (route = gold AND arbitrated_route <> gold) AS spoiled FROM (SELECT *, unnest(['all', family]) AS f FROM arb) GROUP BY f")
+def arbitration_effect(spark, d):
+    return public.arbitration_effect(_arbitrated(spark, d))
+
+
 # -- reports of single questions ----------------------------------------------------------
 
 
