@@ -115,3 +115,72 @@ def variants_by_split(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     d = asked.join(hits, ["variant", "qid"], "left")
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
     return d.groupBy("variant", "split").agg(F.count("*").alias("n"), rate(F.col("first") == 1).alias("top1"), rate(F.col("first").isNotNull()).alias("hit_rate"))
+
+
+# A margin below this is low, and the gain in answers from which a router is worth a further look.
+LOW_MARGIN = 0.35
+WORTH_A_LOOK = 0.03
+
+_PARTS = ("route_ok", "evidence_ok", "top1_ok", "answer_ok")
+_BACKENDS = ("bm25", "dense", "kg", "hybrid")
+
+
+def system_reports(judged: DataFrame, margins: DataFrame) -> DataFrame:
+    """A row for each system and dataset: accuracies, gaps, margins, contributions, chosen backends and the confusion.
+
+    ``margins`` has qid, system, margin, route_part and evidence_part; a record without a row there
+    (or with nulls) has no part in the means and is not of low margin; a mean of nothing is 0.
+    A gap is right evidence that is not the first item. Records are first counted by family and
+    chosen backend, which leaves a few rows of a system for the second step.
+    """
+    d = judged.join(margins, ["qid", "system"], "left")
+    sums = [F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in _PARTS), F.count_if(F.col("evidence_ok") & ~F.col("top1_ok")).alias("gaps"), F.count_if("rescued").alias("rescues"), F.count_if(F.col("margin") < LOW_MARGIN).alias("low_margins")]
+    means = ("margin", "route_part", "evidence_part")
+    of = [x for c in means for x in (F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"n_{c}"))]
+    cells = d.groupBy("system", "dataset", "family", "route").agg(*sums, *of)
+    total = lambda c: F.sum(c)
+    share = lambda c: F.round(F.sum(c) / F.sum("n"), 6)
+    mean = lambda c: F.round(F.coalesce(F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}")), F.lit(0.0)), 5)
+    confusion = F.array_join(F.array_sort(F.collect_list(F.concat("family", F.lit("->"), "route", F.lit("="), F.col("n").cast("string")))), " ")
+    return cells.groupBy("system", "dataset").agg(
+        total("n").alias("n"),
+        *(share(c).alias(c.replace("_ok", "_accuracy")) for c in _PARTS),
+        *(total(c).alias(c) for c in ("gaps", "rescues", "low_margins")),
+        *(mean(c).alias(f"mean_{c}") for c in means),
+        *(F.sum(F.when(F.col("route") == b, F.col("n")).otherwise(0)).alias(f"chose_{b}") for b in _BACKENDS),
+        confusion.alias("confusion"),
+    )
+
+
+def passed(reports: DataFrame, least: dict[str, float]) -> DataFrame:
+    """system, n, failed, passed: over all datasets, which of the accuracies (``least`` by name) are below what is asked, sorted."""
+    d = reports.groupBy("system").agg(F.sum("n").alias("n"), *(F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 4).alias(c) for c in least))
+    failed = F.array_join(F.array_sort(F.filter(F.array(*(F.when(F.col(c) < x, F.lit(c)) for c, x in least.items())), lambda c: c.isNotNull())), ",")
+    return d.select("system", "n", *least, failed.alias("failed")).withColumn("passed", F.col("failed") == "")
+
+
+def recommendation(reports: DataFrame, base: str, other: str) -> DataFrame:
+    """dataset, the answer accuracy of both systems, delta and what is recommended: ``keep`` the base below a gain of 0.03, else ``test_further``."""
+    of = lambda s: F.max(F.when(F.col("system") == s, F.col("answer_accuracy")))
+    d = reports.filter(F.col("system").isin(base, other)).groupBy("dataset").agg(of(base).alias("base"), of(other).alias("other")).withColumn("delta", F.round(F.col("other") - F.col("base"), 6))
+    return d.withColumn("recommended", F.when(F.coalesce(F.col("delta") >= WORTH_A_LOOK, F.lit(False)), "test_further").otherwise("keep"))
+
+
+def structure_items(items: DataFrame) -> DataFrame:
+    """The records that need structure, of the curated and the generalization set, as four datasets: deductive and relational of each.
+
+    Generalization records are judged by text only, so they have no gold ids; tags go.
+    """
+    kind = F.when(F.col("family") == "kg", "deductive").when(F.col("family") == "hybrid", "relational")
+    d = items.filter(F.col("dataset").isin("curated", "generalization") & kind.isNotNull())
+    none = F.array().cast("array<string>")
+    return d.withColumns({"gold_ids": F.when(F.col("dataset") == "curated", F.col("gold_ids")).otherwise(none), "tags": F.lit(None).cast("array<string>"), "dataset": F.concat_ws("_", "dataset", kind)})
+
+
+def structure_shift(judged: DataFrame) -> DataFrame:
+    """system, kind, the records and the route, evidence and answer accuracy of both sets, and the loss from the curated to the other."""
+    d = judged.withColumns({"kind": F.regexp_extract("dataset", "_([a-z]+)$", 1), "curated": F.startswith("dataset", F.lit("curated_"))})
+    rate = lambda c, own: F.round(F.avg(F.when(F.col("curated") == own, F.col(c).cast("double"))), 6)
+    parts = {"route": "route_ok", "evidence": "evidence_ok", "answer": "answer_ok"}
+    out = d.groupBy("system", "kind").agg(F.count_if("curated").alias("n_curated"), F.count_if(~F.col("curated")).alias("n_shifted"), *(rate(c, own).alias(f"{name}_{side}") for name, c in parts.items() for side, own in (("curated", True), ("shifted", False))))
+    return out.withColumns({f"{name}_loss": F.round(F.col(f"{name}_curated") - F.col(f"{name}_shifted"), 6) for name in parts})

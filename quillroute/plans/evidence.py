@@ -280,14 +280,23 @@ def _record_evidence(spark, d):
     return written(again.select("qid", "backend", "rank", "final_rank", moved.alias("applied"), F.col("item_id").cast("string").alias("item_id"), ids.alias("ids"), "content"))
 
 
-def _judged(spark, d):
-    names = F.when(F.col("qid") % 5 == 0, F.concat(F.lit("curated_s_"), F.col("qid").cast("string"))).otherwise(F.col("qid").cast("string"))
+def _named():
+    return F.when(F.col("qid") % 5 == 0, F.concat(F.lit("curated_s_"), F.col("qid").cast("string"))).otherwise(F.col("qid").cast("string"))
+
+
+def _system_routes(spark, d):
+    """qid, system, route, override, rescue, margin of four systems."""
     r = routing.calibrated_routes(routing.penalty_routes(questions(spark, d)))
     s = lambda name, route, override, rescue: F.struct(F.lit(name).alias("system"), route.alias("route"), override.alias("override"), F.lit(rescue).alias("rescue"))
     changed = F.col("calibrated_route") != F.col("route")
     systems = [s("computed", F.col("route"), F.lit(False), False), s("calibrated", F.col("calibrated_route"), changed, False), s("calibrated_rescue", F.col("calibrated_route"), changed, True), s("always_bm25", F.lit("bm25"), F.lit(False), False)]
-    routes = r.select(names.alias("qid"), F.explode(F.array(*systems)).alias("s")).select("qid", "s.*")
-    return evaluation.judged_records(evaluation.eval_items(_sources(spark, d)), routes, _record_evidence(spark, d).withColumn("qid", names))
+    margin = F.when(F.col("s.system") != "always_bm25", F.col("margin")).alias("margin")
+    return r.select(_named().alias("qid"), "margin", F.explode(F.array(*systems)).alias("s")).select("qid", "s.*", margin)
+
+
+def _judged(spark, d):
+    routes = _system_routes(spark, d).drop("margin")
+    return evaluation.judged_records(evaluation.eval_items(_sources(spark, d)), routes, _record_evidence(spark, d).withColumn("qid", _named()))
 
 
 _SHARE_TOKENS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9._§:/-]+'))"
@@ -327,6 +336,62 @@ def evaluate_records(spark, d):
     return evaluation.evaluate_records(_judged(spark, d))
 
 
+# -- reports of systems, with margins and contributions -------------------------------------
+
+
+def _reported(spark, d):
+    """Judged records and margins of five systems; the fifth chooses by evidence, with its contributions."""
+    chosen = written(R.QUERIES["evidence_router"](spark, d)).filter("selected").withColumn("qid", _named()).withColumn("system", F.lit("evidence"))
+    routes = written(_system_routes(spark, d))
+    none = F.lit(None).cast("double")
+    margins = routes.select("qid", "system", "margin", none.alias("route_part"), none.alias("evidence_part")).unionByName(chosen.select("qid", "system", F.col("behind").alias("margin"), "route_part", "evidence_part"))
+    routes = routes.drop("margin").unionByName(chosen.select("qid", "system", F.col("backend").alias("route"), F.lit(False).alias("override"), F.lit(False).alias("rescue")))
+    return evaluation.judged_records(evaluation.eval_items(_sources(spark, d)), routes, _record_evidence(spark, d).withColumn("qid", _named())), margins
+
+
+_REPORT = (
+    "WITH er AS (" + R.ORACLES["evidence_router"] + "), "
+    + _JUDGED.removeprefix("WITH ").replace("'bm25', false, false FROM cal)", "'bm25', false, false FROM cal UNION ALL SELECT qid, 'evidence', backend, false, false FROM er WHERE selected)")
+    + ", nm AS (SELECT qid AS n, CASE WHEN qid % 5 = 0 THEN 'curated_s_' ELSE '' END || qid AS qid FROM questions), marg AS (SELECT nm.qid, unnest(['computed', 'calibrated', 'calibrated_rescue']) AS system, margin::DOUBLE AS margin, NULL::DOUBLE AS route_part, NULL::DOUBLE AS evidence_part FROM cal JOIN nm ON n = cal.qid UNION ALL SELECT nm.qid, 'evidence', behind::DOUBLE, route_part::DOUBLE, evidence_part::DOUBLE FROM er JOIN nm ON n = er.qid WHERE selected),"
+    " jm AS (SELECT judged.*, margin, route_part, evidence_part FROM judged LEFT JOIN marg USING (qid, system)),"
+    " report AS (SELECT system, dataset, count(*) AS n, round(avg(route_ok::INTEGER), 6) AS route_accuracy, round(avg(evidence_ok::INTEGER), 6) AS evidence_accuracy, round(avg(top1_ok::INTEGER), 6) AS top1_accuracy, round(avg(answer_ok::INTEGER), 6) AS answer_accuracy, count_if(evidence_ok AND NOT top1_ok) AS gaps, count_if(rescued) AS rescues, count(*) FILTER (margin < 0.35) AS low_margins,"
+    " round(coalesce(avg(margin), 0), 5) AS mean_margin, round(coalesce(avg(route_part), 0), 5) AS mean_route_part, round(coalesce(avg(evidence_part), 0), 5) AS mean_evidence_part, count_if(route = 'bm25') AS chose_bm25, count_if(route = 'dense') AS chose_dense, count_if(route = 'kg') AS chose_kg, count_if(route = 'hybrid') AS chose_hybrid FROM jm GROUP BY ALL),"
+    " conf_ AS (SELECT system, dataset, array_to_string(list_sort(list(c)), ' ') AS confusion FROM (SELECT system, dataset, family || '->' || route || '=' || count(*) AS c FROM judged GROUP BY system, dataset, family, route) GROUP BY ALL)"
+)
+#: What a system must reach over all records.
+_ASKED_OF = {"route_accuracy": 0.7, "evidence_accuracy": 0.5, "answer_accuracy": 0.2}
+
+
+@query(_REPORT + " SELECT report.*, confusion FROM report JOIN conf_ USING (system, dataset)")
+def system_reports(spark, d):
+    return evaluation.system_reports(*_reported(spark, d))
+
+
+@query(
+    _REPORT + ", al AS (SELECT system, sum(n)::BIGINT AS n, " + ", ".join(f"round(sum({c} * n) / sum(n), 4) AS {c}" for c in _ASKED_OF) + " FROM report GROUP BY system)"
+    " SELECT *, failed = '' AS passed FROM (SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN {c} < {x} THEN '{c}' END" for c, x in sorted(_ASKED_OF.items())) + ") AS failed FROM al)"
+)
+def verification(spark, d):
+    return evaluation.passed(evaluation.system_reports(*_reported(spark, d)), _ASKED_OF)
+
+
+@query(_REPORT + " SELECT dataset, base, other, delta, CASE WHEN delta >= 0.03 THEN 'test_further' ELSE 'keep' END AS recommended FROM (SELECT a.dataset, a.answer_accuracy AS base, b.answer_accuracy AS other, round(b.answer_accuracy - a.answer_accuracy, 6) AS delta FROM report a JOIN report b ON a.dataset = b.dataset AND a.system = 'computed' AND b.system = 'evidence')")
+def router_recommendation(spark, d):
+    return evaluation.recommendation(evaluation.system_reports(*_reported(spark, d)), "computed", "evidence")
+
+
+_STRUCTURE = _JUDGED.replace(" j0 AS (SELECT items.*", " its_ AS (SELECT * REPLACE (dataset || CASE family WHEN 'kg' THEN '_deductive' ELSE '_relational' END AS dataset, CASE WHEN dataset = 'curated' THEN gold_ids ELSE [] END AS gold_ids, NULL AS tags) FROM items WHERE dataset IN ('curated', 'generalization') AND family IN ('kg', 'hybrid')), j0 AS (SELECT items.*").replace("FROM items JOIN sys", "FROM its_ items JOIN sys")
+
+
+@query(
+    _STRUCTURE + " SELECT *, round(route_curated - route_shifted, 6) AS route_loss, round(evidence_curated - evidence_shifted, 6) AS evidence_loss, round(answer_curated - answer_shifted, 6) AS answer_loss FROM (SELECT system, split_part(dataset, '_', 2) AS kind, count_if(starts_with(dataset, 'curated')) AS n_curated, count_if(NOT starts_with(dataset, 'curated')) AS n_shifted, "
+    + ", ".join(f"round(avg({c}_ok::INTEGER) FILTER ({'' if side == 'curated' else 'NOT '}starts_with(dataset, 'curated')), 6) AS {c}_{side}" for c in ("route", "evidence", "answer") for side in ("curated", "shifted")) + " FROM judged GROUP BY ALL)"
+)
+def structure_shift(spark, d):
+    items = evaluation.structure_items(evaluation.eval_items(_sources(spark, d)))
+    return evaluation.structure_shift(evaluation.judged_records(items, _system_routes(spark, d).drop("margin"), _record_evidence(spark, d).withColumn("qid", _named())))
+
+
 # -- variants as data ---------------------------------------------------------------------
 
 _VARIANTS = {"plain": (0.0, 0.0), "identifiers": (5.0, 0.0), "tokens": (0.0, 0.05), "both": (5.0, 0.05)}
@@ -470,19 +535,24 @@ def _public_asked(spark, d):
     return b.select(F.col("item_id").alias("qid"), asked.alias("question"), by("lexical", "semantic", "deductive", F.lit("relational")).alias("family"), by("bm25", "dense", "bm25", F.when(F.col("item_id") % 8 == 7, "bm25").otherwise("hybrid")).alias("gold"))
 
 
+def _kept(spark, d):
+    """The public records, written once: their identifiers come from all of a text by several patterns, and four plans read them."""
+    return written(_public(spark, d))
+
+
 def _arbitrated(spark, d):
     asked = _public_asked(spark, d)
-    return public.arbitrated_routes(routing.penalty_routes(asked), public.public_top_k(_public(spark, d), asked, 1))
+    return public.arbitrated_routes(routing.penalty_routes(asked), public.public_top_k(_kept(spark, d), asked, 1))
 
 
 @query(_PUBLIC_SQL + " SELECT qid, doc_id, n_identifiers, n_aliases, title_hit, boost, fields FROM boosts")
 def public_field_boosts(spark, d):
-    return public.public_boosts(_public(spark, d), _public_asked(spark, d))
+    return public.public_boosts(_kept(spark, d), _public_asked(spark, d))
 
 
 @query(_PUBLIC_RANKED + " SELECT qid, doc_id, score, base, boost, fields, rank FROM ranked WHERE rank <= 3")
 def public_lexical_topk(spark, d):
-    return public.public_top_k(_public(spark, d), _public_asked(spark, d), 3)
+    return public.public_top_k(_kept(spark, d), _public_asked(spark, d), 3)
 
 
 @query(_ARBITRATED + " SELECT qid, family, route, about_identifiers, top_doc_id, boost, fields, confidence, decides, arbitrated_route FROM arb")
