@@ -127,5 +127,22 @@ def unknown_tags(tags: Column, allowed: tuple[str, ...]) -> Column:
 def source_flags(source: Column) -> dict[str, Column]:
     """Which kinds of corpus a source string names."""
     s = F.lower(source)
-    kinds = {"curated": ("curated",), "external": ("external",), "generalization": ("generalization",), "public_raw": ("public",), "adversarial": ("adversarial",), "open_corpus": ("open", "source_pack", "runtime"), "formal_spec": ("rfc", "spec", "formal")}
+    kinds = {"curated": ("curated",), "external": ("external",), "generalization": ("generalization",), "public_raw": ("public",), "adversarial": ("adversarial",), "open_corpus": ("open", "source_pack", "runtime"), "formal_spec": ("rfc", "spec", "medical", "policy", "api", "formal")}
     return {f"source_{k}": has_any(s, v) for k, v in kinds.items()}
+
+
+# What counts as an identifier in a question, what names a programming interface, and the identifiers that count once more as a feature.
+IDENTIFIER_PARTS = (r"\bRFC-?\d+\b", r"\bICD-10\s+[A-Z]\d{2}\.\d\b", r"\b\d{3}\.\d{3}\b", r"§\d+", r"\b[a-zA-Z_]\w*\.[\w.]+\b")
+API_NAME = r"\b[a-zA-Z_]\w*\.[\w.]+\b|\bsklearn\b|\bdataclasses\b"
+COUNTED_AGAIN = r"\b(?:rfc-?\d+|icd-10\s+[a-z]\d{2}\.\d|hipaa\s+\d{3}\.\d{3}|[a-z_]+\.[\w.]+)\b"
+
+
+def named_identifiers(question: Column) -> Column:
+    """The identifiers of a question by kind and then place, repeated ones too; none for a null question."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(question, F.lit(p), F.lit(0)) for p in IDENTIFIER_PARTS)))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def interface_signals(question: Column) -> dict[str, Column]:
+    """The two signals beside calibration_signals(): the identifiers, and whether a programming interface is named."""
+    return {"identifiers": named_identifiers(question), "api_cue": F.coalesce(question.rlike(API_NAME), F.lit(False))}

@@ -28,13 +28,12 @@ IDENTIFIERS = r"\b(?:rfc-?\d+|icd-10\s+[a-z]\d{2}\.\d|hipaa\s+\d{3}\.\d{3}|[a-z_
 STRUCTURAL = ("kg", "triple", "path")
 
 
-def route_features(routed: DataFrame) -> DataFrame:
-    """qid and the named features of questions that went through the penalty and keyword routers."""
+def _route_values() -> dict[str, Column]:
     q = F.lower(F.col("question"))
     flags = sum((F.col(f).cast("int") for f in ("lexical", "semantic", "deductive", "relational")), F.lit(0))
     num = lambda c: c.cast("double")
     tokens = F.size(F.regexp_extract_all(q, F.lit(r"[a-z0-9._:/§-]+"), F.lit(0)))
-    values = {
+    return {
         "bias": F.lit(1.0),
         "query_length_log": F.log1p(F.length("question")) / 6.0,
         "token_count_log": F.log1p(tokens) / 3.0,
@@ -51,6 +50,29 @@ def route_features(routed: DataFrame) -> DataFrame:
         **{f"computed_route_{b}": num(F.col("route") == b) for b in BACKENDS},
         **{f"keyword_route_{b}": num(F.col("keyword_route") == b) for b in BACKENDS},
     }
+
+
+def route_features(routed: DataFrame) -> DataFrame:
+    """qid and the named features of questions that went through the penalty and keyword routers."""
+    return routed.select("qid", *(F.round(v, 6).alias(k) for k, v in _route_values().items()))
+
+
+def sourced_features(routed: DataFrame) -> DataFrame:
+    """qid and all 31 values: those of route_features(), identifiers counted, kinds of source, a graph at hand, a chance of rescue.
+
+    ``routed`` has, beside what the routers add, source (null: of no kind), local_graph and rescue
+    (booleans; null: false). A public source counts as noise. A projection of each row.
+    """
+    q, values = F.lower(F.col("question")), _route_values()
+    num = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    count = F.size(S.named_identifiers(F.col("question"))) + F.coalesce(F.size(F.regexp_extract_all(q, F.lit(S.COUNTED_AGAIN), F.lit(0))), F.lit(0))
+    values |= {
+        "identifier_count_log": F.log1p(F.greatest(count, F.lit(0))),
+        **{k: num(v) for k, v in S.source_flags(F.col("source")).items()},
+        "query_local_graph_available": num(F.col("local_graph")),
+        "topk_rescue_opportunity": num(F.col("rescue")),
+        "public_document_noise": F.greatest(values["public_document_noise"], num(F.contains(F.lower("source"), F.lit("public")))),
+    }
     return routed.select("qid", *(F.round(v, 6).alias(k) for k, v in values.items()))
 
 

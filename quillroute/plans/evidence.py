@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import signals as S
 from ..functions import text as X
 from ..operators import answering, asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, metrics, packed, pruned, public, routing, runtime
 from ..sources.shared import written
@@ -392,6 +393,44 @@ def structure_shift(spark, d):
     return evaluation.structure_shift(evaluation.judged_records(items, _system_routes(spark, d).drop("margin"), _record_evidence(spark, d).withColumn("qid", _named())))
 
 
+# -- all features and signals of questions ----------------------------------------------------
+
+
+def _sourced(spark, d):
+    """Benchmark questions, some with an interface's or a rule's name, with the kind of their source."""
+    named = F.when(F.col("qid") % 3 == 0, F.concat(F.lit("torch.nn.Linear v"), F.col("qid").cast("string"), F.lit(".2 RFC-7231 ICD-10 A12.3 HIPAA 164.512 §9: "), "question")).otherwise(F.col("question"))
+    kinds = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("qid") % len(_KINDS) + 1).cast("int"))
+    return questions(spark, d).withColumns({"question": named, "source": kinds, "local_graph": F.col("qid") % 3 == 1, "rescue": F.when(F.col("qid") % 5 != 4, F.col("qid") % 5 == 0)})
+
+
+_KINDS = ("curated", "External:mini", "generalization_v2", "public_raw", "adversarial", "source_pack:rfc_specs", "runtime medical policy", "")
+_SOURCED = (
+    R._with(SQL["questions"]) + "asked AS (SELECT * REPLACE (CASE WHEN qid % 3 = 0 THEN 'torch.nn.Linear v' || qid || '.2 RFC-7231 ICD-10 A12.3 HIPAA 164.512 §9: ' || question ELSE question END AS question), [" + ", ".join(map(q, _KINDS)) + "][(qid % 8 + 1)::INTEGER] AS source, qid % 3 = 1 AS local_graph, coalesce(qid % 5 = 0, false) AS rescue FROM questions), "
+).replace(" asked AS", ", asked AS", 1)
+_IDENTIFIED = "flatten([" + ", ".join(f"regexp_extract_all(question, {q(p)})" for p in S.IDENTIFIER_PARTS) + "])"
+_FLAGS = {"curated": ("curated",), "external": ("external",), "generalization": ("generalization",), "public_raw": ("public",), "adversarial": ("adversarial",), "open_corpus": ("open", "source_pack", "runtime"), "formal_spec": ("rfc", "spec", "medical", "policy", "api", "formal")}
+
+
+@query(_SOURCED.rstrip(", ") + f" SELECT qid, array_to_string({_IDENTIFIED}, '|') AS identifiers, regexp_matches(question, {q(S.API_NAME)}) AS api_cue FROM asked")
+def interface_signals(spark, d):
+    s = S.interface_signals(F.col("question"))
+    return _sourced(spark, d).select("qid", F.array_join(s["identifiers"], "|").alias("identifiers"), s["api_cue"].alias("api_cue"))
+
+
+def _all_values() -> str:
+    """The values of route_features over the questions above, and the others beside them."""
+    own = R.ORACLES["route_features"]
+    select = own[own.rindex("SELECT qid, 1.0::DOUBLE AS bias") :].replace("AS public_document_noise", "AS noise0").removesuffix(" FROM kw")
+    flags = ", ".join(R._f(R._any("lower(source)", terms)) + f" AS source_{k}" for k, terms in _FLAGS.items())
+    more = f"round(ln(1 + len({_IDENTIFIED}) + len(regexp_extract_all(lower(question), {q(S.COUNTED_AGAIN)}))), 6) AS identifier_count_log, {flags}, {R._f('local_graph')} AS query_local_graph_available, {R._f('rescue')} AS topk_rescue_opportunity, {R._f(R._any('lower(source)', ('public',)))} AS public0"
+    return _SOURCED + ", ".join((R._FEATURES, R._PENALTY, R._KEYWORD)) + " SELECT * EXCLUDE (noise0, public0), greatest(noise0, public0) AS public_document_noise FROM (" + select + ", " + more + " FROM kw)"
+
+
+@query(_all_values())
+def sourced_features(spark, d):
+    return diagnostics.sourced_features(routing.keyword_routes(routing.penalty_routes(_sourced(spark, d))))
+
+
 # -- variants as data ---------------------------------------------------------------------
 
 _VARIANTS = {"plain": (0.0, 0.0), "identifiers": (5.0, 0.0), "tokens": (0.0, 0.05), "both": (5.0, 0.05)}
