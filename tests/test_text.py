@@ -52,3 +52,9 @@ def test_public_records(spark):
     assert got["lead_summary"].startswith("Getting Started guide for all. Tools and more.")
     short = X.public_record(*map(F.lit, ("pub_a", "T", "standard", "A", "Fallback text. Two. Three", "too short")))
     assert spark.range(1).select(short["lead_summary"].alias("l")).first()["l"] == "T. A. Fallback text."
+
+
+def test_sentences_and_headings_keep_the_digits_of_their_place(spark):
+    d = spark.createDataFrame([("0 a. 1 b1; 23.5 c2.  3", "#0\n# Part 1\nChapter 2\n3")], "t string, h string")
+    r = d.select(X.sentences(F.col("t")).alias("s"), X.headings(F.col("h")).alias("h")).first()
+    assert r["s"] == ["0 a.", "1 b1;", "23.5 c2.", "3"] and r["h"] == ["0", "Part 1", "Chapter 2"]
