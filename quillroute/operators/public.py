@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identifiers, simple_tokens
-from .lexical import beside, bm25_scores, top_k
+from ..sources.shared import written
+from .lexical import beside
+from .resident import boosted_top_k
 
 # Points per matched identifier, per alias (of at most two) and for a title; the shortest alias and title word; what decides.
 PER_IDENTIFIER, PER_ALIAS, FOR_TITLE = 8.0, 4.0, 3.0
@@ -73,13 +75,14 @@ def public_boosts(records: DataFrame, questions: DataFrame) -> DataFrame:
 def public_top_k(records: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """qid, doc_id, score, base, boost, fields, rank: BM25 over enriched texts, ranked whole with the boosts, the k best.
 
-    Scores and boosts are grouped by the same pair before they meet, so no pair is shuffled again.
-    A document with a boost is ranked though it shares no token with the question.
+    Boosts go to the documents, which are scored where they lie; see resident.ranked(). Only pairs
+    with a boost and each task's best are shuffled. A document with a boost is ranked though it
+    shares no token with the question.
     """
-    scored = bm25_scores(enriched(records), questions).withColumnRenamed("score", "base")
-    d = scored.join(public_boosts(records, questions).select("qid", "doc_id", "boost", "fields"), ["qid", "doc_id"], "full")
-    d = d.select("qid", "doc_id", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("boost", F.lit(0.0)).alias("boost"), F.coalesce("fields", F.lit("")).alias("fields"))
-    return top_k(d.withColumn("score", F.round(F.col("base") + F.col("boost"), 4)), k)
+    boosts = written(public_boosts(records, questions).select("qid", "doc_id", "boost", "fields"))
+    best = written(boosted_top_k(enriched(records), questions, boosts.select("qid", "doc_id", "boost"), k))
+    own = boosts.join(beside(best.select("qid", "doc_id")), ["qid", "doc_id"], "left_semi").select("qid", "doc_id", "fields")
+    return best.join(own, ["qid", "doc_id"], "left").select("qid", "doc_id", "base", "boost", F.coalesce("fields", F.lit("")).alias("fields"), "score", "rank")
 
 
 def arbitrated_routes(routed: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import text as X
-from ..operators import answering, asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, metrics, packed, pruned, public, routing, runtime
+from ..operators import answering, asking, dense, diagnostics, evaluation, extraction, fusion, learning, lexical, metrics, packed, pruned, public, resident, routing, runtime
 from ..sources.shared import written
 from . import registry as R
 from .registry import q, query
@@ -117,7 +117,7 @@ def _fusion_questions(spark, d):
 
 def _fusion_ranks(spark, d, most=15):
     c, asked = corpus(spark, d), _fusion_questions(spark, d)
-    lexical_ = lexical.top_k(lexical.bm25_scores(c, asked), most).select("qid", F.lit("bm25").alias("backend"), "doc_id", "rank")
+    lexical_ = resident.bm25_top_k(c, asked, most).select("qid", F.lit("bm25").alias("backend"), "doc_id", "rank")
     words = lexical_.join(c.select("doc_id", "text"), "doc_id").select("qid", "backend", F.col("doc_id").cast("string").alias("item_id"), "rank", F.col("text").alias("content"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
     found = packed.packed_top_k(packed.dense_index(c), packed.encode(asked, "qid", X.simple_tokens(F.col("question"))), most, "chunk_id")
     near = found.join(dense.chunks(c), "chunk_id").select("qid", F.lit("dense").alias("backend"), F.col("chunk_id").alias("item_id"), "rank", F.col("chunk").alias("content"), F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
@@ -445,7 +445,7 @@ _VARIANTS = {"plain": (0.0, 0.0), "identifiers": (5.0, 0.0), "tokens": (0.0, 0.0
     " SELECT variant, split, count(*) AS n, round(avg(coalesce(first = 1, false)::INTEGER), 6) AS top1, round(avg((first IS NOT NULL)::INTEGER), 6) AS hit_rate FROM (SELECT * FROM (SELECT DISTINCT qid, split FROM gold), vs) LEFT JOIN fh USING (variant, qid) GROUP BY ALL"
 )
 def lexical_variants(spark, d):
-    ranked = lexical.variant_top_k(lexical.bm25_features(corpus(spark, d), questions(spark, d)), _VARIANTS, 3)
+    ranked = resident.variant_top_k(corpus(spark, d), questions(spark, d), _VARIANTS, 3)
     return evaluation.variants_by_split(written(ranked), _held(spark, d))
 
 
