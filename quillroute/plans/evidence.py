@@ -217,16 +217,10 @@ def bm25_pruned_topk(spark, d):
 
 # -- one evaluation of five schemas -------------------------------------------------------
 
-def _runs(rows, key: str):
-    """key, run: all runs of ten tokens of each text."""
-    t = rows.select(key, X.simple_tokens(F.col("text")).alias("t")).filter(F.size("t") >= 10)
-    return t.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 9), lambda i: F.array_join(F.slice("t", i, F.lit(10)), " ")))).alias("run"))
-
-
 def _holders(spark, d):
     """item_id, doc_id: the documents that share a run of ten tokens with a benchmark item; the items' runs go to the documents."""
-    asked = _runs(table(spark, d, "benchmark"), "item_id")
-    return _runs(table(spark, d, "documents"), "doc_id").join(lexical.beside(asked), "run").select("item_id", "doc_id").distinct()
+    rows = lambda name, key: table(spark, d, name).select(key, X.simple_tokens(F.col("text")).alias("tokens"))
+    return resident.shared_runs(rows("documents", "doc_id"), rows("benchmark", "item_id"))
 
 
 def _held(spark, d):
