@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ids, bounded_sample, map_batches, text_bytes
+from .common import Ids, cut, map_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -32,7 +32,6 @@ class QualityParams:
     risk: float = 0.05
     confidence: float = 0.95
     levels: tuple[float, ...] = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02)
-    max_labelled: int = 60_000
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -104,13 +103,13 @@ def binomial_upper(k: int, n: int, alpha: float) -> float:
     """One-sided exact (Clopper-Pearson) upper bound of a rate after k events in n trials."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
+    i = np.arange(1, k + 1)
+    logs, i = np.concatenate([[0.0], np.cumsum(np.log((n - i + 1) / i))]), np.arange(k + 1)
 
     def below(p: float) -> float:
-        lp, lq = math.log(p), math.log1p(-p)
-        terms = [c + i * lp + (n - i) * lq for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
+        terms = logs + i * math.log(p) + (n - i) * math.log1p(-p)
+        top = terms.max()
+        return math.exp(top) * float(np.exp(terms - top).sum())
 
     lo, hi = k / n, 1.0
     for _ in range(60):
@@ -182,29 +181,125 @@ def _stratum(n_words: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(STRATA), n_words, side="right")
 
 
+def _cells(batch: pa.RecordBatch, half: int, quality: int):
+    """stratum and feature values of the labelled rows of one half and label."""
+    at = (batch.column(1).to_numpy() == half) & (batch.column(0).to_numpy() == quality)
+    return batch.column(2).to_numpy()[at], np.stack([batch.column(3 + f).to_numpy()[at] for f in range(len(FEATURES))], axis=1)
+
+
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the numbers."""
+    bits = (x + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _number(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(float)[0])
+
+
+def _order_statistics(rows: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """The values of the wanted ranks (from 0) of each cell (stratum and feature) over the tuning half's good rows, exactly.
+
+    Sixteen bits of the numbers are settled in each of four passes, which count the rows under
+    every prefix that still holds a wanted rank; at most 65,536 counts of each come to the driver.
+    """
+    k = len(FEATURES)
+    inside = {(cell, rank): (0, rank) for cell, ranks in wanted.items() for rank in ranks}  # prefix, rank under it
+    for shift in (48, 32, 16, 0):
+        prefixes: dict[int, set[int]] = {}
+        for (cell, _), (prefix, _) in inside.items():
+            prefixes.setdefault(cell, set()).add(prefix)
+        active = {cell: np.array(sorted(x), np.uint64) for cell, x in prefixes.items()}
+
+        def count(batch: pa.RecordBatch, shift=shift, active=active) -> pa.RecordBatch:
+            stratum, values = _cells(batch, 0, 1)
+            cells, bins, n = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for cell, some in active.items():
+                key = _sortable(values[stratum == cell // k, cell % k])
+                if shift < 48:
+                    key = key[np.isin(key >> np.uint64(shift + 16), some)]
+                found, times = np.unique(key >> np.uint64(shift), return_counts=True)
+                cells.append(np.full(len(found), cell, np.int32))
+                bins.append(found)
+                n.append(times)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(bins).view(np.int64)), pa.array(np.concatenate(n))], names=["cell", "bin", "n"])
+
+        under: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in map_batches(rows, "cell int, bin long, n long", count).groupBy("cell", "bin").agg(F.sum("n").alias("n")).collect():
+            b = r["bin"] % (1 << 64)
+            under.setdefault((r["cell"], b >> 16 if shift < 48 else 0), []).append((b, r["n"]))
+        for (cell, rank), (prefix, left) in inside.items():
+            for b, n in sorted(under[cell, prefix]):
+                if left < n:
+                    inside[cell, rank] = b, left
+                    break
+                left -= n
+    return {which: _number(prefix) for which, (prefix, _) in inside.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> np.ndarray:
-    """Cutoffs from the labelled documents (at most about max_labelled of them).
+    """choose_cutoffs() over all labelled documents, as counts in Spark.
 
     Labels that are null, or of documents without a row or with several, are left out.
-    Documents that the base rules reject are no part of the holdout.
+    Documents that the base rules reject are no part of the holdout. A hash of the id deals
+    documents to the halves. Only counts and order statistics come to the driver.
     """
-    lab = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q2")).filter("quality = q2").drop("q2")
-    lab = bounded_sample(lab, "doc_id", p.max_labelled)
-    # the labelled sample is bounded (16 bytes a row), so the texts stay where they are
-    rows = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")
+    lab = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("q2")).filter("quality = q2").drop("q2")
+    k, strata, none = len(FEATURES), len(STRATA) + 1, np.full((len(STRATA) + 1, len(FEATURES)), np.inf)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         stats, feats = _measure(batch.column(0), batch.column(1), p)
-        failed = np.array([base_failed(tuple(s), p) for s in stats], bool)
-        keep = pa.array(~failed)
-        columns = [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(stats[:, 0]), *(pa.array(feats[:, i]) for i in range(len(FEATURES)))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "quality", "n_words", *FEATURES]).filter(keep)
-
-    table = map_batches(rows, "doc_id long, quality int, n_words long, " + ", ".join(f"{f} double" for f in FEATURES), measure).toPandas().sort_values("doc_id", kind="stable")
-    if table.empty:
-        return np.full((len(STRATA) + 1, len(FEATURES)), np.inf)
-    values = table[list(FEATURES)].to_numpy(float)
-    return choose_cutoffs(values, table["quality"].to_numpy() == 1, _stratum(table["n_words"].to_numpy()), p)
+        keep = pa.array(~np.array([base_failed(tuple(s), p) for s in stats], bool))
+        columns = [batch.column(0).cast(pa.int64()), pa.array(_stratum(stats[:, 0]).astype(np.int32)), *(pa.array(feats[:, i]) for i in range(k))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "stratum", *FEATURES]).filter(keep)
+
+    # texts stay where they are: their few numbers meet the labels
+    measured = map_batches(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id long, stratum int, " + ", ".join(f"{f} double" for f in FEATURES), measure)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    rows = cut(measured.join(lab, "doc_id").select("quality", half, "stratum", *FEATURES))
+    size = {(r["stratum"], r["half"], r["quality"]): r["n"] for r in rows.groupBy("stratum", "half", "quality").agg(F.count("*").alias("n")).collect()}
+    used = [s for s in range(strata) if all(size.get((s, *x)) for x in ((0, 0), (0, 1), (1, 1)))]
+    if not used:
+        return none
+    rank = {(s, level): math.ceil((size[s, 0, 1] - 1) * (1 - level)) for s in used for level in p.levels}
+    edges = _order_statistics(rows, {s * k + f: sorted({rank[s, level] for level in p.levels}) for s in used for f in range(k)})
+    edge = {(s, n): np.array([edges[s * k + f, rank[s, level]] for f in range(k)]) for s in used for n, level in enumerate(p.levels)}
+
+    def beyond(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stratum, values = _cells(batch, 0, 0)
+        out = []
+        for (s, n), e in edge.items():
+            v = values[stratum == s]
+            over = v > e
+            out += [(s * k + f, n, int(over[:, f].sum()), float(v[over[:, f], f].min())) for f in range(k) if over[:, f].any()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64()))], names=["cell", "level", "n", "least"])
+
+    cuts = {which: np.full(k, np.inf) for which in edge}
+    for r in map_batches(rows, "cell int, level int, n long, least double", beyond).groupBy("cell", "level").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect():
+        s, f = divmod(r["cell"], k)
+        if r["n"] >= max(2, 0.01 * size[s, 0, 0]):
+            cuts[s, r["level"]][f] = (edge[s, r["level"]][f] + r["least"]) / 2
+
+    def events(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for quality, of_half in ((1, 1), (0, 0)):
+            stratum, values = _cells(batch, of_half, quality)
+            out += [(s, n, quality, int((values[stratum == s] > c).any(axis=1).sum())) for (s, n), c in cuts.items()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["stratum", "level", "quality", "n"])
+
+    hit = {(r["stratum"], r["level"], r["quality"]): r["n"] for r in map_batches(rows, "stratum int, level int, quality int, n long", events).groupBy("stratum", "level", "quality").agg(F.sum("n").alias("n")).collect()}
+    for s in used:
+        passed = []
+        for n in range(len(p.levels)):
+            if binomial_upper(hit[s, n, 1], size[s, 1, 1], (1 - p.confidence) / strata) > p.risk:
+                break
+            passed.append((hit[s, n, 0] / size[s, 0, 0], cuts[s, n]))
+        if passed:
+            most = max(x for x, _ in passed)
+            none[s] = next(c for caught, c in passed if caught >= 0.99 * most)
+    return none
 
 
 _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, stratum int, rejected_by string"

@@ -72,3 +72,17 @@ def test_rules_find_the_bad_ones(spark, docs_of):
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(400)], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r["kept"] for r in Q.quality_verdicts(spark, docs, labels).collect()}
     assert all(out[i] for i in range(300)) and not any(out[i] for i in range(300, 400))
+
+
+def test_fit_counts_every_label(spark, docs_of):
+    """The ranks are exact, and no label is left out, however many there are."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) + " #" * (i % 7) for i in range(400)]
+    docs = docs_of(texts)
+    labels = spark.createDataFrame([(i, int(i % 7 < 5), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert not hasattr(Q.QualityParams(), "max_labelled")
+    rows = spark.createDataFrame([(1, 0, 0, *[float((i * 37) % 101 - 50) / 3] * len(Q.FEATURES)) for i in range(101)], "quality int, half int, stratum int, " + ", ".join(f"{f} double" for f in Q.FEATURES))
+    want = sorted((i - 50) / 3 for i in range(101))
+    got = Q._order_statistics(rows, {0: [0, 50, 99, 100], 3: [7]})
+    assert got == {(0, r): want[r] for r in (0, 50, 99, 100)} | {(3, 7): want[7]}
+    cuts = Q.fit(docs, labels)
+    assert np.isfinite(cuts[0, 0]) and np.isinf(cuts[1:]).all()
