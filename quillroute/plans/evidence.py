@@ -494,8 +494,8 @@ def upserted_corpus(spark, d):
 @query(R._with(SQL["questions"], _CHANGED, R._LEX_DOCS, R._LEX_QS, R._TF, R._BM25) + R._top("bm", 3))
 def bm25_after_upsert(spark, d):
     before, changes = _changes(spark, d)
-    counts = {name: written(t) for name, t in runtime.counted(before).items()}
-    return lexical.top_k(runtime.counted_scores(runtime.recounted(counts, before, changes, "position"), questions(spark, d)), 3)
+    counts = runtime.recounted(runtime.counted(before), before, changes, "position")
+    return runtime.counted_top_k(counts, questions(spark, d), 3)
 
 
 # -- public documents ---------------------------------------------------------------------

@@ -28,3 +28,21 @@ def test_no_changes_and_no_corpus(spark):
     got = runtime.recounted(runtime.counted(none), none, changes, "position")
     assert got["stats"].first()["n"] == 1 and got["df"].count() == 3
     assert runtime.recounted(runtime.counted(none), none, changes.limit(0), "position")["df"].collect() == []
+
+
+def test_counts_stay_with_their_documents(spark):
+    """A document's counts are one row that no shuffle makes, and rankings come from the counts as from all pairs."""
+    docs = spark.createDataFrame([(1, "a", "co-op coop RFC 7231 section 6 a.b a_b"), (2, None, None), (3, "", "- -- bats bats"), (4, "d", "bats at night rfc-7231")], DOCS)
+    counts = runtime.counted(docs)
+    got = {r["doc_id"]: dict(zip(r["tokens"], r["tfs"])) for r in counts["tf"].collect()}
+    want = {i: {} for i in got}
+    for r in lexical.term_frequencies(lexical.tokenized(docs, runtime.lexical_tokens(runtime.F.concat_ws(" ", "title", "text"))), "doc_id").collect():
+        want[r["doc_id"]][r["token"]] = r["tf"]
+    assert got == want and got[1]["coop"] == 2 and got[2] == {}
+    changes = spark.createDataFrame([(2, "b", "bats at section 6", 1), (1, "a", None, 1)], DOCS + ", position int")
+    plan = runtime.recounted(counts, docs, changes, "position")["tf"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    after = runtime.recounted(counts, docs, changes, "position")
+    asked = spark.createDataFrame([(1, "bats at night"), (2, "rfc 7231 section 6"), (3, "unknown"), (4, None)], "qid long, question string")
+    rows = lambda d: sorted(tuple(r[c] for c in ("qid", "doc_id", "score", "rank")) for r in d.collect())
+    assert rows(runtime.counted_top_k(after, asked, 2)) == rows(lexical.top_k(runtime.counted_scores(after, asked), 2)) != []
