@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.signals import UNIVERSAL, first_listed, first_whole, has_any, starts_with_any
 from ..functions.text import simple_tokens
+from ..sources.shared import written
 from .graph import existential, membership, rendered, two_hop_paths, universal
+from .lexical import SENT, beside, top_k
+from .resident import ranked
 
 # Words that ask for a path, or for a property.
 PATH_WORDS = ("path", "connect", "chain", "bridge", "links")
@@ -23,7 +26,7 @@ def mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     An equi-join on the token in place of a search of every name in every question.
     """
     t = questions.select("qid", F.posexplode(simple_tokens(F.col("question"))).alias("place", "token"))
-    return t.join(names.select(F.lower("name").alias("token"), F.col("name").alias("entity")), "token").groupBy("qid", "entity").agg(F.min("place").alias("place"))
+    return names.select(F.lower("name").alias("token"), F.col("name").alias("entity")).join(beside(t), "token").groupBy("qid", "entity").agg(F.min("place").alias("place"))
 
 
 def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
@@ -91,6 +94,17 @@ def lexical_facts(asked: DataFrame, edges: DataFrame) -> DataFrame:
     return q.join(f, "token").groupBy("qid", "item_id", "n").agg(F.count("*").alias("hits")).select("qid", "item_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
 
 
+def best_lexical_facts(asked: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """qid, item_id, score, rank: what top_k(lexical_facts()) gives for edges of different ids.
+
+    Questions go to the facts and each task keeps its best: a word such as "is" makes no pairs of every question and fact.
+    """
+    tokens = lambda text: F.array_distinct(simple_tokens(text)).alias("tokens")
+    facts = edges.select(F.col("triple_id").alias("doc_id"), tokens(F.concat_ws(" ", "subject", "predicate", "object")))
+    best = ranked(facts, asked.select("qid", tokens(F.col("question"))), k, "overlap")
+    return best.select("qid", F.col("doc_id").alias("item_id"), "score", "rank")
+
+
 def _facts(found: DataFrame, mode: str, score: float) -> DataFrame:
     """Edges found for questions, as items."""
     return found.select("qid", F.lit(mode).alias("mode"), F.col("triple_id").alias("item_id"), rendered().alias("content"), F.lit(score).alias("score"))
@@ -108,19 +122,22 @@ def graph_retrieve(questions: DataFrame, edges: DataFrame, k: int = 3, words: Gr
     by the words they share with the question. No entity, no fact: no rows.
     """
     names = edges.select(F.col("subject").alias("name")).union(edges.select("object")).distinct()
-    asked = understood(questions, names, words)
+    asked = written(understood(questions, names, words))
+    # questions go to the edges, never edges to the tasks
+    send = F.broadcast if asked.limit(SENT + 1).count() <= SENT else (lambda d: d)
+    asked = send(asked)
     of = lambda *kinds: asked.filter(F.col("branch").isin(*kinds))
     path = of("path").select("qid", F.col("first").alias("subject"), F.col("last").alias("object"))
     member = of("membership").select("qid", F.col("first").alias("subject"), F.col("second").alias("object"))
     hop = lambda ends: two_hop_paths(edges, ends).select("qid", F.lit("two_hop").alias("mode"), "item_id", "content", "score")
     paths = hop(path)
-    related = _facts(_without(path, paths).join(edges, ["subject", "object"]), "direct_relation", 5.5)
+    related = _facts(send(_without(path, paths)).join(edges, ["subject", "object"]), "direct_relation", 5.5)
     direct = membership(edges, member, words.member).select("qid", F.lit("membership").alias("mode"), "item_id", "content", "score")
-    indirect = hop(_without(member, direct))
+    indirect = hop(send(_without(member, direct)))
     settled = direct.unionByName(indirect)
     # membership questions that found nothing take the branch that follows
     kind = F.when(F.col("branch") == "membership", F.col("otherwise")).otherwise(F.col("branch"))
-    late = _without(asked, settled).withColumn("kind", kind)
+    late = send(_without(asked, settled)).withColumn("kind", kind)
     on = lambda kind: late.filter(F.col("kind") == kind)
     every = on("universal").select("qid", F.col("about").alias("class"), "predicate", F.coalesce("target", F.lit(words.universal_object)).alias("object"))
     some = on("existential").select("qid", F.col("about").alias("class"), F.lit(words.able).alias("predicate"), F.col("able_target").alias("object"))
@@ -139,11 +156,12 @@ def graph_retrieve(questions: DataFrame, edges: DataFrame, k: int = 3, words: Gr
         _facts(eaten.join(edges, ["object", "predicate"]), "inverse_relation", 5.0),
         _facts(relation.join(edges, ["subject", "predicate"]).filter(F.col("target").isNull() | (F.col("target") == F.col("object"))), "relation", 5.0),
     ]
-    found = reduce(DataFrame.unionByName, parts).distinct()
-    shared = lexical_facts(_without(asked, found), edges).join(edges.withColumnRenamed("triple_id", "item_id"), "item_id")
-    both = found.unionByName(shared.select("qid", F.lit("fallback").alias("mode"), "item_id", rendered().alias("content"), "score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("item_id"))
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).join(asked.select("qid", "branch"), "qid")
+    # only questions without any fact fall back, so both sides are ranked apart
+    found = written(top_k(reduce(DataFrame.unionByName, parts).distinct(), k, item="item_id"))
+    shared = beside(written(best_lexical_facts(_without(asked, found), edges, k)))
+    shared = edges.withColumnRenamed("triple_id", "item_id").join(shared, "item_id")
+    both = found.unionByName(shared.select("qid", F.lit("fallback").alias("mode"), "item_id", rendered().alias("content"), "score", "rank"))
+    return both.join(asked.select("qid", "branch"), "qid")
 
 
 def graph_answers(questions: DataFrame, found: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ def two_hop_paths(edges: DataFrame, asked: DataFrame | None = None, score: float
     if asked is not None:
         ends = asked.select("qid", F.col("subject").alias("a"), F.col("object").alias("c"))
         first, second = first.join(ends.drop("c"), "a"), second.join(ends.drop("a"), "c")
-        paths = first.join(second, ["qid", "b"])
+        # merged, so neither side, which may be all members of a class, is held whole in a task
+        paths = first.join(second.hint("merge"), ["qid", "b"])
     else:
         paths = first.join(second, "b")
     keys = ["qid"] if asked is not None else []
@@ -65,7 +66,7 @@ def existential(edges: DataFrame, asked: DataFrame, member: str = "is_a") -> Dat
     """
     direct = asked.withColumnRenamed("class", "subject").join(edges, ["subject", "predicate", "object"]).select("qid", F.col("triple_id").alias("item_id"), rendered().alias("content"), F.lit(5.0).alias("score"))
     facts = edges.select("triple_id", F.col("subject").alias("member"), "predicate", "object")
-    through = _members(edges, asked, member).join(facts, ["member", "predicate", "object"])
+    through = _members(edges, asked, member).join(facts.hint("merge"), ["member", "predicate", "object"])
     return direct.unionByName(through.select("qid", *_through("predicate", member), F.lit(6.0).alias("score")))
 
 
@@ -87,7 +88,7 @@ def universal(edges: DataFrame, asked: DataFrame, member: str = "is_a", denial:
     A member lacks it by a fact ``not_<predicate>``, or without such a fact by ``denial``.
     """
     facts = edges.select("triple_id", F.col("subject").alias("member"), F.col("predicate").alias("fact"), F.col("object"))
-    joined = _members(edges, asked, member).join(facts, ["member", "object"])
+    joined = _members(edges, asked, member).join(facts.hint("merge"), ["member", "object"])
     against = F.col("fact") == F.concat(F.lit("not_"), F.col("predicate"))
     joined = joined.filter(against | F.col("fact").isin(denial) | (F.col("fact") == F.col("predicate")))
     joined = joined.withColumn("denied", F.bool_or(against).over(Window.partitionBy("qid", "member_id", "object")))

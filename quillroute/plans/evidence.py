@@ -118,9 +118,10 @@ def _fusion_questions(spark, d):
 def _fusion_ranks(spark, d, most=15):
     c, asked = corpus(spark, d), _fusion_questions(spark, d)
     lexical_ = resident.bm25_top_k(c, asked, most).select("qid", F.lit("bm25").alias("backend"), "doc_id", "rank")
-    words = lexical_.join(c.select("doc_id", "text"), "doc_id").select("qid", "backend", F.col("doc_id").cast("string").alias("item_id"), "rank", F.col("text").alias("content"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
+    # the rankings, a few rows a question, go to the texts
+    words = c.select("doc_id", "text").join(lexical.beside(written(lexical_)), "doc_id").select("qid", "backend", F.col("doc_id").cast("string").alias("item_id"), "rank", F.col("text").alias("content"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
     found = packed.packed_top_k(packed.dense_index(c), packed.encode(asked, "qid", X.simple_tokens(F.col("question"))), most, "chunk_id")
-    near = found.join(dense.chunks(c), "chunk_id").select("qid", F.lit("dense").alias("backend"), F.col("chunk_id").alias("item_id"), "rank", F.col("chunk").alias("content"), F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
+    near = dense.chunks(c).join(lexical.beside(written(found)), "chunk_id").select("qid", F.lit("dense").alias("backend"), F.col("chunk_id").alias("item_id"), "rank", F.col("chunk").alias("content"), F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("parent"))
     facts = asking.graph_retrieve(asked, edges(spark, d), most, R._WORDS)
     parts = F.flatten(F.transform(F.split("content", " ; "), lambda f: F.split(f, " ")))
     terms = F.array_distinct(F.concat(F.array(F.get(parts, 0), F.element_at(parts, -1)), F.transform(F.split("content", " ; "), lambda f: F.split(f, " ")[1])))

@@ -135,3 +135,20 @@ def test_classifier_override_bounds(spark):
     rows = [("bm25", "dense", 0.6, "low", *hard), ("bm25", "dense", 0.6, "high", *hard), ("bm25", "dense", 0.6, "low", *none), ("bm25", "dense", 0.41, "low", *hard), ("bm25", "dense", None, "low", *hard), ("bm25", "dense", 0.6, "low", False, False, True, True, False)]
     d = routing.classifier_override(spark.createDataFrame(rows, cols), "classifier", {"dense": F.col("p"), "bm25": F.lit(0.1)})
     assert [r["final_route"] for r in d.collect()] == ["dense", "bm25", "bm25", "bm25", "bm25", "dense"]
+
+
+def test_facts_by_shared_words_make_no_pairs(spark):
+    """The best facts of questions that fall back are those of all pairs, and no question and fact is aggregated in a shuffle."""
+    from quillroute.operators import asking, lexical
+
+    rows = [(f"kg_c{i}_is_a_n{i % 7}", f"c{i}", "is_a", f"n{i % 7}", "t") for i in range(300)] + [("kg_p1_has_property_Brand#12", "p1", "has_property", "Brand#12", "t")]
+    e = spark.createDataFrame(rows, "triple_id string, subject string, predicate string, object string, source string")
+    texts = ["what is a thing", "who is n3 and is n3 a brand", "no common term", None, "", "has 12 a property"]
+    q = spark.createDataFrame(list(enumerate(texts)), "qid long, question string")
+    key = lambda d: sorted(tuple(r[c] for c in ("qid", "item_id", "score", "rank")) for r in d.collect())
+    got = asking.best_lexical_facts(q, e, 4)
+    assert key(got) == key(lexical.top_k(asking.lexical_facts(q, e), 4, item="item_id")) != []
+    answered = asking.graph_retrieve(q, e, 4)
+    plan = answered._jdf.queryExecution().executedPlan().toString()
+    assert "hits#" not in plan and "count(1)" not in plan
+    assert {(r["qid"], r["mode"]) for r in answered.collect()} >= {(0, "fallback")}
