@@ -212,8 +212,7 @@ def evidence_router_accuracy(spark, d):
 
 @query(R.ORACLES["bm25_topk"])
 def bm25_pruned_topk(spark, d):
-    index = {name: written(t) for name, t in pruned.lexical_index(corpus(spark, d)).items()}
-    return pruned.pruned_top_k(index, questions(spark, d), 3)
+    return pruned.pruned_top_k(pruned.lexical_index(corpus(spark, d)), questions(spark, d), 3)
 
 
 # -- one evaluation of five schemas -------------------------------------------------------

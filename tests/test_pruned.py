@@ -1,7 +1,8 @@
 import random
 
-from quillroute.operators import lexical, pruned
+from quillroute.operators import lexical, pruned, resident
 from quillroute.sources import files
+from quillroute.sources.shared import written
 
 
 def corpus(spark, seed=1, n=400):
@@ -33,6 +34,21 @@ def test_same_as_scoring_every_match(spark, tmp_path):
     assert tried < 0.25 * len(scored)
 
 
+def test_postings_are_made_where_documents_lie(spark):
+    """Runs hold every posting once, in descending order, whatever the length of runs; the plan has no shuffle."""
+    c = corpus(spark, n=120)
+    counts = written(resident.document_counts(c))
+    want = sorted((t, r["doc_id"]) for r in counts.collect() for t in r["tokens"])
+    for run, most in ((65_536, 4_000_000), (7, 4_000_000), (65_536, 50)):
+        made = pruned._postings(counts, 30.0, 4, run, lexical.K1, lexical.B, most)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        rows = made.collect()
+        assert sorted((r["token"], x["doc_id"]) for r in rows for x in r["items"]) == want
+        assert all(r["n"] == len(r["items"]) <= 4 and r["most"] == max(x["part"] for x in r["items"]) for r in rows)
+        last = {(r["token"], r["part_no"], r["block"]): min(x["part"] for x in r["items"]) for r in rows}
+        assert len(last) == len(rows) and all(r["most"] <= last.get((r["token"], r["part_no"], r["block"] - 1), 9e9) for r in rows)
+
+
 def test_empty(spark):
     index = pruned.lexical_index(corpus(spark).limit(0))
     assert pruned.pruned_top_k(index, asked(spark), 3).collect() == []
