@@ -47,6 +47,8 @@ class LineParams:
     list_rows: int = 150_000
     #: candidates of a line that a part names at once; many times as many in each further round
     named: int = 8
+    #: pairs that a part holds before it drops all but the best of each line
+    held_pairs: int = 500_000
     #: words in more lines than this have their lists cut by set size
     heavy: int = 100_000
 
@@ -452,14 +454,59 @@ class _Filters:
         return ok, (1000 * np.maximum(share, 0)).astype(np.int32), share >= bar
 
 
+class _Best:
+    """The best candidates of each line of one part, and which lines had more than ``named`` different ones.
+
+    Pairs beyond ``named`` of a line go whenever many are held: one that is not among the best of
+    those seen so far is not among the best of all. So memory follows the lines, not their pairs.
+    """
+
+    def __init__(self, who: np.ndarray, named: int | None, held: int):
+        self.who, self.named, self.held = who, named, held
+        self.parts, self.n, self.limit = [], 0, held
+        self.more = np.zeros(int(who.max()) + 1 if len(who) else 0, bool)
+
+    def add(self, later: np.ndarray, earlier: np.ndarray, share: np.ndarray) -> None:
+        if not len(later):
+            return
+        self.parts.append((later.astype(np.int32), earlier.astype(np.int32), share.astype(np.int16)))
+        self.n += len(later)
+        if self.named is not None and self.n > self.limit:
+            self._thin()
+            self.limit = max(self.held, 2 * self.n)
+
+    def _thin(self) -> None:
+        y, x, share = self.all()
+        by_y, by_x = self.who[y], self.who[x]
+        order = np.lexsort((by_x, -share, by_y))
+        new = np.ones(len(order), bool)  # a pair of two lists has the same share in both
+        new[1:] = (by_y[order][1:] != by_y[order][:-1]) | (by_x[order][1:] != by_x[order][:-1])
+        order = order[new]
+        starts = run_starts(by_y[order])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        self.more[by_y[order[rank >= self.named]]] = True
+        order = order[rank < self.named]
+        self.parts, self.n = [(y[order], x[order], share[order])], len(order)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts, self.parts = self.parts, []
+        self.parts = [tuple(np.concatenate(o) for o in zip(*parts, strict=True))] if parts else [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))]
+        return self.parts[0]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """later, earlier, share, by line and from the best candidate on."""
+        self._thin()
+        return self.parts[0]
+
+
 def candidates_in(a: dict[str, np.ndarray], p: LineParams, enough: int | None, wanted: Bits | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Pairs (later, earlier) of one part that no filter rules out, and which later lines stopped early."""
     y, x, _, stopped, a = scored_candidates(a, p, enough, wanted)
     return y, x, np.flatnonzero(stopped), a
 
 
-def scored_candidates(a: dict[str, np.ndarray], p: LineParams, enough: int | None, wanted: Bits | None):
-    """later, earlier, estimated similarity of the pairs of one part; lines that stopped early; the lists."""
+def scored_candidates(a: dict[str, np.ndarray], p: LineParams, enough: int | None, wanted: Bits | None, named: int | None = None):
+    """later, earlier, estimated similarity of the pairs of one part, or of the ``named`` best of each line; the places of lines that have more (without ``named``, that stopped early); the lists."""
     a, place = in_list_order({"guest": np.zeros(len(a["token"]), bool), **a}, p.threshold)
     m = len(a["token"])
     n, guest = a["n"].astype(np.float32), a["guest"]
@@ -471,7 +518,10 @@ def scored_candidates(a: dict[str, np.ndarray], p: LineParams, enough: int | Non
     done = np.zeros(m, bool) if wanted is None else ~wanted.has(line_id(a["row"], a["line"]))
     stopped = np.zeros(m, bool)
     accept = _Filters(a, p)
-    out = ([], [], [])
+    by = np.lexsort((a["line"], a["row"]))
+    who = np.empty(m, np.int32)  # a number of each line, by (row, line)
+    who[by] = np.cumsum(np.concatenate(([False], place[by][1:] != place[by][:-1]))) if m else who
+    out = _Best(who, named, p.held_pairs)
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
         """Pairs i, j of one list, the smaller set first."""
@@ -481,8 +531,7 @@ def scored_candidates(a: dict[str, np.ndarray], p: LineParams, enough: int | Non
         use = np.flatnonzero(~(done[later] | guest[j]) & (place[i] != place[j]))
         later, earlier = later[use], earlier[use]
         ok, share, likely = accept(later, earlier)
-        for o, v in zip(out, (later[ok], earlier[ok], share), strict=True):
-            o.append(v)
+        out.add(later[ok], earlier[ok], share)
         if enough is not None and likely.any():
             np.add.at(found, later[ok][likely], 1)
             stopped[found >= enough] = True
@@ -513,8 +562,11 @@ def scored_candidates(a: dict[str, np.ndarray], p: LineParams, enough: int | Non
             if not len(i):
                 break
         look(i, i + d)
-    y, x, share = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-    return y, x, share, stopped, a
+    if named is None:
+        return *out.all(), stopped, a
+    y, x, share = out.best()
+    out.more[who[stopped]] = True
+    return y, x, share, out.more[who], a
 
 
 def line_id(row: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -531,16 +583,8 @@ def candidate_pairs(posted: DataFrame, p: LineParams, named: int, enough: int |
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         drop_caches()
         some = [unpack_arrays(raw) for raw in pdf["data"]]
-        y, x, share, stopped, a = scored_candidates({k: np.concatenate([s[k] for s in some]) for k in some[0]}, p, enough, wanted)
-        del some
-        names = ("row", "line")
-        more = np.unique(line_id(a["row"][stopped], a["line"][stopped]))
-        f = pd.DataFrame({**{f"y_{k}": a[k][y] for k in names}, **{f"x_{k}": a[k][x] for k in names}, "share": share})
-        f = f.sort_values(["y_row", "y_line", "share", "x_row", "x_line"], ascending=[True, True, False, True, True]).drop_duplicates(["y_row", "y_line", "x_row", "x_line"])
-        by = f.groupby(["y_row", "y_line"], sort=False)["share"]
-        stop = np.isin(line_id(f["y_row"].to_numpy(), f["y_line"].to_numpy()), more)
-        f["more"] = stop | (by.transform("size").to_numpy() > named) if len(f) else np.zeros(0, bool)
-        f = f[by.cumcount().to_numpy() < named] if len(f) else f
+        y, x, share, more, a = scored_candidates({k: np.concatenate([s.pop(k) for s in some]) for k in tuple(some[0])}, p, enough, wanted, named)
+        f = pd.DataFrame({**{f"{side}_{k}": a[k][at] for side, at in (("y", y), ("x", x)) for k in ("row", "line")}, "share": share.astype(np.int32), "more": more[y]})
         release_memory()
         return f
 

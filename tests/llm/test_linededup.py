@@ -125,3 +125,34 @@ def test_few_lines_that_still_look_are_served_by_line():
     assert pairs <= whole
     assert {i for i, _ in whole} == {i for i, _ in pairs}
     assert {(i, j) for i, j in whole if i not in early} <= pairs
+
+
+def test_what_a_part_holds_follows_its_lines_not_their_pairs():
+    """A large group of near copies of one line, none of them likely enough to stop at: all pairs pass the filters."""
+    import tracemalloc
+
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+
+    def copy():
+        at = set(r.sample(range(60), 6))
+        return " ".join(f"x{r.randint(0, 10**9)}" if i in at else w for i, w in enumerate(base))
+
+    text = "\n".join(copy() for _ in range(1200)).encode()
+    p = L.LineParams(held_pairs=5_000)
+    post = L.postings_of(L.block_of([0], [0], [text]), np.full(1 << 12, 9, np.uint8), p)
+    y, x, share, stopped, a = L.scored_candidates(dict(post), p, None, None)
+    every = {}
+    for i, j, s in zip(y.tolist(), x.tolist(), share.tolist()):
+        every.setdefault(int(a["line"][i]), set()).add((-s, int(a["line"][j])))
+    assert len(y) > 500_000 and not stopped.any()
+    tracemalloc.start()
+    y, x, share, more, a = L.scored_candidates(dict(post), p, None, None, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000  # all pairs: 20 bytes each, and as much again to put them together
+    got = {}
+    for i, j, s in zip(y.tolist(), x.tolist(), share.tolist()):
+        got.setdefault(int(a["line"][i]), []).append((-s, int(a["line"][j])))
+        assert more[i] == (len(every[int(a["line"][i])]) > 3)
+    assert got == {k: sorted(v)[:3] for k, v in every.items()}
